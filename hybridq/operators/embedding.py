@@ -25,7 +25,8 @@ def feature_weights(df: DataFrame, id_cols: list[str], text_col: str = "text") -
     exploded features never cross the network.
     """
     tagged = lambda arr, w: F.transform(arr, lambda f: F.struct(f.alias("feature"), F.lit(w).alias("tf")))
-    placed = df.select(*id_cols, tokenize(F.col(text_col)).alias("t")).repartition(*id_cols)
+    placed = df.select(*id_cols, F.col(text_col).alias("_text")).repartition(*id_cols)
+    placed = placed.select(*id_cols, tokenize(F.col("_text")).alias("t"))
     t = F.col("t")
     features = F.concat(
         tagged(t, vocab.TOKEN_WEIGHT),

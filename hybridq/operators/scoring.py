@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridq import vocab
 from hybridq.functions.formats import employment_label, format_experience, format_lakhs, format_salary
-from hybridq.functions.strings import join_human, round_half_up, strings
+from hybridq.functions.strings import join_human, round_half_up
 from hybridq.operators.retrieval import order_key
 
 COMPONENTS = list(vocab.WEIGHTS)
@@ -194,5 +194,3 @@ def rank_results(scored: DataFrame, pool: int = vocab.POOL_SIZE, n: int | None =
     return top.join(totals, "query_id")
 
 
-def empty_sections() -> Column:
-    return strings([])

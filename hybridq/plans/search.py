@@ -346,7 +346,3 @@ def refine_search(
     return hybrid_search(queries, listings, index, **options)
 
 
-def no_restriction() -> Column:
-    return F.lit(None).cast("array<bigint>")
-
-

@@ -1 +1,6 @@
-"""hybridq.workload"""
+"""The registered workload: one query per operator, over the given tables."""
+
+
+def all_queries() -> None:
+    """Import every query module, which registers its queries."""
+    from hybridq.workload import q_text, q_sources  # noqa: F401

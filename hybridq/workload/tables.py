@@ -95,7 +95,8 @@ FROM customer
 VIEWS["messages"] = (
     ["conversations"],
     """
-SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, upper(role) AS role, text
+SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, upper(role) AS role, text,
+ timestamp_seconds((1704067200 + conv_id * 7200 + turn * 60)) AS ts
 FROM conversations WHERE role <> 'system'
 """,
 )
@@ -110,25 +111,21 @@ FROM events WHERE event_type IN ('click', 'error')
 """,
 )
 
+# some ratings name unknown values, some name messages that do not exist
 VIEWS["ratings"] = (
-    ["events", "messages"],
+    ["events", "conversations"],
     """
-SELECT e.event_id, e.ts, coalesce(m.message_id, -e.event_id) AS message_id,
+SELECT e.event_id, e.ts, e.conv * 1000 + e.event_id % 7 AS message_id,
  CASE e.event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' WHEN 'signup' THEN 'sideways' END AS rating
-FROM (SELECT ev.*, event_id % ((SELECT count(*) FROM messages) + 20) AS slot FROM events ev
+FROM (SELECT ev.*, event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv FROM events ev
       WHERE event_type IN ('purchase', 'error', 'view', 'signup')) e
-LEFT JOIN (SELECT message_id, row_number() OVER (ORDER BY message_id) - 1 AS slot FROM messages) m ON m.slot = e.slot
 """,
 )
 
 
-def spark_sql(text: str) -> str:
-    return text
-
-
 def duck_sql(text: str) -> str:
     out = text.replace("'[|]'", "'|'").replace("split(", "string_split(").replace("AS STRING", "AS VARCHAR")
-    return out
+    return out.replace("timestamp_seconds(", "make_timestamp(1000000 * ")
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
