@@ -3,4 +3,4 @@
 
 def all_queries() -> None:
     """Import every query module, which registers its queries."""
-    from hybridq.workload import q_text, q_sources  # noqa: F401
+    from hybridq.workload import q_text, q_sources, q_understanding  # noqa: F401, I001
