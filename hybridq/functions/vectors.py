@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from hybridq.functions.strings import let
+
 
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
@@ -11,8 +13,8 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit-length copy; the zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x.cast("double") / norm))
+    unit = lambda x, n: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)
+    return let(l2_norm(v), lambda n: F.transform(v, lambda x: unit(x, n)))
 
 
 def dot_product(a: Column, b: Column) -> Column:
@@ -25,4 +27,7 @@ def dot_product(a: Column, b: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    return dot_product(l2_normalise(a), l2_normalise(b))
+    """Dot product of the normalised vectors; 0 when either is zero."""
+    return let(
+        l2_norm(a) * l2_norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot_product(a, b) / n)
+    )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from hybridq import vocab
-from hybridq.functions.strings import strip
+from hybridq.functions.strings import let, strip
 from hybridq.functions.text import concept_terms, feature_bucket, feature_sign, token_bigrams, tokenize
 from hybridq.functions.vectors import l2_norm
 
@@ -62,12 +62,8 @@ def embed_hashing(
     buckets = hash_features(feature_weights(df, id_cols, text_col), id_cols, dims)
     entry = F.when(F.col("idx").isNotNull() & (F.col("w") != 0), F.struct("idx", "w"))
     packed = buckets.groupBy(*id_cols).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    norm = l2_norm(F.col("e.w"))
-    return packed.select(
-        *id_cols,
-        F.col("e.idx").alias("idx"),
-        F.transform(F.col("e.w"), lambda w: w / norm).alias("val"),
-    )
+    unit = let(l2_norm(F.col("e.w")), lambda n: F.transform(F.col("e.w"), lambda w: w / n))
+    return packed.select(*id_cols, F.col("e.idx").alias("idx"), unit.alias("val"))
 
 
 def to_dense(idx, val, dims: int = vocab.DIMENSIONS):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridq import vocab
 from hybridq.functions.formats import employment_label, format_experience, format_lakhs, format_salary
-from hybridq.functions.strings import join_human, round_half_up
+from hybridq.functions.strings import join_human, let, round_half_up
 from hybridq.operators.retrieval import order_key
 
 COMPONENTS = list(vocab.WEIGHTS)
@@ -21,13 +21,17 @@ def _lower_all(arr: Column) -> Column:
 
 
 def matched_skills(c: Column) -> Column:
-    offered = _lower_all(F.col("skills"))
-    return F.filter(c["skills"], lambda s: F.array_contains(offered, F.lower(s)))
+    return let(
+        _lower_all(F.col("skills")),
+        lambda offered: F.filter(c["skills"], lambda s: F.array_contains(offered, F.lower(s))),
+    )
 
 
 def missing_skills(c: Column) -> Column:
-    offered = _lower_all(F.col("skills"))
-    return F.filter(c["skills"], lambda s: ~F.array_contains(offered, F.lower(s)))
+    return let(
+        _lower_all(F.col("skills")),
+        lambda offered: F.filter(c["skills"], lambda s: ~F.array_contains(offered, F.lower(s))),
+    )
 
 
 def skill_score(c: Column) -> Column:

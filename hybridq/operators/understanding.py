@@ -449,39 +449,54 @@ def parse_model_json(outputs: DataFrame, raw_col: str = "raw", message_col: str
     body = F.regexp_extract(F.col(raw_col), r"(?s)\{.*\}", 0)
     df = outputs.withColumn("_body", body).withColumn("_v", F.try_parse_json("_body"))
     v = F.col("_v")
-    known, unknown = _known_and_unknown(_texts(v, "$.skills"))
-    clamp = lambda path: F.when(_whole(v, path).between(0, 50), _whole(v, path)).cast("int")
-    low, high = clamp("$.experienceMin"), clamp("$.experienceMax")
-    swap = low.isNotNull() & high.isNotNull() & (low > high)
-
-    def salary(path):
-        n = _number(v, path)
-        rupees = F.floor(F.when(n < 1000, n * vocab.LAKH).otherwise(n) + F.lit(0.5)).cast("bigint")
-        return F.when((n > 0) & (rupees <= 1_000_000_000), rupees)
-
-    intent = F.upper(F.coalesce(strip(F.try_variant_get(v, "$.intent", "string")), F.lit("NEW_SEARCH")))
     remote = F.try_variant_get(v, "$.remote", "variant")
     integers = lambda path: F.filter(
         F.transform(_elements(v, path), lambda x: F.when(_is_number(x), F.try_variant_get(x, "$", "bigint"))),
         lambda x: x.isNotNull(),
     )
+    # fields first, so that the rules below read columns instead of repeating the JSON access
+    df = df.withColumns(
+        {
+            "_skills": _texts(v, "$.skills"),
+            "_words": _texts(v, "$.keywords"),
+            "_place": _scalar(v, "$.location"),
+            "_remote": F.when(_kind(remote) == "BOOLEAN", F.try_variant_get(remote, "$", "boolean")),
+            "_low": _whole(v, "$.experienceMin"),
+            "_high": _whole(v, "$.experienceMax"),
+            "_pay_low": _number(v, "$.salaryMin"),
+            "_pay_high": _number(v, "$.salaryMax"),
+            "_type": _scalar(v, "$.employmentType"),
+            "_intent": F.upper(F.coalesce(strip(F.try_variant_get(v, "$.intent", "string")), F.lit("NEW_SEARCH"))),
+            "standalone_query": F.coalesce(_scalar(v, "$.standaloneQuery"), F.col(message_col)),
+            "ordinals": F.filter(integers("$.ordinals"), lambda x: x.between(1, 20)).cast("array<int>"),
+            "job_ids": F.filter(integers("$.jobIds"), lambda x: x > 0),
+        }
+    )
+    known, unknown = _known_and_unknown(F.col("_skills"))
+    clamp = lambda name: F.when(F.col(name).between(0, 50), F.col(name)).cast("int")
+    df = df.withColumns({"_low": clamp("_low"), "_high": clamp("_high")})
+    low, high = F.col("_low"), F.col("_high")
+    swap = low.isNotNull() & high.isNotNull() & (low > high)
+
+    def salary(name):
+        n = F.col(name)
+        rupees = F.floor(F.when(n < 1000, n * vocab.LAKH).otherwise(n) + F.lit(0.5)).cast("bigint")
+        return F.when((n > 0) & (rupees <= 1_000_000_000), rupees)
+
     df = df.withColumns(
         {
             "criteria": criteria_struct(
-                keywords=F.concat(unknown, _texts(v, "$.keywords")),
+                keywords=F.concat(unknown, F.col("_words")),
                 skills=known,
-                location=canonicalise_location(_scalar(v, "$.location")),
-                remote=F.when(_kind(remote) == "BOOLEAN", F.try_variant_get(remote, "$", "boolean")),
+                location=canonicalise_location(F.col("_place")),
+                remote=F.col("_remote"),
                 experience_min=F.when(swap, high).otherwise(low),
                 experience_max=F.when(swap, low).otherwise(high),
-                salary_min=salary("$.salaryMin"),
-                salary_max=salary("$.salaryMax"),
-                employment_type=_employment_code(_scalar(v, "$.employmentType")),
+                salary_min=salary("_pay_low"),
+                salary_max=salary("_pay_high"),
+                employment_type=_employment_code(F.col("_type")),
             ),
-            "intent": F.when(intent.isin(vocab.INTENTS), intent).otherwise("NEW_SEARCH"),
-            "standalone_query": F.coalesce(_scalar(v, "$.standaloneQuery"), F.col(message_col)),
-            "ordinals": F.filter(integers("$.ordinals"), lambda x: x.between(1, 20)).cast("array<int>"),
-            "job_ids": F.filter(integers("$.jobIds"), lambda x: x > 0),
+            "intent": F.when(F.col("_intent").isin(vocab.INTENTS), F.col("_intent")).otherwise("NEW_SEARCH"),
         }
     )
     violations = validate_criteria(F.col("criteria"))
@@ -494,7 +509,8 @@ def parse_model_json(outputs: DataFrame, raw_col: str = "raw", message_col: str
     usable = F.col("error").isNull()
     for name in ["criteria", "intent", "standalone_query", "ordinals", "job_ids"]:
         df = df.withColumn(name, F.when(usable, F.col(name)))
-    return df.withColumn("source", F.when(usable, "llm")).drop("_body", "_v")
+    scratch = ["_body", "_v", "_skills", "_words", "_place", "_remote", "_low", "_high", "_pay_low", "_pay_high", "_type", "_intent"]
+    return df.withColumn("source", F.when(usable, "llm")).drop(*scratch)
 
 
 def clean_keywords(keywords: Column, skills: Column, location: Column) -> Column:

@@ -307,7 +307,7 @@ def hybrid_search(
         "query_id", "rank", *FACTS, "score", "similarity",
         scoring.rounded_breakdown(F.col("parts")).alias("breakdown"),
         reasons.alias("reasons"), gaps.alias("gaps"),
-        "total_matches", "level", dropped.alias("dropped"), mode.alias("mode"), "chunks", "criteria",
+        "total_matches", "level", dropped.alias("dropped"), mode.alias("mode"), "chunks", "criteria", "semantic_norm",
     )
 
 

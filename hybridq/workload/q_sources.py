@@ -15,7 +15,7 @@ from hybridq.sources import listings as L
 from hybridq.sources.index_store import index_read, index_write
 from hybridq.workload.duck import cte, with_ctes
 from hybridq.workload.registry import query
-from hybridq.workload.tables import listings, view
+from hybridq.workload.tables import listings, run_sql, view
 
 FLAT_LISTS = ["skills", "requirements", "responsibilities", "benefits"]
 LISTING_COLS = [
@@ -73,7 +73,7 @@ cte("raw_listings", ["listings"], RAW.replace("AS STRING", "AS VARCHAR"))
 
 
 def raw_listings(spark, sf):
-    return spark.sql(RAW.replace("FROM listings l", "FROM {l} l"), l=listings(spark, sf))
+    return run_sql(spark, RAW, listings=listings(spark, sf))
 
 
 @query(
@@ -225,7 +225,7 @@ cte(
     ),
 )
 def validate(spark, sf):
-    dirty = spark.sql(DIRTY.replace("FROM listings l", "FROM {l} l"), l=listings(spark, sf))
+    dirty = run_sql(spark, DIRTY, listings=listings(spark, sf))
     words = L.skill_vocabulary(spark, ["economy", "standard", "small", "medium", "large", "promo"])
     return L.validate_listings(
         dirty, words, {"first_date": "2024-01-05", "last_date": "2024-03-20", "rows": 120}

@@ -9,7 +9,7 @@ from hybridq.operators import understanding as U
 from hybridq.workload import duck
 from hybridq.workload.duck import cte, in_list, joined, ordered_distinct, q, strip, tokens, with_ctes
 from hybridq.workload.registry import query
-from hybridq.workload.tables import query_log, view
+from hybridq.workload.tables import query_log, run_sql, view
 
 c = F.col
 LOW = f"lower({strip('text')})"
@@ -363,7 +363,7 @@ cte("model_out", ["requests"], MODEL.replace("AS STRING", "AS VARCHAR"))
 
 
 def model_out(spark, sf):
-    return spark.sql(MODEL.replace("FROM requests", "FROM {requests}"), requests=view(spark, sf, "requests"))
+    return run_sql(spark, MODEL, requests=view(spark, sf, "requests"))
 
 
 def _js(path):
@@ -562,7 +562,7 @@ cte("calls", ["requests"], CALLS)
 
 
 def calls(spark, sf):
-    return spark.sql(CALLS.replace("FROM requests", "FROM {requests}"), requests=view(spark, sf, "requests"))
+    return run_sql(spark, CALLS, requests=view(spark, sf, "requests"))
 
 
 def _cint(path):

@@ -132,17 +132,22 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def run_sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL over named DataFrames: every `FROM name` / `JOIN name` becomes that frame."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        for lead in ("FROM ", "JOIN "):
+            for end in (" ", ")", "\n"):
+                text = text.replace(f"{lead}{name}{end}", f"{lead}{{{name}}}{end}")
+    return spark.sql(text, **frames)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or one of the derived views, as a DataFrame."""
     if name in BASE:
         return base(spark, sf_dir, name)
     needs, text = VIEWS[name]
-    frames = {n: view(spark, sf_dir, n) for n in needs}
-    for n in needs:
-        for lead in ("FROM ", "JOIN "):
-            text = text.replace(f"{lead}{n} ", f"{lead}{{{n}}} ").replace(f"{lead}{n})", f"{lead}{{{n}}})")
-            text = text.replace(f"{lead}{n}\n", f"{lead}{{{n}}}\n")
-    return spark.sql(text, **frames)
+    return run_sql(spark, text, **{n: view(spark, sf_dir, n) for n in needs})
 
 
 def listings(spark, sf_dir):
