@@ -1,4 +1,8 @@
-"""Listings -> documents -> sections -> chunks."""
+"""Listings -> documents -> sections -> chunks.
+
+The splitter is exploded with the outer form: the inner form makes the optimizer
+add a size filter that evaluates the whole splitter a second time.
+"""
 
 from __future__ import annotations
 
@@ -87,8 +91,8 @@ def chunk_listings(listings: DataFrame, max_chars: int = CHUNK_MAX_CHARS) -> Dat
         F.greatest(F.lit(200), F.lit(max_chars) - F.length("header") - 1)
     )
     parts = sections.select(
-        "id", "section", "header", "facts", F.posexplode(split_text(c("body"), budget)).alias("chunk_index", "part")
-    )
+        "id", "section", "header", "facts", F.posexplode_outer(split_text(c("body"), budget)).alias("chunk_index", "part")
+    ).where(c("part").isNotNull())
     return parts.select(
         F.concat(
             F.lit("job-"), c("id").cast("string"), F.lit("-"), F.lower("section"), F.lit("-"),
@@ -104,7 +108,9 @@ def chunk_listings(listings: DataFrame, max_chars: int = CHUNK_MAX_CHARS) -> Dat
 
 def chunk_documents(documents: DataFrame, max_chars: int = CHUNK_MAX_CHARS, id_col: str = "doc_id") -> DataFrame:
     """Free prose: (document_id, <id_col>, chunk_index, text)."""
-    parts = documents.select(id_col, F.posexplode(split_text(F.col("text"), max_chars)).alias("chunk_index", "text"))
+    parts = documents.select(
+        id_col, F.posexplode_outer(split_text(F.col("text"), max_chars)).alias("chunk_index", "text")
+    ).where(F.col("text").isNotNull())
     return parts.select(
         F.concat_ws("-", F.lit("doc"), F.col(id_col).cast("string"), F.col("chunk_index").cast("string")).alias(
             "document_id"

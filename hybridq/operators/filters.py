@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hybridq.functions.strings import strings
 from hybridq.functions.text import expand_concepts, tokenize
 from hybridq.plans.joins import TARGET_ROWS, spread_join
+from hybridq.plans.stages import materialise
 
 FACTS = [
     "id", "skills", "location", "remote", "employment_type", "experience_min", "experience_max",
@@ -204,27 +205,38 @@ def topic_gate_skills(
     ).where(F.col("_skill") == shared_first).select("query_id", "criteria", *facts)
 
 
-def topic_gate_keywords(
-    queries: DataFrame, listings: DataFrame, facts: list[str] = ("id",), target_rows: int = TARGET_ROWS
-) -> DataFrame:
-    """(query_id, criteria, <facts>) for queries without skills: any keyword, or a concrete
-    term of its concept, occurs in the listing."""
+def keyword_pairs(queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(query_id, id) for queries without skills: any keyword, or a concrete term of its
+    concept, occurs in the listing."""
     c = F.col("criteria")
     terms = F.array_distinct(F.flatten(F.transform(c["keywords"], lambda k: expand_concepts(tokenize(k)))))
-    wanted = (
-        queries.where((F.size(c["skills"]) == 0) & (F.size(c["keywords"]) > 0))
-        .select("query_id", "criteria", F.explode(terms).alias("_term"))
+    wanted = queries.where((F.size(c["skills"]) == 0) & (F.size(c["keywords"]) > 0)).select(
+        "query_id", F.explode(terms).alias("_term")
     )
     body = F.concat_ws(
         " ", "title", F.array_join("skills", " "), "description", F.array_join("requirements", " "),
         F.array_join("responsibilities", " "),
     )
-    spoken = listings.select(*facts, F.explode(F.array_distinct(tokenize(body))).alias("_term")).join(
-        wanted.select("_term").distinct(), "_term", "left_semi"
+    # outer form: no inferred size filter, so the tokenizer runs once per listing
+    spoken = (
+        listings.select("id", F.explode_outer(F.array_distinct(tokenize(body))).alias("_term"))
+        .join(wanted.select("_term").distinct(), "_term", "left_semi")
     )
-    pairs = spread_join(
-        spoken.select("id", "_term"), wanted.select("query_id", "_term"), ["_term"], ["id"], target_rows=target_rows
-    ).select("query_id", "id").distinct()
+    # read twice below (hot keys, join): keep the few matching words instead of tokenizing again
+    spoken = materialise(spoken, "spoken")
+    return spread_join(spoken, wanted, ["_term"], ["id"], target_rows=target_rows).select("query_id", "id").distinct()
+
+
+def topic_gate_keywords(
+    queries: DataFrame,
+    listings: DataFrame,
+    facts: list[str] = ("id",),
+    target_rows: int = TARGET_ROWS,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, criteria, <facts>) of the keyword gate; `pairs` reuses an earlier keyword_pairs."""
+    if pairs is None:
+        pairs = keyword_pairs(queries, listings, target_rows)
     return pairs.join(listings.select(*facts), "id").join(queries.select("query_id", "criteria"), "query_id").select(
         "query_id", "criteria", *facts
     )

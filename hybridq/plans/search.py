@@ -13,7 +13,7 @@ from hybridq import vocab
 from hybridq.operators import scoring
 from hybridq.operators.embedding import embed_hashing
 from hybridq.operators.filters import (
-    FACTS, filter_candidates, match_places, required_level, topic_gate_keywords, topic_gate_skills,
+    FACTS, filter_candidates, keyword_pairs, match_places, required_level, topic_gate_keywords, topic_gate_skills,
 )
 from hybridq.operators.retrieval import best_chunk_per_listing, order_key, vector_topk
 from hybridq.operators.understanding import (
@@ -22,7 +22,9 @@ from hybridq.operators.understanding import (
 from hybridq.functions.strings import blank_to_null
 from hybridq.plans.blockscan import LowestLevel, RelaxationLevel, block_scan
 from hybridq.plans.joins import TARGET_ROWS
+from hybridq.plans.stages import materialise
 
+CHUNK_LIST = "array<struct<rank:int,document_id:string,section:string,score:double>>"
 LEVEL_OF = {
     "salary_min": 1, "salary_max": 1, "experience_min": 2, "experience_max": 2, "location": 3,
     "employment_type": 4, "remote": 5,
@@ -57,12 +59,16 @@ def dropped_filters(c: Column, level: Column) -> Column:
 # Relaxation levels
 # ---------------------------------------------------------------------------
 def topic_pairs(
-    queries: DataFrame, listings: DataFrame, facts: list[str], target_rows: int = TARGET_ROWS
+    queries: DataFrame,
+    listings: DataFrame,
+    facts: list[str],
+    target_rows: int = TARGET_ROWS,
+    by_word: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, criteria, <facts>) of every listing passing the query's topic gate."""
     topical = queries.where(has_topic(F.col("criteria")))
     by_skill = topic_gate_skills(topical.where(F.size("criteria.skills") > 0), listings, facts, target_rows)
-    return by_skill.unionByName(topic_gate_keywords(topical, listings, facts, target_rows))
+    return by_skill.unionByName(topic_gate_keywords(topical, listings, facts, target_rows, by_word))
 
 
 def _restricted(pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -123,13 +129,15 @@ GATE_QUERY = [*RelaxationLevel.FIELDS, "place_codes", "level"]
 GATE_ITEM = [*RelaxationLevel.FIELDS, "place_code"]
 
 
-def relaxation_levels(queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def relaxation_levels(
+    queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
+) -> DataFrame:
     """(query_id, level) for queries that match something at some level.
 
     Queries with a topic look at their topic pairs; queries without one scan the
     listings, which only keeps a minimum per query."""
     c = F.col("criteria")
-    pairs = _restricted(topic_pairs(queries, listings, FACTS, target_rows), queries)
+    pairs = _restricted(topic_pairs(queries, listings, FACTS, target_rows, by_word), queries)
     by_topic = pairs.groupBy("query_id").agg(F.min(required_level(c)).alias("level"))
     open_q = queries.where(~has_topic(c))
     if "restrict_ids" in queries.columns:
@@ -153,11 +161,13 @@ def relaxation_levels(queries: DataFrame, listings: DataFrame, target_rows: int
     return by_topic.unionByName(by_scan)
 
 
-def relax_filters(queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def relax_filters(
+    queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
+) -> DataFrame:
     """(query_id, level, dropped, criteria, applied): how far each query is relaxed.
 
     A query that matches at no level keeps level NULL, nothing dropped."""
-    levels = relaxation_levels(queries, listings, target_rows)
+    levels = relaxation_levels(queries, listings, target_rows, by_word)
     c, level = F.col("criteria"), F.coalesce("level", F.lit(0))
     return queries.join(levels, "query_id", "left").select(
         *queries.columns,
@@ -167,14 +177,16 @@ def relax_filters(queries: DataFrame, listings: DataFrame, target_rows: int = TA
     )
 
 
-def matching_pairs(relaxed: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def matching_pairs(
+    relaxed: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
+) -> DataFrame:
     """(query_id, criteria, <facts>, level_needed): the scored set of every query.
 
     `criteria` stays the original one; `relaxed` is the output of relax_filters."""
     c = F.col("criteria")
     alive = relaxed.where(F.col("level").isNotNull())
     levels = alive.select("query_id", "level")
-    topical = _restricted(topic_pairs(alive, listings, FACTS, target_rows), alive)
+    topical = _restricted(topic_pairs(alive, listings, FACTS, target_rows, by_word), alive)
     gated = topical.join(levels, "query_id").where(required_level(c) <= F.col("level"))
     open_q = alive.where(~has_topic(c))
     asked = open_q.select("query_id", F.col("applied").alias("criteria"), *(
@@ -287,19 +299,21 @@ def hybrid_search(
 
     Columns: query_id, rank, the listing facts, score, similarity, breakdown, reasons,
     gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool."""
-    relaxed = relax_filters(queries, listings, target_rows)
-    pairs = matching_pairs(relaxed, listings, target_rows)
-    hits = search_hits(relaxed, listings, index, k, dims)
-    found = _with_similarity(pairs, hits)
+    # reading the words of every listing is done once; the other stages hold one row
+    # per query, at most k rows per query, and at most `pool` rows per query
+    by_word = materialise(keyword_pairs(queries, listings, target_rows), "by_word")
+    relaxed = materialise(relax_filters(queries, listings, target_rows, by_word), "relaxed")
+    hits = materialise(search_hits(relaxed, listings, index, k, dims), "hits")
+    found = _with_similarity(matching_pairs(relaxed, listings, target_rows, by_word), hits)
     applied = relaxed_criteria(F.col("criteria"), F.col("level"))
     found = found.withColumn("parts", scoring.components(applied, F.col("semantic_norm")))
     found = found.withColumn("score", scoring.weighted_score(F.col("parts"), weights))
-    ranked = scoring.rank_results(found, pool)
+    ranked = materialise(scoring.rank_results(found, pool), "ranked")
     again = rescore_relaxed(ranked.where(F.col("level") > 0), weights)
     final = ranked.where(F.col("level") == 0).unionByName(again)
     if n is not None:
         final = final.where(F.col("rank") <= n)
-    sections = F.transform(F.coalesce("chunks", F.array().cast("array<struct<rank:int,document_id:string,section:string,score:double>>")), lambda x: x.section)
+    sections = F.transform(F.coalesce("chunks", F.array().cast(CHUNK_LIST)), lambda x: x.section)
     reasons, gaps = scoring.match_explanations(F.col("criteria"), F.col("semantic_norm"), sections)
     dropped = dropped_filters(F.col("criteria"), F.col("level"))
     mode = F.when(has_topic(F.col("criteria")), "vector").otherwise("none")
