@@ -301,6 +301,7 @@ def hybrid_search(
     gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool."""
     # reading the words of every listing is done once; the other stages hold one row
     # per query, at most k rows per query, and at most `pool` rows per query
+    queries = materialise(queries, "queries")
     by_word = materialise(keyword_pairs(queries, listings, target_rows), "by_word")
     relaxed = materialise(relax_filters(queries, listings, target_rows, by_word), "relaxed")
     hits = materialise(search_hits(relaxed, listings, index, k, dims), "hits")

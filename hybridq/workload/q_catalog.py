@@ -115,7 +115,7 @@ SETS = """
 SELECT c_custkey AS set_id, c_custkey AS a, CASE WHEN c_custkey % 11 = 4 THEN c_custkey ELSE c_custkey + 1 END AS b,
  CASE WHEN c_custkey % 11 = 4 THEN c_custkey WHEN c_custkey % 13 = 6 THEN c_custkey + 1000000000 ELSE c_custkey + 7 END AS d FROM customer
 """
-cte("sets", ["customer"], f"SELECT set_id, {ordered_distinct('i')} AS ids FROM (SELECT set_id, [a, b, d] AS i FROM ({SETS}))")
+cte("sets", ["customer"], f"SELECT set_id, {ordered_distinct('raw')} AS ids FROM (SELECT set_id, [a, b, d] AS raw FROM ({SETS}))")
 cte(
     "members", ["sets", "listings"],
     """SELECT s.set_id, m.pos, l.* FROM (SELECT set_id, len(ids) AS n, unnest(ids) AS id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos FROM sets WHERE len(ids) BETWEEN 2 AND 4) m
@@ -168,18 +168,18 @@ cte(
     FROM members GROUP BY set_id""",
 )
 _common = "list_filter(sk[1], lambda s: len(list_filter(sk, lambda o: list_contains(o, s))) = len(sk))"
-_unique = "list_filter(list_transform(ids, lambda i, n: struct_pack(id := i, only := list_filter(sk[n], lambda s: len(list_filter(sk, lambda o: list_contains(o, s))) = 1))), lambda u: len(u.only) > 0)"
+_unique = "list_filter(list_transform(ids, lambda i, n: struct_pack(id := i, own := list_filter(sk[n], lambda s: len(list_filter(sk, lambda o: list_contains(o, s))) = 1))), lambda u: len(u.own) > 0)"
 
 
 @query(
     "compare_facts",
     with_ctes(
         f"""SELECT set_id, top_salary_id, lowest_experience_id, {joined('remote_ids')} AS remote_ids, {joined(ordered_distinct(_common))} AS common_skills,
-        {joined(f"list_transform({_unique}, lambda u: u.id || ':' || array_to_string(u.only, ','))")} AS unique_skills,
+        {joined(f"list_transform({_unique}, lambda u: u.id || ':' || array_to_string(u.own, ','))")} AS unique_skills,
         array_to_string(list_concat(['- Highest salary ceiling: Job #' || top_salary_id || ' (' || top_text || ').', '- Lowest experience requirement: Job #' || lowest_experience_id || ' (' || entry_text || ').',
          '- Remote: ' || coalesce(array_to_string(list_transform(remote_ids, lambda i: 'Job #' || i), ', '), 'none of these roles') || '.',
          '- Skills in common: ' || CASE WHEN len({_common}) = 0 THEN 'none' ELSE array_to_string({ordered_distinct(_common)}, ', ') END || '.'],
-         list_transform({_unique}, lambda u: '- Only Job #' || u.id || ' lists: ' || array_to_string(u.only, ', ') || '.')), chr(10)) AS summary FROM facts""",
+         list_transform({_unique}, lambda u: '- Only Job #' || u.id || ' lists: ' || array_to_string(u.own, ', ') || '.')), chr(10)) AS summary FROM facts""",
         "facts",
     ),
 )
