@@ -256,14 +256,14 @@ def extraction_prompt(spark, sf):
 # ---------------------------------------------------------------------------
 # Traces
 # ---------------------------------------------------------------------------
-TRACES = "SELECT event_id AS trace_id, ts AS at, event_type AS intent, value AS duration, event_type <> 'error' AS ok FROM events"
+TRACES = "SELECT event_id AS trace_id, ts AS happened, event_type AS intent, value AS duration, event_type <> 'error' AS ok FROM events"
 
 
 def traces(spark, sf):
-    return run_sql(spark, TRACES + " ", events=view(spark, sf, "events"))
+    return run_sql(spark, TRACES + " ", events=view(spark, sf, "events")).withColumnRenamed("happened", "at")
 
 
-@query("recent_traces", f"SELECT trace_id, intent FROM ({TRACES}) ORDER BY at DESC, trace_id DESC LIMIT 50")
+@query("recent_traces", f"SELECT trace_id, intent FROM ({TRACES}) ORDER BY happened DESC, trace_id DESC LIMIT 50")
 def recent_traces(spark, sf):
     return T.recent_traces(traces(spark, sf), 80).select("trace_id", "intent")
 
@@ -294,7 +294,7 @@ def tool_calls(spark, sf):
     return T.tool_call_log(rows).select("event_id", "name", "ok", "summary")
 
 
-_metrics = f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, at), '%Y-%m-%d %H:%M:%S') AS window_start, intent, count(*) AS turns,
+_metrics = f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, happened), '%Y-%m-%d %H:%M:%S') AS window_start, intent, count(*) AS turns,
  {half_up('avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END)', 6)} AS error_share, {half_up('avg(duration)', 6)} AS mean_duration FROM ({TRACES}) GROUP BY ALL"""
 
 

@@ -78,7 +78,7 @@ def titles(spark, sf):
 
 # renames typed by users: the event's property text, blank for clicks
 RENAMES = """
-SELECT event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv_id, event_id AS at,
+SELECT event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv_id, event_id AS happened,
  CASE event_type WHEN 'click' THEN '  ' ELSE concat('Renamed  by ', event_type, ' ', props) END AS title FROM events WHERE event_type IN ('click', 'signup')
 """
 cte("renames", ["events", "conversations"], RENAMES)
@@ -90,7 +90,7 @@ cte(
 cte(
     "named", ["summaries", "renames"],
     f"""SELECT s.* REPLACE (CASE WHEN r.title IS NULL THEN s.title ELSE {title('r.title')} END AS title) FROM summaries s
-      LEFT JOIN (SELECT conv_id, arg_max(title, at) AS title FROM renames WHERE trim(title) <> '' GROUP BY conv_id) r USING (conv_id)""",
+      LEFT JOIN (SELECT conv_id, arg_max(title, happened) AS title FROM renames WHERE trim(title) <> '' GROUP BY conv_id) r USING (conv_id)""",
 )
 _times = "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at"
 
@@ -101,7 +101,8 @@ def summary(spark, sf):
 
 
 def renames(spark, sf):
-    return run_sql(spark, RENAMES, events=view(spark, sf, "events"), conversations=view(spark, sf, "conversations"))
+    rows = run_sql(spark, RENAMES, events=view(spark, sf, "events"), conversations=view(spark, sf, "conversations"))
+    return rows.withColumnRenamed("happened", "at")
 
 
 @query("rename_conversations", with_ctes("SELECT conv_id, title FROM named", "named"))
@@ -119,8 +120,8 @@ def deleted(spark, sf):
     return V.delete_conversations(messages(spark, sf), ids).select("message_id", "conv_id")
 
 
-# cuts: from the rating events; the conversation they name is sometimes the wrong one
-CUTS = "SELECT message_id, CASE WHEN event_id % 5 = 1 THEN 0 ELSE (message_id - message_id % 1000) // 1000 END AS conv_id FROM ratings WHERE rating = 'down' AND event_id > 5000"
+# cuts: from the latest rating events; the conversation they name is sometimes the wrong one
+CUTS = "SELECT message_id, CASE WHEN event_id % 5 = 1 THEN 0 ELSE (message_id - message_id % 1000) // 1000 END AS conv_id FROM ratings WHERE rating = 'down' AND ts >= TIMESTAMP '2024-01-29 12:00:00'"
 cte("cuts", ["ratings"], CUTS)
 
 
@@ -157,7 +158,7 @@ def popped(spark, sf):
     with_ctes(
         """SELECT m.message_id, r.feedback FROM messages m LEFT JOIN (SELECT message_id, rating AS feedback FROM ratings WHERE rating IS NULL OR rating IN ('up', 'down')
           QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ts DESC, event_id DESC) = 1) r USING (message_id)""",
-        "ratings",
+        "ratings", "messages",
     ),
 )
 def feedback(spark, sf):
