@@ -27,7 +27,8 @@ from hybridq.workload.q_search import hashed_index  # noqa: E402
 
 
 def cases(spark, sf):
-    docs = t.base(spark, sf, "documents")
+    # the bench files have a single row group each; spread them like a larger table's splits
+    docs = t.base(spark, sf, "documents").repartition("doc_id")
     vectors = t.base(spark, sf, "embeddings")
     asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
     passages = t.base(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -36,14 +37,16 @@ def cases(spark, sf):
         "listings": lambda: t.listings(spark, sf),
         "index_build": lambda: t.listing_index(spark, sf),
         "chunk_documents": lambda: documents.chunk_documents(docs),
-        "embed_documents": lambda: embedding.embed_hashing(documents.chunk_documents(docs), ["document_id"]),
+        "embed_documents": lambda: embedding.embed_hashing(
+            documents.chunk_documents(docs), ["doc_id", "document_id"], place=False
+        ),
         "document_index": lambda: hashed_index(spark, sf),
         "vector_topk": lambda: retrieval.vector_topk(asked, vectors, 20, 64, item_key="vec_id"),
         "keyword_topk": lambda: retrieval.keyword_topk(passages, chunks(), 20),
         "raw_retrieve": lambda: retrieval.vector_topk(
             embedding.embed_hashing(passages, ["query_id"]), hashed_index(spark, sf), 20
         ),
-        "parse_queries": lambda: parse_queries(t.view(spark, sf, "requests")),
+        "parse_queries": lambda: parse_queries(t.view(spark, sf, "requests").repartition("query_id")),
         "filter_candidates": lambda: filter_candidates(t.query_log(spark, sf), t.listings(spark, sf)),
         "hybrid_search": lambda: hybrid_search(t.query_log(spark, sf), t.listings(spark, sf), t.listing_index(spark, sf)),
         "conversation_summary": lambda: conversations.conversation_summary(t.view(spark, sf, "messages")),

@@ -60,15 +60,15 @@ def token_bigrams(tokens: Column) -> Column:
     )
 
 
-def feature_bucket(feature: Column, dims: int = vocab.DIMENSIONS) -> Column:
-    """Bucket of a feature: 32 bits of its md5, modulo the vector size."""
-    return (_hash32(feature) % dims).cast("int")
+def feature_hash(feature: Column) -> Column:
+    """The first 32 bits of the md5 of a feature, as a non-negative bigint."""
+    return F.conv(F.substring(F.md5(feature.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def feature_sign(feature: Column) -> Column:
-    """-1 when the top bit of the 32-bit hash is set."""
-    return F.when(_hash32(feature) >= F.lit(2**31), -1.0).otherwise(1.0)
+def hash_bucket(h: Column, dims: int = vocab.DIMENSIONS) -> Column:
+    return (h % dims).cast("int")
 
 
-def _hash32(feature: Column) -> Column:
-    return F.conv(F.substring(F.md5(feature.cast("binary")), 1, 8), 16, 10).cast("long")
+def hash_sign(h: Column) -> Column:
+    """-1 when the top bit of the 32-bit hash is set."""
+    return F.when(h >= F.lit(2**31), -1.0).otherwise(1.0)

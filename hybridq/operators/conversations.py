@@ -225,7 +225,13 @@ def _card_line() -> Column:
     )
 
 
-def export_transcript(messages: DataFrame, listings: DataFrame, exported: str) -> DataFrame:
+def export_transcript(
+    messages: DataFrame,
+    listings: DataFrame,
+    exported: str,
+    heading: str = "Conversation",
+    notice: str = "All job listings are fictional demo data.",
+) -> DataFrame:
     """(conv_id, position, block): the blocks of one Markdown document per conversation.
 
     Blocks in order, joined by line ends, are the document; keeping them as rows
@@ -250,12 +256,12 @@ def export_transcript(messages: DataFrame, listings: DataFrame, exported: str) -
     blocks = body.select("conv_id", "position", lines.alias("block"))
     ends = messages.groupBy("conv_id").agg(F.min("ts").alias("_start"), F.count("*").alias("_n"))
     head = F.concat(
-        F.lit("# Job Search Assistant — conversation\n\n"),
+        F.lit(f"# {heading}\n\n"),
         F.lit(f"_Exported {exported} · started "), F.date_format("_start", day), F.lit("_\n"),
     )
     heads = ends.select("conv_id", F.lit(0).cast("bigint").alias("position"), head.alias("block"))
     tails = ends.select(
         "conv_id", (F.col("_n") + 1).alias("position"),
-        F.lit("---\n_All job listings are fictional demo data._").alias("block"),
+        F.lit(f"---\n_{notice}_").alias("block"),
     )
     return heads.unionByName(blocks).unionByName(tails)

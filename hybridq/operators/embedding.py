@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hybridq import vocab
 from hybridq.functions.strings import let, strip
-from hybridq.functions.text import concept_terms, feature_bucket, feature_sign, token_bigrams, tokenize
+from hybridq.functions.text import concept_terms, feature_hash, hash_bucket, hash_sign, token_bigrams, tokenize
 from hybridq.functions.vectors import l2_norm
 
 
@@ -18,14 +18,17 @@ def tokens_of(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokenize(F.col(text_col)))
 
 
-def feature_weights(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def feature_weights(df: DataFrame, id_cols: list[str], text_col: str = "text", place: bool = True) -> DataFrame:
     """(ids, feature, weight).
 
     Texts are placed by id once; every later grouping includes the ids, so the
-    exploded features never cross the network.
+    exploded features never cross the network.  `place=False` is for rows that are
+    already partitioned by some of the ids.
     """
     tagged = lambda arr, w: F.transform(arr, lambda f: F.struct(f.alias("feature"), F.lit(w).alias("tf")))
-    placed = df.select(*id_cols, F.col(text_col).alias("_text")).repartition(*id_cols)
+    placed = df.select(*id_cols, F.col(text_col).alias("_text"))
+    if place:
+        placed = placed.repartition(*id_cols)
     placed = placed.select(*id_cols, tokenize(F.col("_text")).alias("t"))
     t = F.col("t")
     features = F.concat(
@@ -44,22 +47,27 @@ def feature_weights(df: DataFrame, id_cols: list[str], text_col: str = "text") -
 
 def hash_features(weights: DataFrame, id_cols: list[str], dims: int = vocab.DIMENSIONS) -> DataFrame:
     """(ids, idx, w): signed weights summed per bucket.  A NULL idx marks an empty text."""
-    f = F.col("feature")
+    h = F.col("_hash")
     return (
-        weights.withColumn("idx", feature_bucket(f, dims))
+        weights.withColumn("_hash", feature_hash(F.col("feature")))
+        .select(*id_cols, hash_bucket(h, dims).alias("idx"), (hash_sign(h) * F.col("weight")).alias("w"))
         .groupBy(*id_cols, "idx")
-        .agg(F.sum(feature_sign(f) * F.col("weight")).alias("w"))
+        .agg(F.sum("w").alias("w"))
     )
 
 
 def embed_hashing(
-    df: DataFrame, id_cols: list[str], text_col: str = "text", dims: int = vocab.DIMENSIONS
+    df: DataFrame,
+    id_cols: list[str],
+    text_col: str = "text",
+    dims: int = vocab.DIMENSIONS,
+    place: bool = True,
 ) -> DataFrame:
     """(ids, idx array<int>, val array<double>): sparse unit vectors, zero vectors empty.
 
     The list per id is bounded by `dims`.
     """
-    buckets = hash_features(feature_weights(df, id_cols, text_col), id_cols, dims)
+    buckets = hash_features(feature_weights(df, id_cols, text_col, place), id_cols, dims)
     entry = F.when(F.col("idx").isNotNull() & (F.col("w") != 0), F.struct("idx", "w"))
     packed = buckets.groupBy(*id_cols).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     unit = let(l2_norm(F.col("e.w")), lambda n: F.transform(F.col("e.w"), lambda w: w / n))
@@ -123,13 +131,27 @@ def choose_embedder(remote: DataFrame, local: DataFrame, chunks: DataFrame, mode
     return keyed.join(verdict, "complete", "left_semi").drop("complete")
 
 
+def embed_chunks(chunks: DataFrame, owner: str, dims: int = vocab.DIMENSIONS) -> DataFrame:
+    """Chunks with their vectors, for chunks already partitioned by `owner`.
+
+    Grouping and join both contain the owner, so nothing is shuffled again; the
+    chunks are simply cut a second time for the join side."""
+    keys = [owner, "document_id"]
+    return chunks.join(embed_hashing(chunks, keys, "text", dims, place=False), keys)
+
+
 def index_build(listings: DataFrame, max_chars: int = vocab.CHUNK_MAX_CHARS, dims: int = vocab.DIMENSIONS) -> DataFrame:
-    """Chunks with their vectors: the rows of one index version."""
+    """Chunks with their vectors: the rows of one index version.  One shuffle, of the listings."""
     from hybridq.operators.documents import chunk_listings
 
-    chunks = chunk_listings(listings, max_chars)
-    vectors = embed_hashing(chunks, ["document_id"], "text", dims)
-    return chunks.join(vectors, "document_id")
+    return embed_chunks(chunk_listings(listings.repartition("id"), max_chars), "job_id", dims)
+
+
+def document_index(documents: DataFrame, max_chars: int = vocab.CHUNK_MAX_CHARS, dims: int = vocab.DIMENSIONS) -> DataFrame:
+    """The same for free prose (doc_id, text)."""
+    from hybridq.operators.documents import chunk_documents
+
+    return embed_chunks(chunk_documents(documents.repartition("doc_id"), max_chars), "doc_id", dims)
 
 
 def index_manifest(index: DataFrame, provider: str, model: str, dims: int, dataset_hash, indexed_at) -> DataFrame:

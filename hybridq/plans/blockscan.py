@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 QUERY_BLOCK = 2048
@@ -225,9 +226,8 @@ class KeywordTopK:
 
     def prepare(self, q: pa.Table):
         rows, terms = lists(q, "terms")
-        words = np.array(terms.to_pylist(), dtype=object)
-        codes = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        code = np.array([codes[w] for w in words], dtype=np.int64)
+        codes = terms.unique()
+        code = np.asarray(pa.compute.index_in(terms, codes), dtype=np.int64)
         order = np.argsort(code, kind="stable")
         return {
             "ids": column(q, self.query_key),
@@ -243,7 +243,7 @@ class KeywordTopK:
     def fold(self, state, x: pa.Table) -> None:
         rows, terms = lists(x, "terms")
         codes = state["codes"]
-        code = np.array([codes.get(w, -1) for w in terms.to_pylist()], dtype=np.int64)
+        code = np.asarray(pa.compute.fill_null(pa.compute.index_in(terms, codes), -1), dtype=np.int64)
         rows, code = rows[code >= 0], code[code >= 0]
         n_q, n_x = len(state["n_terms"]), len(x)
         hits = np.zeros(n_q * n_x)

@@ -308,7 +308,7 @@ _line = "'- **' || title || '** at ' || company || ' (Job #' || id || ') · ' ||
 @query(
     "export_transcript",
     with_ctes(
-        f"""SELECT conv_id, 0 AS position, '# Job Search Assistant — conversation' || chr(10) || chr(10) || '_Exported 30 Jan 2024 · started ' || strftime(min(ts), '%-d %b %Y') || '_' || chr(10) AS block FROM messages GROUP BY conv_id
+        f"""SELECT conv_id, 0 AS position, '# Conversation' || chr(10) || chr(10) || '_Exported 30 Jan 2024 · started ' || strftime(min(ts), '%-d %b %Y') || '_' || chr(10) AS block FROM messages GROUP BY conv_id
         UNION ALL SELECT conv_id, count(*) + 1, '---' || chr(10) || '_All job listings are fictional demo data._' FROM messages GROUP BY conv_id
         UNION ALL SELECT p.conv_id, p.position, CASE role WHEN 'USER' THEN '### 🧑 You · ' ELSE '### 🤖 Assistant · ' END || strftime(ts, '%H:%M') || chr(10) || chr(10) || text || chr(10) || coalesce(chr(10) || k.lines || chr(10), '')
         FROM placed p LEFT JOIN (SELECT message_id, string_agg({_line}, chr(10) ORDER BY pos) AS lines FROM attached_cards GROUP BY message_id) k USING (message_id)""",

@@ -8,7 +8,7 @@ from hybridq import vocab
 from hybridq.operators import filters as X
 from hybridq.operators import retrieval as R
 from hybridq.operators import scoring as S
-from hybridq.operators.embedding import embed_hashing
+from hybridq.operators.embedding import document_index, embed_hashing
 from hybridq.plans import search as P
 from hybridq.plans.stages import materialise
 from hybridq.workload import duck
@@ -226,12 +226,7 @@ def sparse_sql(q: str, x: str) -> str:
 
 def hashed_index(spark, sf):
     """Document chunks with their vectors."""
-
-    def build():
-        chunks = document_chunks(spark, sf)
-        return chunks.join(embed_hashing(chunks, ["document_id"]), "document_id")
-
-    return staged(spark, sf, "document_index", build)
+    return staged(spark, sf, "document_index", lambda: document_index(view(spark, sf, "documents")))
 
 
 # benchmark passages: every third is blank, every fifth has no embedding
