@@ -121,9 +121,13 @@ def _band(amount: Column) -> Column:
 
 
 def filter_candidates(
-    queries: DataFrame, listings: DataFrame, facts: list[str] = ("id",), target_rows: int = TARGET_ROWS
+    queries: DataFrame,
+    listings: DataFrame,
+    facts: list[str] = ("id",),
+    target_rows: int = TARGET_ROWS,
+    with_criteria: bool = False,
 ) -> DataFrame:
-    """(query_id, <facts>) for every listing that passes every requested filter.
+    """(query_id, criteria?, <facts>) for every listing that passes every requested filter.
 
     queries: query_id, criteria and optionally restrict_ids array<bigint> (NULL = no
     restriction, empty = no rows)."""
@@ -135,7 +139,7 @@ def filter_candidates(
     rows = listings.select(*needed)
     by_place = c["location"].isNotNull() & ~F.coalesce(c["remote"], F.lit(False))
     free = q.where(F.col("restrict_ids").isNull())
-    out = ["query_id", *facts]
+    out = ["query_id", *(["criteria"] if with_criteria else []), *facts]
 
     # 1. a place is asked: listings meet through the matching place names
     places = match_places(
@@ -237,6 +241,7 @@ def topic_gate_keywords(
     """(query_id, criteria, <facts>) of the keyword gate; `pairs` reuses an earlier keyword_pairs."""
     if pairs is None:
         pairs = keyword_pairs(queries, listings, target_rows)
-    return pairs.join(listings.select(*facts), "id").join(queries.select("query_id", "criteria"), "query_id").select(
+    found = pairs.join(listings.select(*facts), "id")
+    return spread_join(found, queries.select("query_id", "criteria"), ["query_id"], ["id"], target_rows=target_rows).select(
         "query_id", "criteria", *facts
     )

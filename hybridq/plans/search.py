@@ -177,25 +177,45 @@ def relax_filters(
     )
 
 
+def best_similarity(hits: DataFrame) -> DataFrame:
+    """(query_id, best): the highest similarity a query retrieved."""
+    return hits.groupBy("query_id").agg(F.max("score").alias("best"))
+
+
 def matching_pairs(
-    relaxed: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
+    relaxed: DataFrame,
+    listings: DataFrame,
+    target_rows: int = TARGET_ROWS,
+    by_word: DataFrame | None = None,
+    best: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, criteria, <facts>, level_needed): the scored set of every query.
+    """(query_id, criteria, <facts>, level, best): the scored set of every query.
 
-    `criteria` stays the original one; `relaxed` is the output of relax_filters."""
+    `criteria` stays the original one; `relaxed` is the output of relax_filters.  What
+    a pair needs from its query travels inside the criteria struct, so the pairs are
+    never joined back to the queries."""
     c = F.col("criteria")
     alive = relaxed.where(F.col("level").isNotNull())
-    levels = alive.select("query_id", "level")
-    topical = _restricted(topic_pairs(alive, listings, FACTS, target_rows, by_word), alive)
-    gated = topical.join(levels, "query_id").where(required_level(c) <= F.col("level"))
-    open_q = alive.where(~has_topic(c))
-    asked = open_q.select("query_id", F.col("applied").alias("criteria"), *(
-        ["restrict_ids"] if "restrict_ids" in relaxed.columns else []
-    ))
-    free = filter_candidates(asked, listings, FACTS, target_rows).join(
-        open_q.select("query_id", "criteria", "level"), "query_id"
+    if best is None:
+        alive = alive.withColumn("best", F.lit(None).cast("double"))
+    else:
+        alive = alive.join(best, "query_id", "left")
+    carry = lambda struct: struct.withField("_level", F.col("level")).withField("_best", F.col("best"))
+
+    def unpack(pairs: DataFrame, own: Column) -> DataFrame:
+        return pairs.select(
+            "query_id", own.alias("criteria"), *FACTS, c["_level"].alias("level"), c["_best"].alias("best")
+        )
+
+    packed = alive.withColumn("criteria", carry(c))
+    topical = _restricted(topic_pairs(packed, listings, FACTS, target_rows, by_word), packed)
+    gated = unpack(topical.where(required_level(c) <= c["_level"]), c.dropFields("_level", "_best"))
+    limits = ["restrict_ids"] if "restrict_ids" in relaxed.columns else []
+    asked = alive.where(~has_topic(c)).select(
+        "query_id", carry(F.col("applied")).withField("_own", c).alias("criteria"), *limits
     )
-    return gated.unionByName(free)
+    free = filter_candidates(asked, listings, FACTS, target_rows, with_criteria=True)
+    return gated.unionByName(unpack(free, c["_own"]))
 
 
 # ---------------------------------------------------------------------------
@@ -255,10 +275,8 @@ def search_hits(
 
 def _with_similarity(pairs: DataFrame, hits: DataFrame) -> DataFrame:
     per_listing = best_chunk_per_listing(hits).withColumnRenamed("job_id", "id")
-    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
     return (
         pairs.join(per_listing, ["query_id", "id"], "left")
-        .join(best, "query_id", "left")
         .withColumn("similarity", F.coalesce("best_score", F.lit(0.0)))
         .withColumn(
             "semantic_norm",
@@ -305,7 +323,8 @@ def hybrid_search(
     by_word = materialise(keyword_pairs(queries, listings, target_rows), "by_word")
     relaxed = materialise(relax_filters(queries, listings, target_rows, by_word), "relaxed")
     hits = materialise(search_hits(relaxed, listings, index, k, dims), "hits")
-    found = _with_similarity(matching_pairs(relaxed, listings, target_rows, by_word), hits)
+    pairs = matching_pairs(relaxed, listings, target_rows, by_word, best_similarity(hits))
+    found = _with_similarity(pairs, hits)
     applied = relaxed_criteria(F.col("criteria"), F.col("level"))
     found = found.withColumn("parts", scoring.components(applied, F.col("semantic_norm")))
     found = found.withColumn("score", scoring.weighted_score(F.col("parts"), weights))

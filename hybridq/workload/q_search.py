@@ -576,7 +576,8 @@ def semantic_norm(spark, sf):
     rows = listings(spark, sf)
     relaxed = materialise(P.relax_filters(query_log(spark, sf), rows), "relaxed")
     hits = P.search_hits(relaxed, rows, listing_index(spark, sf))
-    out = P._with_similarity(P.matching_pairs(relaxed, rows), hits)
+    hits = materialise(hits, "hits")
+    out = P._with_similarity(P.matching_pairs(relaxed, rows, best=P.best_similarity(hits)), hits)
     num = lambda n: F.floor(c(n) * 1e6 + F.lit(0.5)) / F.lit(1e6)
     return out.select("query_id", "id", num("similarity").alias("similarity"), num("semantic_norm").alias("norm"))
 
