@@ -6,16 +6,31 @@ That cuts the lineage, survives the loss of executors and keeps the plans small.
 
 from __future__ import annotations
 
-import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from hybridq.session import checkpoint_root
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; Spark creates it when something is written there."""
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of a stage that nothing reads any more, through Spark's file systems."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = checkpoint_root(spark)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(conf).delete(path, True)

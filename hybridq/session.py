@@ -1,15 +1,19 @@
-"""Session helper for tests and local runs; a cluster brings its own session."""
+"""Session helpers: a session for tests and local runs; a cluster brings its own."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: str = "8", name: str = "hybridq") -> SparkSession:
-    return (
+    build = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
@@ -20,14 +24,42 @@ def local_session(cores: str = "8", name: str = "hybridq") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return build.getOrCreate()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a private one only where none is set."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where it is unset, one machine must do all the work (master `local[...]`); then a folder
+    of that machine serves.  On a cluster executors couldn't see such a folder, so the
+    setting is asked for.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp" if os.path.isdir("/tmp") else None)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Local masters import it from the driver's own path.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ship-")
+    made = shutil.make_archive(
+        os.path.join(folder, "hybridq"), "zip", root_dir=os.path.dirname(here), base_dir=os.path.basename(here)
+    )
+    context.addPyFile(made)
+    _SHIPPED.add(context.applicationId)
