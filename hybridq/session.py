@@ -47,13 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application.
-
-    Local masters import it from the driver's own path.
-    """
+    """Send this package to the Python workers, once for each application."""
     context = spark.sparkContext
-    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        return
     if context.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
