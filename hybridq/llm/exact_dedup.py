@@ -54,7 +54,7 @@ def dedup_state(feed: DataFrame) -> DataFrame:
     return feed.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def run_stream(spark: SparkSession, feed_path: str, schema, checkpoint: str, bytes_per_trigger: str = "8g") -> DataFrame:
+def run_stream(spark: SparkSession, feed_path: str, schema, checkpoint: str, bytes_per_trigger: int = 8 << 30) -> DataFrame:
     """Bring the state in `checkpoint` up to date with the files in `feed_path`; returns the state as a table."""
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
@@ -71,7 +71,7 @@ def run_stream(spark: SparkSession, feed_path: str, schema, checkpoint: str, byt
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{first}").alias("first"), F.col(f"value.{n}").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, digest=None, bytes_per_trigger: str = "8g") -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=None, bytes_per_trigger: int = 8 << 30) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, _file, _row.
 
     Texts are equal when their normalised forms are.  Null counts as empty.  The smallest doc_id
