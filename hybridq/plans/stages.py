@@ -6,6 +6,7 @@ That cuts the lineage, survives the loss of executors and keeps the plans small.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,12 @@ def drop_stage(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() in path.toUri().getPath():
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of frames that are no longer referenced.
+
+    The cleaner follows the driver's garbage collection, which may come late in a long job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
