@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def all_llm_queries() -> None:
     """Import every query module, which registers its queries."""
-    from hybridq.llm import q_dedup, q_jaccard, q_license, q_neighbours, q_quality, q_substrings, q_tokens  # noqa: F401
+    from hybridq.llm import q_dedup, q_jaccard, q_license, q_neighbours, q_quality, q_substrings, q_tokens, q_warc  # noqa: F401
