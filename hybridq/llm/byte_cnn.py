@@ -192,19 +192,33 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 11, batch: int =
     return m
 
 
-def scorer(m: Model, text: str = "text", score: str = "score"):
-    """A mapInArrow function that adds `score` to each batch."""
+def batch_scores(m: Model, texts: pa.Array) -> np.ndarray:
+    """Scores of a column of texts, some MB at a time; a document is never cut."""
+    data, offsets = text_bytes(texts)
+    parts, low = [np.empty(0)], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (4 << 20), side="right")) - 1)
+        parts.append(score_bytes(m, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
+        low = high
+    return np.concatenate(parts)
+
+
+def scorer(m: Model):
+    """A mapInArrow function that puts a score in the place of the text, the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(batch_scores(m, batch.columns[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "score"])
+
+    return run
+
+
+def keeper(m: Model, threshold: float):
+    """A mapInArrow function that keeps the rows whose text reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(text))
-            parts, low = [], 0
-            while low < batch.num_rows:  # some MB at a time; a document is never cut
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (4 << 20), side="right")) - 1)
-                parts.append(score_bytes(m, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
-                low = high
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != text]
-            names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(parts) if parts else np.empty(0))], [*names, score])
+            yield batch.filter(pa.array(batch_scores(m, batch.column("text")) >= threshold))
 
     return run

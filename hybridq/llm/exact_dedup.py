@@ -39,13 +39,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " ")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with _file and _row, its position in storage; anything but a plain file scan is staged first."""
+def as_scan(docs: DataFrame) -> DataFrame:
+    """`docs` itself if it is read from files row by row, else a staged copy."""
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
     except AnalysisException:
-        staged = materialise(docs, "located")
-        return staged.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return materialise(docs, "located")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """`docs` with _file and _row, its position in storage."""
+    return as_scan(docs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def dedup_state(feed: DataFrame) -> DataFrame:
@@ -129,3 +134,11 @@ def exact_dedup(docs: DataFrame, digest=None, bytes_per_trigger: int = 8 << 30)
         .withColumn("n", F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0))))
         .select(*columns)
     )
+
+
+def distinct_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of `docs` that exact_dedup keeps, unchanged."""
+    docs = as_scan(docs)
+    rows = located(docs)
+    copies = exact_dedup(docs, **settings).where("NOT kept").select("_file", "_row")
+    return rows.join(copies.hint("merge"), ["_file", "_row"], "left_anti").select(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hybridq.llm.arrow import spans, text_bytes
 from hybridq.llm.components import components
-from hybridq.llm.exact_dedup import located
+from hybridq.llm.exact_dedup import as_scan, located
 from hybridq.llm.prefix_tree import group_links
 from hybridq.plans.stages import drop_stage, materialise, release
 
@@ -45,6 +45,7 @@ FREQUENT, FREQUENT_FROM = 100_000, 6
 GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 WITNESS = 0xFFFF
+NO_ID = -(1 << 63)
 BLOCK_DOCS = 0xFFF0
 SKETCH = (
     "kind int, block long, bucket int, id array<long>, tag array<long>, n array<int>, sampled array<int>, own array<int>, "
@@ -331,15 +332,28 @@ def set_edges(sets: DataFrame, percent: int = PERCENT, group_sets: int = GROUP_S
     return edges.unionByName(materialise(_joined(again, sets, percent), "links"))
 
 
+def one_per_component(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of `docs` without near copies: of each component the row with the smallest doc_id stays."""
+    docs = as_scan(docs)
+    found = materialise(jaccard_components(docs, **settings).where("label IS NOT NULL"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+    first = found.groupBy("label").agg(F.min(order).alias("f")).select(F.col("f.tag").alias("tag"), "label", F.lit(True).alias("stays"))
+    # a tag stands for one row within its doc_id
+    dropped = found.join(first, ["label", "tag"], "left").where("stays IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("tag").alias("_tag"))
+    rows = located(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_tag", F.xxhash64("_file", "_row"))
+    return rows.join(dropped, ["_id", "_tag"], "left_anti").select(*docs.columns)
+
+
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_sets: int = GROUP_SETS, frequent: int = FREQUENT
 ) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, tag.
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, tag, label.
 
     A text with fewer than `words` words is one shingle; without words, or null, it is empty and links
     with nothing.  component_id is the smallest doc_id that links reach; null ids aren't chosen
     unless there is no other.  Repeated rows link with each other.  Other columns don't matter;
-    an empty table gives no rows.  `tag` tells rows with the same doc_id apart.
+    an empty table gives no rows.  `tag` tells rows with the same doc_id apart; `label` is equal within a
+    component and null for rows that can't link.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -364,9 +378,9 @@ def jaccard_components(
     release(spark)
 
     # any row of each distinct set stands for it
-    distinct = rows.where("near").groupBy("d0", "d1", "n").agg(F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "tag")).alias("r"), F.min("id").alias("least"))
+    distinct = rows.where("near").groupBy("d0", "d1", "n").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "tag")).alias("r"), F.min("id").alias("least"))
     distinct = materialise(distinct.select("d0", "d1", "n", F.col("r.id").alias("key"), F.col("r.tag").alias("tag"), "least"), "distinct")
-    texts = source.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).drop("id").join(distinct.hint("merge").drop("least"), ["key", "tag"])
+    texts = source.withColumn("key", F.coalesce("id", F.lit(NO_ID))).drop("id").join(distinct.hint("merge").drop("least"), ["key", "tag"])
     order = _ordered_sets(words, percent, often["shingle"].to_numpy(np.int64), often["df"].to_numpy(np.int64), 31 - bits)
     sets = texts.mapInArrow(order, "d0 long, d1 long, n int, head int, shingles binary").withColumn("sid", F.monotonically_increasing_id())
     sets = materialise(sets, "sets")
@@ -376,8 +390,9 @@ def jaccard_components(
     named = distinct.select("d0", "d1", "n", "least").join(sets.select("d0", "d1", "n", "sid"), ["d0", "d1", "n"])
     named = named.join(label, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "label").select("d0", "d1", "n", "component")
+    named = named.join(smallest, "label").select("d0", "d1", "n", "component", "label")
     component = F.when(F.col("near"), F.col("component")).otherwise(F.col("id"))
     return rows.join(named, ["d0", "d1", "n"], "left").select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "tag"
-    )
+        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "tag",
+        F.when(F.col("near"), F.col("label")).alias("label"),
+    )

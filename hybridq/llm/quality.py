@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hybridq.llm.byte_cnn import Model, scorer, train
+from hybridq.llm.byte_cnn import Model, keeper, scorer, train
 
 #: Rows of each class that the model is fitted on, at most, and the longest of their texts.
 SAMPLE_ROWS = 1500
@@ -49,3 +49,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     ddl = "doc_id long, held_out boolean, score double"
     scored = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(scorer(model), ddl)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose text scores `threshold` or more, unchanged; no shuffle."""
+    return docs.mapInArrow(keeper(model, threshold), docs.schema)

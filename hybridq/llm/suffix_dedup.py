@@ -318,3 +318,23 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, ladder=LADDER, hot_bytes
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     ddl = ", ".join(f"`{n}` {kinds[n]}" for n in ["doc_id", *others])
     return joined.mapInArrow(_cutter(window), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [b.decode("utf-8", "ignore") for b in batch.column("text").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def without_repeats(docs: DataFrame, **settings) -> DataFrame:
+    """`docs` with the bytes that stay as text; bytes of a letter that was cut apart go too.
+
+    n_chars, where there is one, is counted anew.  Null text becomes empty.
+    """
+    found = suffix_dedup(docs, **settings)
+    names = {"text": "kept"} | {c: c if c in found.columns else f"{c}_in" for c in docs.columns if c != "text"}
+    if "kept" in docs.columns:
+        names["kept"] = "kept_in"
+    rows = found.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+    out = rows.mapInArrow(_decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
