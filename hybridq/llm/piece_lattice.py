@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from hybridq.llm.arrow import slices, spans, text_bytes
 from hybridq.llm.suffix_array import suffix_array
 
 SPACE = "▁"
-CACHED = 400_000
+CACHED = 500_000
 #: Bytes of words indexed together.
 INDEXED = 1 << 20
 DDL = "doc_id long, ids array<int>"
@@ -247,3 +248,42 @@ def pieces(path: str) -> Pieces:
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
     return _LOADED[path]
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (array<int>) for every row of `docs` (doc_id, text); `path` is the model's file.
+
+    Null and empty texts have no ids; repeated rows give repeated rows; other columns don't matter; an
+    empty table gives none.  No shuffle; a worker remembers CACHED words at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for batch in batches:
+            ids, counts = model.encode(batch.column("text"))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            cells = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), cells], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, DDL)
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """`encoded` (..., ids) with `decoded`, the text of the ids; null ids give an empty text."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        table = slices(np.frombuffer(b"".join(model.decoded), np.uint8), np.cumsum([0, *map(len, model.decoded[:-1])]))
+        for batch in batches:
+            cells = batch.column("ids")
+            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(cells), 0), dtype=np.int64)
+            data, at = text_bytes(table.take(cells.flatten()))
+            ends = at[np.concatenate([[0], np.cumsum(counts)])]
+            raw, cuts = data.tobytes(), ends.tolist()
+            lead = 1 if model.prefix else 0
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+            texts = [t[lead:] if t.startswith(" ") else t for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, f"{fields}, decoded string")
