@@ -38,7 +38,7 @@ def cases(spark, sf):
         "index_build": lambda: t.listing_index(spark, sf),
         "chunk_documents": lambda: documents.chunk_documents(docs),
         "embed_documents": lambda: embedding.embed_hashing(
-            documents.chunk_documents(docs), ["doc_id", "document_id"], place=False
+            documents.chunk_documents(docs), ["doc_id", "document_id"]
         ),
         "document_index": lambda: hashed_index(spark, sf),
         "vector_topk": lambda: retrieval.vector_topk(asked, vectors, 20, 64, item_key="vec_id"),

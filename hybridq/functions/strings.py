@@ -54,3 +54,8 @@ def join_human(items: Column) -> Column:
             F.try_element_at(items, F.lit(-1)),
         )
     )
+
+
+def first_n(items: Column, n: int | None) -> Column:
+    """The first n elements; all of them where n is None."""
+    return items if n is None else F.slice(items, 1, n)

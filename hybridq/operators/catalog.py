@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hybridq.functions.strings import first_n
 from hybridq.functions.formats import date_text, employment_label, format_experience, format_salary, yes_no
 from hybridq.operators.scoring import match_label, match_percent
 from hybridq.plans.joins import TARGET_ROWS, spread_join
 
 
-def page_listings(listings: DataFrame, page: int, size: int) -> DataFrame:
-    """One page, newest first, with the total number of rows and pages."""
-    size, page = min(max(size, 1), 100), max(page, 0)
+def _page_size(size: int, most: int | None) -> int:
+    return max(size, 1) if most is None else min(max(size, 1), most)
+
+
+def page_listings(listings: DataFrame, page: int, size: int, most: int | None = None) -> DataFrame:
+    """One page, newest first, with the total number of rows and pages; `most` bounds the page size, if given.
+
+    Skipped rows pass through one task, so deep pages are for `page_after`.
+    """
+    size, page = _page_size(size, most), max(page, 0)
     rows = (
         listings.orderBy(F.col("posted_date").desc_nulls_last(), "id").offset(page * size).limit(size)
         .withColumn("_one", F.lit(1))
@@ -22,9 +30,9 @@ def page_listings(listings: DataFrame, page: int, size: int) -> DataFrame:
     return rows.join(F.broadcast(total), "_one").drop("_one")
 
 
-def page_after(listings: DataFrame, posted_date, last_id: int, size: int) -> DataFrame:
+def page_after(listings: DataFrame, posted_date, last_id: int, size: int, most: int | None = None) -> DataFrame:
     """Keyset page: rows after (posted_date, id), without reading the skipped ones."""
-    size = min(max(size, 1), 100)
+    size = _page_size(size, most)
     day = F.lit(posted_date).cast("date")
     if posted_date is None:
         after = F.col("posted_date").isNull() & (F.col("id") > last_id)
@@ -239,21 +247,24 @@ def existing_ids(queries: DataFrame, name: str, listings: DataFrame) -> DataFram
     return known.groupBy("query_id").agg(F.transform(ordered, lambda x: x.id).alias("ids"))
 
 
-def resolve_compare_ids(turns: DataFrame, listings: DataFrame) -> DataFrame:
-    """(query_id, ids): explicit ids, else ordinals, else the selection, else the first three shown.
+def resolve_compare_ids(
+    turns: DataFrame, listings: DataFrame, most: int | None = None, most_shown: int | None = None
+) -> DataFrame:
+    """(query_id, ids): explicit ids, else ordinals, else the selection, else what was shown.
 
+    `most` and `most_shown` keep the first ids only, if given.
     turns: query_id, job_ids, ordinals, selected_ids, shown_ids."""
     none = F.array().cast("array<bigint>")
     explicit = existing_ids(turns, "job_ids", listings).withColumnRenamed("ids", "_explicit")
     chosen = existing_ids(turns, "selected_ids", listings).withColumnRenamed("ids", "_chosen")
     both = turns.join(explicit, "query_id", "left").join(chosen, "query_id", "left")
     shown = F.coalesce("shown_ids", none)
-    enough = lambda arr: F.when(F.size(arr) >= 2, F.slice(arr, 1, 4))
+    enough = lambda arr: F.when(F.size(arr) >= 2, first_n(arr, most))
     return both.select(
         "query_id",
         F.coalesce(
             enough(F.col("_explicit")), enough(map_ordinals(F.col("ordinals"), shown)), enough(F.col("_chosen")),
-            F.slice(shown, 1, 3),
+            first_n(shown, most_shown),
         ).alias("ids"),
     )
 

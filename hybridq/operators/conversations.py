@@ -153,15 +153,17 @@ def rejected_feedback(messages: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def fold_search_state(events: DataFrame, query_chars: int = 3900) -> DataFrame:
+def fold_search_state(events: DataFrame, query_chars: int | None = None) -> DataFrame:
     """Latest search state per conversation.
 
     events: conv_id, turn, kind (search, refine or focus), criteria, query,
     candidate_ids, shown_ids, focus_id.  A search replaces the state and clears the
-    focus, a focus sets it, a refinement that showed nothing leaves everything."""
+    focus, a focus sets it, a refinement that showed nothing leaves everything.
+    `query_chars` cuts the stored search text, if given.  The fold is one partial aggregate and
+    serves streams (update mode) as well."""
     c = F.col
     counts = (c("kind") == "search") | ((c("kind") == "refine") & (F.coalesce(F.size("shown_ids"), F.lit(0)) > 0))
-    searched = F.struct("criteria", F.substring("query", 1, query_chars).alias("query"), "candidate_ids", "shown_ids")
+    searched = F.struct("criteria", (F.col("query") if query_chars is None else F.substring("query", 1, query_chars)).alias("query"), "candidate_ids", "shown_ids")
     state = events.groupBy("conv_id").agg(
         F.max_by(F.when(counts, searched), F.when(counts, c("turn"))).alias("s"),
         F.max(F.when(counts, c("turn"))).alias("_searched"),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hybridq import vocab
-from hybridq.functions.strings import let, strip
+from hybridq.functions.strings import strip
 from hybridq.functions.text import concept_terms, feature_hash, hash_bucket, hash_sign, token_bigrams, tokenize
-from hybridq.functions.vectors import l2_norm
 
 
 def tokens_of(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -57,21 +59,68 @@ def hash_features(weights: DataFrame, id_cols: list[str], dims: int = vocab.DIME
 
 
 def embed_hashing(
-    df: DataFrame,
-    id_cols: list[str],
-    text_col: str = "text",
-    dims: int = vocab.DIMENSIONS,
-    place: bool = True,
+    df: DataFrame, id_cols: list[str], text_col: str = "text", dims: int = vocab.DIMENSIONS
 ) -> DataFrame:
-    """(ids, idx array<int>, val array<double>): sparse unit vectors, zero vectors empty.
+    """(ids, idx array<int>, val array<double>): sparse unit vectors, zero vectors empty; a row for each row.
 
-    The list per id is bounded by `dims`.
+    feature_weights and hash_features are the same computation with a row for each feature.
     """
-    buckets = hash_features(feature_weights(df, id_cols, text_col, place), id_cols, dims)
-    entry = F.when(F.col("idx").isNotNull() & (F.col("w") != 0), F.struct("idx", "w"))
-    packed = buckets.groupBy(*id_cols).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    unit = let(l2_norm(F.col("e.w")), lambda n: F.transform(F.col("e.w"), lambda w: w / n))
-    return packed.select(*id_cols, F.col("e.idx").alias("idx"), unit.alias("val"))
+    return with_vectors(df.select(*id_cols, F.col(text_col).alias("_text")), "_text", dims).drop("_text")
+
+
+def with_vectors(df: DataFrame, text_col: str = "text", dims: int = vocab.DIMENSIONS) -> DataFrame:
+    """`df` with idx and val, in one pass over Arrow batches: no shuffle, each distinct feature of a batch hashed once."""
+    words = df.withColumn("_tokens", tokenize(F.col(text_col))).withColumn("_concepts", concept_terms(F.col("_tokens")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, val = _sparse_vectors(batch.column("_tokens"), batch.column("_concepts"), dims)
+            kept = [n for n in batch.schema.names if n not in ("_tokens", "_concepts")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), idx, val], [*kept, "idx", "val"])
+
+    return words.mapInArrow(run, f"{schema}, idx array<int>, val array<double>")
+
+
+def _cells(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten()
+
+
+def _sparse_vectors(tokens: pa.ListArray, concepts: pa.ListArray, dims: int) -> tuple[pa.Array, pa.Array]:
+    (row, words), (concept_row, terms) = _cells(tokens), _cells(concepts)
+    coded = pa.concat_arrays([words.cast(pa.string()), terms.cast(pa.string())]).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    code = np.asarray(coded.indices, dtype=np.int64)
+    own, others, size = code[: len(row)], code[len(row) :], len(names)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    rows = np.concatenate([row, concept_row, row[pair]])
+    keys = np.concatenate([own, others, size + own[pair] * size + own[pair + 1]])
+    tf = np.repeat([vocab.TOKEN_WEIGHT, vocab.CONCEPT_WEIGHT, vocab.BIGRAM_WEIGHT], [len(own), len(others), len(pair)])
+    distinct, at = np.unique(keys, return_inverse=True)
+    spelled = [names[k] if k < size else f"{names[(k - size) // size]}_{names[(k - size) % size]}" for k in distinct.tolist()]
+    # a bigram may be spelled like a token: one feature then
+    number = {f: i for i, f in enumerate(dict.fromkeys(spelled))}
+    feature = np.array([number[f] for f in spelled], dtype=np.int64)[at]
+    hashed = np.array([int(hashlib.md5(f.encode()).hexdigest()[:8], 16) for f in number], dtype=np.int64)
+    rows, feature, tf = _summed(rows, feature, tf)
+    weight = np.where(tf < 1, tf, 1 + np.log(np.maximum(tf, 1)))
+    weight *= np.where(hashed[feature] >= 1 << 31, -1.0, 1.0)
+    rows, bucket, weight = _summed(rows, hashed[feature] % dims, weight)
+    keep = weight != 0
+    rows, bucket, weight = rows[keep], bucket[keep], weight[keep]
+    norm = np.sqrt(np.bincount(rows, weight * weight, minlength=len(tokens)))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(tokens)))]).astype(np.int32))
+    value = weight / norm[rows]
+    return pa.ListArray.from_arrays(offsets, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(value))
+
+
+def _summed(rows: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values added up for each (row, key), in that order."""
+    order = np.lexsort((keys, rows))
+    rows, keys, values = rows[order], keys[order], values[order]
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]))) if len(rows) else order
+    return rows[first], keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
 def to_dense(idx, val, dims: int = vocab.DIMENSIONS):
@@ -131,27 +180,18 @@ def choose_embedder(remote: DataFrame, local: DataFrame, chunks: DataFrame, mode
     return keyed.join(verdict, "complete", "left_semi").drop("complete")
 
 
-def embed_chunks(chunks: DataFrame, owner: str, dims: int = vocab.DIMENSIONS) -> DataFrame:
-    """Chunks with their vectors, for chunks already partitioned by `owner`.
-
-    Grouping and join both contain the owner, so nothing is shuffled again; the
-    chunks are simply cut a second time for the join side."""
-    keys = [owner, "document_id"]
-    return chunks.join(embed_hashing(chunks, keys, "text", dims, place=False), keys)
-
-
 def index_build(listings: DataFrame, max_chars: int = vocab.CHUNK_MAX_CHARS, dims: int = vocab.DIMENSIONS) -> DataFrame:
     """Chunks with their vectors: the rows of one index version.  One shuffle, of the listings."""
     from hybridq.operators.documents import chunk_listings
 
-    return embed_chunks(chunk_listings(listings.repartition("id"), max_chars), "job_id", dims)
+    return with_vectors(chunk_listings(listings.repartition("id"), max_chars), "text", dims)
 
 
 def document_index(documents: DataFrame, max_chars: int = vocab.CHUNK_MAX_CHARS, dims: int = vocab.DIMENSIONS) -> DataFrame:
     """The same for free prose (doc_id, text)."""
     from hybridq.operators.documents import chunk_documents
 
-    return embed_chunks(chunk_documents(documents.repartition("doc_id"), max_chars), "doc_id", dims)
+    return with_vectors(chunk_documents(documents.repartition("doc_id"), max_chars), "text", dims)
 
 
 def index_manifest(index: DataFrame, provider: str, model: str, dims: int, dataset_hash, indexed_at) -> DataFrame:

@@ -23,30 +23,35 @@ FACTS = [
 # ---------------------------------------------------------------------------
 # Predicates (criteria struct column x listing columns)
 # ---------------------------------------------------------------------------
+def _asked(wanted: Column, holds: Column) -> Column:
+    """True unless asked; a listing without the fact (NULL) fails what is asked."""
+    return wanted.isNull() | F.coalesce(holds, F.lit(False))
+
+
 def pred_remote(c: Column) -> Column:
-    return c["remote"].isNull() | (F.col("remote") == c["remote"])
+    return _asked(c["remote"], F.col("remote") == c["remote"])
 
 
 def pred_location(c: Column) -> Column:
     """Case-insensitive substring; a remote search does not filter by place."""
-    asked = c["location"].isNotNull() & ~F.coalesce(c["remote"], F.lit(False))
-    return ~asked | F.contains(F.lower("location"), F.lower(c["location"]))
+    holds = F.contains(F.lower("location"), F.lower(c["location"]))
+    return F.coalesce(c["remote"], F.lit(False)) | _asked(c["location"], holds)
 
 
 def pred_salary_overlap(c: Column) -> Column:
-    return (c["salary_min"].isNull() | (F.col("salary_max") >= c["salary_min"])) & (
-        c["salary_max"].isNull() | (F.col("salary_min") <= c["salary_max"])
+    return _asked(c["salary_min"], F.col("salary_max") >= c["salary_min"]) & _asked(
+        c["salary_max"], F.col("salary_min") <= c["salary_max"]
     )
 
 
 def pred_experience_overlap(c: Column) -> Column:
-    return (c["experience_max"].isNull() | (F.col("experience_min") <= c["experience_max"])) & (
-        c["experience_min"].isNull() | (F.col("experience_max") >= c["experience_min"])
+    return _asked(c["experience_max"], F.col("experience_min") <= c["experience_max"]) & _asked(
+        c["experience_min"], F.col("experience_max") >= c["experience_min"]
     )
 
 
 def pred_employment_type(c: Column) -> Column:
-    return c["employment_type"].isNull() | (F.col("employment_type") == c["employment_type"])
+    return _asked(c["employment_type"], F.col("employment_type") == c["employment_type"])
 
 
 def passes_all(c: Column) -> Column:

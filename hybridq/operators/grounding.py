@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hybridq.functions.formats import (
     bullet_list, date_text, employment_label, format_experience, format_salary, yes_no,
 )
-from hybridq.functions.strings import cut, strings
+from hybridq.functions.strings import cut, first_n, strings
 from hybridq.operators.documents import strip_header
 from hybridq.operators.scoring import match_label, match_percent
 from hybridq.operators.understanding import describe_criteria
@@ -66,15 +66,15 @@ def item_facts() -> Column:
     )
 
 
-def _excerpts(chunks: Column) -> Column:
-    """Up to three excerpts from chunk structs (section, score, text), or an empty text."""
+def _excerpts(chunks: Column, most: int | None) -> Column:
+    """Excerpts from chunk structs (section, score, text), or an empty text."""
     line = lambda x: _say(
         "  (", x.section, ", similarity ", F.format_string("%.2f", x.score), ") ",
         F.replace(strip_header(x.text), F.lit("\n"), F.lit("\n    ")), "\n",
     )
     some = F.coalesce(F.size(chunks), F.lit(0)) > 0
     return F.when(
-        some, _say("Retrieved excerpts:\n", F.array_join(F.transform(F.slice(chunks, 1, 3), line), ""))
+        some, _say("Retrieved excerpts:\n", F.array_join(F.transform(first_n(chunks, most), line), ""))
     ).otherwise("")
 
 
@@ -84,16 +84,17 @@ def _ordered(order: str, text: Column) -> Column:
     )
 
 
-def build_context(ranked: DataFrame, applied_col: str = "criteria") -> DataFrame:
+def build_context(ranked: DataFrame, applied_col: str = "criteria", most_excerpts: int | None = None) -> DataFrame:
     """(query_id, context) from ranked rows with facts, reasons, gaps, chunks (with text),
-    total_matches, dropped and criteria.  Rows per query are the shown ones, a handful."""
+    total_matches, dropped and criteria.  Rows per query are the shown ones, a handful.
+    `most_excerpts` keeps the first excerpts of a listing only, if given."""
     c = F.col
     reasons = F.when(F.size("reasons") > 0, _say("Why it matches: ", F.array_join("reasons", "; "), "\n")).otherwise("")
     gaps = F.when(F.size("gaps") > 0, _say("Gaps: ", F.array_join("gaps", "; "), "\n")).otherwise("")
     block = _say(
         item_facts(), "Match assessment (computed by the search engine, relative): ",
         match_percent(c("score")).cast("string"), "% - ", match_label(c("score")), "\n",
-        reasons, gaps, _excerpts(c("chunks")), "\n",
+        reasons, gaps, _excerpts(c("chunks"), most_excerpts), "\n",
     )
     rows = ranked.withColumns({"_block": block, "_summary": describe_criteria(c(applied_col))})
     per_query = rows.groupBy("query_id").agg(
@@ -183,8 +184,10 @@ def state_block(states: DataFrame, listings: DataFrame) -> DataFrame:
     )
 
 
-def extraction_prompt(turns: DataFrame, listings: DataFrame) -> DataFrame:
-    """(query_id, prompt) from turns (query_id, text, criteria, shown_ids, history)."""
+def extraction_prompt(turns: DataFrame, listings: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """(query_id, prompt) from turns (query_id, text, criteria, shown_ids, history).
+
+    `message_chars` cuts the messages of the history, if given."""
     c = F.col
     rows = turns.join(_shown(turns, listings), "query_id", "left")
     numbered = F.array_join(
@@ -193,7 +196,7 @@ def extraction_prompt(turns: DataFrame, listings: DataFrame) -> DataFrame:
     spoken = F.array_join(
         F.transform(
             "history",
-            lambda m: _say(m.role, ": ", F.replace(cut(m.content, 400), F.lit("\n"), F.lit(" ")), "\n"),
+            lambda m: _say(m.role, ": ", F.replace(m.content if message_chars is None else cut(m.content, message_chars), F.lit("\n"), F.lit(" ")), "\n"),
         ),
         "",
     )
@@ -209,11 +212,14 @@ def extraction_prompt(turns: DataFrame, listings: DataFrame) -> DataFrame:
     )
 
 
-def answer_search(ranked: DataFrame) -> DataFrame:
-    """(query_id, answer): deterministic result text from the shown rows of each query."""
+def answer_search(ranked: DataFrame, queries: DataFrame | None = None, most_reasons: int | None = None) -> DataFrame:
+    """(query_id, answer): deterministic result text from the shown rows of each query.
+
+    With `queries` (query_id, criteria), those without a row in `ranked` are answered too.
+    `most_reasons` keeps the first reasons of a listing only, if given."""
     c = F.col
     why = F.when(
-        F.size("reasons") > 0, _say("   Why: ", F.array_join(F.slice("reasons", 1, 3), "; "), "\n")
+        F.size("reasons") > 0, _say("   Why: ", F.array_join(first_n(c("reasons"), most_reasons), "; "), "\n")
     ).otherwise("")
     item = _say(
         c("rank").cast("string"), ". **", c("title"), "** - ", c("company"), " (Job #", c("id").cast("string"), ")\n   ",
@@ -240,7 +246,13 @@ def answer_search(ranked: DataFrame) -> DataFrame:
     filters = F.when(c("_filters") != "", _say(" (", c("_filters"), ")")).otherwise("")
     top = F.when(c("_total") > c("_shown"), _say(". Top ", c("_shown").cast("string"), ":")).otherwise(":")
     text = _say(opening, filters, top, "\n\n", c("_items"))
-    return per_query.select("query_id", F.regexp_replace(text, r"[\x00-\x20]+$", "").alias("answer"))
+    found = per_query.select("query_id", F.regexp_replace(text, r"[\x00-\x20]+$", "").alias("answer"))
+    if queries is None:
+        return found
+    none = answer_no_results(c("criteria"))
+    return queries.select("query_id", "criteria").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("answer", none).alias("answer")
+    )
 
 
 def answer_no_results(criteria: Column) -> Column:

@@ -155,10 +155,10 @@ def retrieve(
 
 
 def raw_retrieve(
-    queries: DataFrame, index: DataFrame, k: int = 10, dims: int = vocab.DIMENSIONS
+    queries: DataFrame, index: DataFrame, k: int = 10, dims: int = vocab.DIMENSIONS, most: int | None = None
 ) -> DataFrame:
-    """Inspection view over everything: k clamped to 1..50, score at four decimals."""
-    hits = vector_topk(queries, index, min(max(k, 1), 50), dims)
+    """Inspection view over everything: the k best (one at least, `most` at most, if given), score at four decimals."""
+    hits = vector_topk(queries, index, max(k, 1) if most is None else min(max(k, 1), most), dims)
     return hits.join(index.select("document_id", "job_id", "section", "text", "metadata"), "document_id").select(
         "query_id", "rank", "document_id", "job_id", "section",
         round_half_up(F.col("score"), 4).alias("similarity"), "metadata", "text",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridq import vocab
 from hybridq.functions.formats import employment_label, format_experience, format_lakhs, format_salary
-from hybridq.functions.strings import join_human, let, round_half_up
+from hybridq.functions.strings import first_n, join_human, let, round_half_up
 from hybridq.operators.retrieval import order_key
 
 COMPONENTS = list(vocab.WEIGHTS)
@@ -123,8 +123,11 @@ def describe_experience(c: Column) -> Column:
     )
 
 
-def match_explanations(c: Column, semantic: Column, sections: Column) -> tuple[Column, Column]:
-    """(reasons, gaps) as string arrays.  `sections` lists the sections of the listing's hits."""
+def match_explanations(
+    c: Column, semantic: Column, sections: Column, most_sections: int | None = None
+) -> tuple[Column, Column]:
+    """(reasons, gaps) as string arrays.  `sections` lists the sections of the listing's hits;
+    `most_sections` names the first ones only, if given."""
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     col = F.col
     matched, missing = matched_skills(c), missing_skills(c)
@@ -135,7 +138,7 @@ def match_explanations(c: Column, semantic: Column, sections: Column) -> tuple[C
     exp, place, rem = experience_fit(c), location_fit(c), remote_fit(c)
     has_min, has_max = c["salary_min"].isNotNull(), c["salary_max"].isNotNull()
     above, reaches = col("salary_min") >= c["salary_min"], col("salary_max") >= c["salary_min"]
-    hit_sections = F.array_join(F.slice(F.array_distinct(_lower_all(sections)), 1, 3), ", ")
+    hit_sections = F.array_join(first_n(F.array_distinct(_lower_all(sections)), most_sections), ", ")
     reasons = [
         F.when(
             (semantic >= 0.8) & (F.coalesce(F.size(sections), F.lit(0)) > 0),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hybridq import vocab
 from hybridq.functions.formats import employment_label, format_lakhs
-from hybridq.functions.strings import blank_to_null, look_up, string_map, strings, strip
+from hybridq.functions.strings import blank_to_null, first_n, look_up, string_map, strings, strip
 from hybridq.functions.text import tokenize
 
 CRITERIA = [
@@ -163,8 +163,8 @@ def extract_employment_type(lower: Column) -> Column:
     )
 
 
-def extract_keywords(text: Column, skills: Column, location: Column) -> Column:
-    """Up to eight topic words that are not filters, skills or places."""
+def extract_keywords(text: Column, skills: Column, location: Column, limit: int | None = None) -> Column:
+    """Topic words that are not filters, skills or places; the first `limit`, if given."""
     spoken = F.flatten(F.transform(skills, lambda s: tokenize(s)))
     place = F.when(location.isNull(), strings([])).otherwise(tokenize(location))
     aliases = "|".join(a for names in vocab.LOCATIONS.values() for a in names)
@@ -175,7 +175,7 @@ def extract_keywords(text: Column, skills: Column, location: Column) -> Column:
         & ~t.isin(vocab.NON_TOPIC)
         & ~t.rlike(f"{O}(?:{aliases}){S}"),
     )
-    return F.slice(F.array_except(F.array_distinct(topic), F.concat(spoken, place)), 1, 8)
+    return first_n(F.array_except(F.array_distinct(topic), F.concat(spoken, place)), limit)
 
 
 def extract_ordinals(lower: Column) -> Column:
@@ -399,8 +399,10 @@ def _is_number(v: Column) -> Column:
 
 
 def _scalar(v: Column, path: str) -> Column:
-    """Trimmed text of a JSON scalar; blank and the word null count as missing."""
-    text = blank_to_null(F.try_variant_get(v, path, "string"))
+    """Trimmed text of a JSON scalar; blank, the word null, lists and objects count as missing."""
+    field = F.try_variant_get(v, path, "variant")
+    single = _is_text(field) | _is_number(field) | (_kind(field) == "BOOLEAN")
+    text = blank_to_null(F.when(single, F.try_variant_get(v, path, "string")))
     return F.when(F.lower(text) == "null", F.lit(None)).otherwise(text)
 
 
@@ -408,12 +410,12 @@ def _elements(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _texts(v: Column, path: str) -> Column:
-    """First 20 non-blank texts of a JSON list."""
+def _texts(v: Column, path: str, limit: int | None) -> Column:
+    """Non-blank texts of a JSON list; the first `limit`, if given."""
     texts = F.transform(
         F.filter(_elements(v, path), _is_text), lambda x: strip(F.try_variant_get(x, "$", "string"))
     )
-    return F.slice(F.filter(texts, lambda s: s != ""), 1, 20)
+    return first_n(F.filter(texts, lambda s: s != ""), limit)
 
 
 def _number(v: Column, path: str) -> Column:
@@ -444,8 +446,13 @@ def _employment_code(text: Column) -> Column:
     return F.when(code.isin(list(vocab.EMPLOYMENT_LABELS)), code)
 
 
-def parse_model_json(outputs: DataFrame, raw_col: str = "raw", message_col: str = "text") -> DataFrame:
-    """Adds the analysis read from model output, plus `error` (NULL when usable)."""
+def parse_model_json(
+    outputs: DataFrame, raw_col: str = "raw", message_col: str = "text", list_limit: int | None = None
+) -> DataFrame:
+    """Adds the analysis read from model output, plus `error` (NULL when usable).
+
+    Lists and objects where one value is expected count as missing.  `list_limit` bounds JSON lists.
+    """
     body = F.regexp_extract(F.col(raw_col), r"(?s)\{.*\}", 0)
     df = outputs.withColumn("_body", body).withColumn("_v", F.try_parse_json("_body"))
     v = F.col("_v")
@@ -457,8 +464,8 @@ def parse_model_json(outputs: DataFrame, raw_col: str = "raw", message_col: str
     # fields first, so that the rules below read columns instead of repeating the JSON access
     df = df.withColumns(
         {
-            "_skills": _texts(v, "$.skills"),
-            "_words": _texts(v, "$.keywords"),
+            "_skills": _texts(v, "$.skills", list_limit),
+            "_words": _texts(v, "$.keywords", list_limit),
             "_place": _scalar(v, "$.location"),
             "_remote": F.when(_kind(remote) == "BOOLEAN", F.try_variant_get(remote, "$", "boolean")),
             "_low": _whole(v, "$.experienceMin"),
@@ -466,7 +473,7 @@ def parse_model_json(outputs: DataFrame, raw_col: str = "raw", message_col: str
             "_pay_low": _number(v, "$.salaryMin"),
             "_pay_high": _number(v, "$.salaryMax"),
             "_type": _scalar(v, "$.employmentType"),
-            "_intent": F.upper(F.coalesce(strip(F.try_variant_get(v, "$.intent", "string")), F.lit("NEW_SEARCH"))),
+            "_intent": F.upper(F.coalesce(_scalar(v, "$.intent"), F.lit("NEW_SEARCH"))),
             "standalone_query": F.coalesce(_scalar(v, "$.standaloneQuery"), F.col(message_col)),
             "ordinals": F.filter(integers("$.ordinals"), lambda x: x.between(1, 20)).cast("array<int>"),
             "job_ids": F.filter(integers("$.jobIds"), lambda x: x > 0),

@@ -321,8 +321,11 @@ class RelaxationLevel:
         fits_place[q["place_rows"][np.repeat(low, width) + offset], np.repeat(np.arange(len(x)), width)] = True
         asked = lambda name: ~np.isnan(q[name])
         fails = [
-            (f["salary_max"] < q["salary_min"]) | (f["salary_min"] > q["salary_max"]),
-            (f["experience_min"] > q["experience_max"]) | (f["experience_max"] < q["experience_min"]),
+            # an unknown fact (NaN) fails what is asked
+            (asked("salary_min") & ~(f["salary_max"] >= q["salary_min"]))
+            | (asked("salary_max") & ~(f["salary_min"] <= q["salary_max"])),
+            (asked("experience_max") & ~(f["experience_min"] <= q["experience_max"]))
+            | (asked("experience_min") & ~(f["experience_max"] >= q["experience_min"])),
             q["asked_place"][:, None] & ~fits_place & (q["remote"] != 1),
             asked("type_code") & (f["type_code"] != q["type_code"]),
             asked("remote") & (f["remote"] != q["remote"]),

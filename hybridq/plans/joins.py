@@ -3,8 +3,8 @@
 `spread_join` counts the keys of the large side once (map-side combined), finds
 those above `target_rows`, cuts each of them into as many pieces as it needs and
 copies the matching rows of the other side to every piece.  Cold keys are left
-alone.  The hot-key table holds at most |large| / target_rows rows, which is the
-bound that justifies broadcasting it.
+alone.  The hot-key table has at most |large| / target_rows rows; Spark broadcasts it if
+it measures small enough.
 """
 
 from __future__ import annotations
@@ -24,6 +24,18 @@ def hot_keys(large: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS)
     )
 
 
+def hot_products(large: DataFrame, small: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """keys + `pieces` for every key whose rows, or joined rows, exceed `target_rows`: either side may be the hot one."""
+    ours = large.groupBy(*keys).agg(F.count("*").alias("_large"))
+    theirs = small.groupBy(*keys).agg(F.count("*").alias("_small"))
+    made = F.col("_large") * F.greatest(F.coalesce("_small", F.lit(1)), F.lit(1))
+    return (
+        ours.join(theirs, keys, "left")
+        .where(made > target_rows)
+        .select(*keys, F.least(F.ceil(made / F.lit(target_rows)), F.col("_large")).cast("int").alias("pieces"))
+    )
+
+
 def spread_join(
     large: DataFrame,
     small: DataFrame,
@@ -38,7 +50,7 @@ def spread_join(
     `how` is seen from `large`: inner, left, left_semi or left_anti.  `extra` is an
     additional Column condition over the two sides.
     """
-    hot = F.broadcast(hot_keys(large, keys, target_rows))
+    hot = hot_products(large, small, keys, target_rows)
     pieces = F.coalesce(F.col("pieces"), F.lit(1))
     cut = (
         large.join(hot, keys, "left")

@@ -336,7 +336,9 @@ def hybrid_search(
     sections = F.transform(F.coalesce("chunks", F.array().cast(CHUNK_LIST)), lambda x: x.section)
     reasons, gaps = scoring.match_explanations(F.col("criteria"), F.col("semantic_norm"), sections)
     dropped = dropped_filters(F.col("criteria"), F.col("level"))
-    mode = F.when(has_topic(F.col("criteria")), "vector").otherwise("none")
+    # a query that retrieved nothing (no topic, no text, no chunk left) says so
+    final = final.join(hits.select("query_id").distinct().withColumn("_hit", F.lit(True)), "query_id", "left")
+    mode = F.when(F.col("_hit"), "vector").otherwise("none")
     return final.select(
         "query_id", "rank", *FACTS, "score", "similarity",
         scoring.rounded_breakdown(F.col("parts")).alias("breakdown"),

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hybridq.operators.conversations import title_from_text
+from hybridq.operators.conversations import fold_search_state, title_from_text
 from hybridq.operators.documents import chunk_documents
-from hybridq.operators.embedding import embed_hashing
+from hybridq.operators.embedding import with_vectors
 from hybridq.operators.traces import trace_metrics
 
 
@@ -31,8 +26,7 @@ def stream_index(documents: DataFrame, path: str, checkpoint: str, max_chars: in
 
     def write(batch: DataFrame, batch_id: int) -> None:
         chunks = chunk_documents(batch, max_chars)
-        vectors = embed_hashing(chunks, ["document_id"], "text", dims)
-        chunks.join(vectors, "document_id").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with_vectors(chunks, "text", dims).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_available(documents, write, checkpoint)
 
@@ -48,44 +42,15 @@ def stream_conversation_summary(messages: DataFrame) -> DataFrame:
     )
 
 
-STATE_SCHEMA = "searched bigint, payload string, focused bigint, focus_id bigint"
-SEARCH_STATE = "conv_id bigint, criteria string, query string, candidate_ids array<bigint>, shown_ids array<bigint>, focus_id bigint"
-
-
-def stream_search_state(events: DataFrame, query_chars: int = 3900) -> DataFrame:
-    """fold_search_state, incrementally: the state is one search and one focus per conversation."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        searched, payload, focused, focus = state.get if state.exists else (None, None, None, None)
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                turn = int(row.turn)
-                shown = [] if row.shown_ids is None else [int(x) for x in row.shown_ids]
-                if row.kind == "focus":
-                    if focused is None or turn > focused:
-                        focused, focus = turn, int(row.focus_id)
-                elif row.kind == "search" or (row.kind == "refine" and shown):
-                    if searched is None or turn > searched:
-                        candidates = [] if row.candidate_ids is None else [int(x) for x in row.candidate_ids]
-                        searched = turn
-                        payload = json.dumps([row.criteria, (row.query or "")[:query_chars], candidates, shown])
-        state.update((searched, payload, focused, focus))
-        criteria, query, candidates, shown = json.loads(payload) if payload else (None, None, None, None)
-        live = focused is not None and (searched is None or focused > searched)
-        yield pd.DataFrame(
-            {
-                "conv_id": [key[0]], "criteria": [criteria], "query": [query], "candidate_ids": [candidates],
-                "shown_ids": [shown], "focus_id": pd.array([focus if live else None], dtype="Int64"),
-            }
-        )
-
-    return events.groupBy("conv_id").applyInPandasWithState(
-        fold, SEARCH_STATE, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
+def stream_search_state(events: DataFrame, query_chars: int | None = None) -> DataFrame:
+    """fold_search_state over a stream (update mode): one search and one focus per conversation, kept in the JVM."""
+    return fold_search_state(events, query_chars)
+
 
+def stream_feedback(ratings: DataFrame, delay: str) -> DataFrame:
+    """Latest valid rating per message, repeated events dropped (update mode).
 
-def stream_feedback(ratings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Latest valid rating per message, repeated events dropped (update mode)."""
+    Events repeated more than `delay` after each other may count twice; the latest rating is the same."""
     valid = ratings.where(F.col("rating").isNull() | F.col("rating").isin("up", "down"))
     once = valid.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy("message_id").agg(
@@ -93,6 +58,6 @@ def stream_feedback(ratings: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select("message_id", F.col("last.rating").alias("rating"), "rated_at")
 
 
-def stream_trace_metrics(traces: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """trace_metrics over a stream; rows older than the watermark are dropped."""
+def stream_trace_metrics(traces: DataFrame, delay: str, width: str = "5 minutes") -> DataFrame:
+    """trace_metrics over a stream; rows more than `delay` behind the newest are dropped, so the caller must name it."""
     return trace_metrics(traces.withWatermark("at", delay), width)

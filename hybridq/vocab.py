@@ -71,12 +71,12 @@ CONCEPTS = {
     "fullstack": ["frontend", "backend"],
 }
 
-STOPWORDS = (
-    "a an the and or of to in on for with at by from as is "
-    "are be this that it its we you our your i im me my will "
-    "have has who what which into across such etc can do does find "
-    "show want looking need please any some all am also about using"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "at", "by", "from", "as", "is", "are",
+    "be", "this", "that", "it", "its", "we", "you", "our", "your", "i", "im", "me", "my", "will", "have", "has",
+    "who", "what", "which", "into", "across", "such", "etc", "can", "do", "does", "find", "show", "want", "looking",
+    "need", "please", "any", "some", "all", "am", "also", "about", "using",
+]
 
 DIMENSIONS = 1024
 TOKEN_WEIGHT = 1.0
@@ -223,19 +223,19 @@ ORDINALS = {
 }
 NUMBER_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "2": 2, "3": 3, "4": 4, "5": 5}
 
-NON_TOPIC = (
-    "job role position opening opportunity opportunitie vacancy vacancie work "
-    "remote hybrid onsite office salary lpa lakh lakhs lac inr rs year "
-    "years yrs experience exp above below over under less more than least "
-    "most minimum maximum min max between only just also show list give "
-    "get search look compare comparison versus vs first second third top "
-    "best matching match engineer fresher india city location based full time "
-    "part contract internship intern permanent those these them then now like "
-    "would could should many much new good great hi hello hey thank "
-    "thanks ok okay per annum month high higher paying pay package ctc "
-    "offer available current currently id require requiring required requirement "
-    "skill skilled knowledge background someone people plus etc tell know"
-).split()
+NON_TOPIC = [
+    "job", "role", "position", "opening", "opportunity", "opportunitie", "vacancy", "vacancie", "work", "remote",
+    "hybrid", "onsite", "office", "salary", "lpa", "lakh", "lakhs", "lac", "inr", "rs", "year", "years", "yrs",
+    "experience", "exp", "above", "below", "over", "under", "less", "more", "than", "least", "most", "minimum",
+    "maximum", "min", "max", "between", "only", "just", "also", "show", "list", "give", "get", "search", "look",
+    "compare", "comparison", "versus", "vs", "first", "second", "third", "top", "best", "matching", "match",
+    "engineer", "fresher", "india", "city", "location", "based", "full", "time", "part", "contract", "internship",
+    "intern", "permanent", "those", "these", "them", "then", "now", "like", "would", "could", "should", "many",
+    "much", "new", "good", "great", "hi", "hello", "hey", "thank", "thanks", "ok", "okay", "per", "annum", "month",
+    "high", "higher", "paying", "pay", "package", "ctc", "offer", "available", "current", "currently", "id",
+    "require", "requiring", "required", "requirement", "skill", "skilled", "knowledge", "background", "someone",
+    "people", "plus", "etc", "tell", "know",
+]
 
 INTENTS = ["NEW_SEARCH", "REFINE", "COMPARE", "JOB_QUESTION", "GENERAL"]
 LAKH = 100_000
@@ -259,6 +259,5 @@ POOL_SIZE = 50
 MAX_RETURNED = 5
 HISTORY_WINDOW = 8
 EMBED_BATCH = 32
-TRACE_CAPACITY = 50
 SECTIONS = ["OVERVIEW", "SKILLS", "REQUIREMENTS", "RESPONSIBILITIES", "BENEFITS"]
 RECENCY_GROUPS = ["Today", "Yesterday", "Previous 7 days", "Previous 30 days", "Older"]

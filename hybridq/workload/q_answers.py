@@ -72,8 +72,8 @@ _strip = "CASE WHEN part_text LIKE 'Job: %' AND contains(part_text, chr(10)) THE
 cte(
     "hit_lines", ["hs_h", "listing_chunks"],
     f"""SELECT query_id, id, string_agg('  (' || section || ', similarity ' || printf('%.2f', score) || ') ' || replace(body, chr(10), chr(10) || '    ') || chr(10), '' ORDER BY hrank) AS lines FROM (
-      SELECT h.query_id, h.id, h.section, h.score, h.hrank, {_strip} AS body, row_number() OVER (PARTITION BY h.query_id, h.id ORDER BY h.hrank) AS n FROM hs_h h JOIN listing_chunks k ON k.document_id = h.document_id)
-     WHERE n <= 3 GROUP BY 1, 2""",
+      SELECT h.query_id, h.id, h.section, h.score, h.hrank, {_strip} AS body, h.hrank AS n FROM hs_h h JOIN listing_chunks k ON k.document_id = h.document_id)
+     GROUP BY 1, 2""",
 )
 _r, _g = explain_sql("h.semantic_norm", "coalesce(h.sections, []::VARCHAR[])")
 _score = half_up("h.score", 9)
@@ -128,20 +128,25 @@ def build_context(spark, sf):
     return G.build_context(rows)
 
 
+_asked = describe_sql("q.skills", "q.keywords", "q.")
+
+
 @query(
     "answer_search",
     with_ctes(
-        f"""SELECT query_id, regexp_replace(CASE WHEN len(any_value(dropped)) > 0 THEN 'No job matched all of your filters, so I relaxed: ' || array_to_string(any_value(dropped), ', ') || '. Here are the closest matches'
+        f"""SELECT q.query_id, coalesce(a.answer, 'I couldn''t find any jobs in the knowledge base matching your request' ||
+          CASE WHEN {_asked} <> '' THEN ' (' || {_asked} || ')' ELSE '' END || '. Try removing a filter, widening the salary or experience range, or searching for a related skill.') AS answer
+        FROM ql q LEFT JOIN (SELECT query_id, regexp_replace(CASE WHEN len(any_value(dropped)) > 0 THEN 'No job matched all of your filters, so I relaxed: ' || array_to_string(any_value(dropped), ', ') || '. Here are the closest matches'
           ELSE 'I found ' || any_value(total_matches) || CASE WHEN any_value(total_matches) = 1 THEN ' job' ELSE ' jobs' END || ' matching your request' END ||
           CASE WHEN any_value(summary) <> '' THEN ' (' || any_value(summary) || ')' ELSE '' END || CASE WHEN any_value(total_matches) > count(*) THEN '. Top ' || count(*) || ':' ELSE ':' END || chr(10) || chr(10) ||
           string_agg(s.rank || '. **' || l.title || '** - ' || l.company || ' (Job #' || l.id || ')' || chr(10) || '   ' || l.location || CASE WHEN l.remote THEN ' · Remote' ELSE '' END || ' · ' || {duck.salary('l.')} || ' · ' ||
-            {duck.years('l.')} || chr(10) || CASE WHEN len(reasons) > 0 THEN '   Why: ' || array_to_string(list_slice(reasons, 1, 3), '; ') || chr(10) ELSE '' END, '' ORDER BY s.rank), '[\\x00-\\x20]+$', '') AS answer
-        FROM shown s JOIN listings l USING (id) GROUP BY query_id""",
-        "shown",
+            {duck.years('l.')} || chr(10) || CASE WHEN len(reasons) > 0 THEN '   Why: ' || array_to_string(reasons, '; ') || chr(10) ELSE '' END, '' ORDER BY s.rank), '[\\x00-\\x20]+$', '') AS answer
+        FROM shown s JOIN listings l USING (id) GROUP BY query_id) a ON a.query_id = q.query_id""",
+        "shown", "ql", "listings",
     ),
 )
 def answer_search(spark, sf):
-    return G.answer_search(shown(spark, sf))
+    return G.answer_search(shown(spark, sf), query_log(spark, sf))
 
 
 # questions about single listings: the request texts, each about the listing with its number
@@ -263,7 +268,7 @@ def traces(spark, sf):
     return run_sql(spark, TRACES + " ", events=view(spark, sf, "events")).withColumnRenamed("happened", "at")
 
 
-@query("recent_traces", f"SELECT trace_id, intent FROM ({TRACES}) ORDER BY happened DESC, trace_id DESC LIMIT 50")
+@query("recent_traces", f"SELECT trace_id, intent FROM ({TRACES}) ORDER BY happened DESC, trace_id DESC LIMIT 80")
 def recent_traces(spark, sf):
     return T.recent_traces(traces(spark, sf), 80).select("trace_id", "intent")
 

@@ -20,8 +20,8 @@ def flat(name):
 @query(
     "page_listings",
     with_ctes(
-        """SELECT id, title, total_rows, CAST(ceil(total_rows / 100.0) AS BIGINT) AS total_pages FROM (SELECT id, title, posted_date, count(*) OVER () AS total_rows FROM listings)
-        ORDER BY posted_date DESC NULLS LAST, id LIMIT 100 OFFSET 300""",
+        """SELECT id, title, total_rows, CAST(ceil(total_rows / 400.0) AS BIGINT) AS total_pages FROM (SELECT id, title, posted_date, count(*) OVER () AS total_rows FROM listings)
+        ORDER BY posted_date DESC NULLS LAST, id LIMIT 400 OFFSET 1200""",
         "listings",
     ),
 )
@@ -241,7 +241,7 @@ def map_ordinals(spark, sf):
 @query(
     "resolve_compare_ids",
     with_ctes(
-        f"""SELECT query_id, {joined("CASE WHEN len(known) >= 2 THEN known[1:4] WHEN len(mapped) >= 2 THEN mapped[1:4] WHEN len(picked) >= 2 THEN picked[1:4] ELSE shown_ids[1:3] END")} AS ids FROM resolved""",
+        f"""SELECT query_id, {joined("CASE WHEN len(known) >= 2 THEN known WHEN len(mapped) >= 2 THEN mapped WHEN len(picked) >= 2 THEN picked ELSE shown_ids END")} AS ids FROM resolved""",
         "resolved",
     ),
 )

@@ -186,7 +186,7 @@ FROM messages
 cte("state_events", ["messages"], STATE.replace("AS STRING", "AS VARCHAR"))
 cte(
     "states", ["state_events"],
-    """SELECT e.conv_id, s.criteria, left(s.query, 3900) AS query, CASE WHEN s.base IS NOT NULL THEN [s.base, s.base + 1, s.base + 2] END AS candidate_ids,
+    """SELECT e.conv_id, s.criteria, s.query, CASE WHEN s.base IS NOT NULL THEN [s.base, s.base + 1, s.base + 2] END AS candidate_ids,
       CASE WHEN s.base IS NOT NULL THEN [s.base, s.base + 1] END AS shown_ids, CASE WHEN f.turn > coalesce(s.turn, -1) THEN f.base END AS focus_id
     FROM (SELECT DISTINCT conv_id FROM state_events) e
     LEFT JOIN (SELECT * FROM state_events WHERE kind = 'search' OR (kind = 'refine' AND NOT nothing) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) s USING (conv_id)

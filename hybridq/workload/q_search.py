@@ -260,7 +260,7 @@ def retrieve(spark, sf):
     "raw_retrieve",
     with_ctes(
         f"""SELECT query_id, rank, document_id, {half_up('score', 4)} AS similarity, text FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('score')} DESC, document_id) AS rank FROM ({sparse_sql('be', 'ce')})) JOIN document_chunks USING (document_id) WHERE rank <= 50""",
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('score')} DESC, document_id) AS rank FROM ({sparse_sql('be', 'ce')})) JOIN document_chunks USING (document_id) WHERE rank <= 80""",
         "be",
         "ce",
     ),
@@ -403,7 +403,7 @@ def explain_sql(sem="NULL::DOUBLE", sections="[]::VARCHAR[]"):
     wanted, cap = f"'₹' || {duck.lakhs('q.salary_min')} || ' LPA'", f"'₹' || {duck.lakhs('q.salary_max')} || ' LPA'"
     low_sections = f"list_transform({sections}, lambda s: lower(s))"
     reasons = [
-        f"CASE WHEN {sem} >= 0.8 AND len({sections}) > 0 THEN 'Job content closely matches your request (' || array_to_string(list_slice({ordered_distinct(low_sections)}, 1, 3), ', ') || ')' END",
+        f"CASE WHEN {sem} >= 0.8 AND len({sections}) > 0 THEN 'Job content closely matches your request (' || array_to_string({ordered_distinct(low_sections)}, ', ') || ')' END",
         f"CASE WHEN len({MATCHED}) > 0 THEN {human(MATCHED)} || CASE WHEN len({MATCHED}) = 1 THEN ' matches' ELSE ' match' END END",
         f"CASE WHEN {exp_fit()} >= 1 THEN 'Requires ' || {need} || ' - within your range (' || {asked_years()} || ')' END",
         f"CASE {place_fit()} WHEN 1.0 THEN 'Located in ' || l.location WHEN 0.8 THEN 'Remote role (listed location: ' || l.location || ')' END",
@@ -446,7 +446,7 @@ ORDER = f"{KEY.format('score')} DESC, {KEY.format('similarity')} DESC, salary_ma
     "rank_results",
     with_ctes(
         f"""SELECT query_id, id, rank, total_matches, {half_up('score', 6)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank,
-         count(*) OVER (PARTITION BY query_id) AS total_matches FROM (SELECT g.query_id, g.id, {PLAIN_SCORE} AS score, 0.0 AS similarity, l.salary_max, l.posted_date FROM {PAIRS})) WHERE rank <= 50""",
+         count(*) OVER (PARTITION BY query_id) AS total_matches FROM (SELECT g.query_id, g.id, {PLAIN_SCORE} AS score, 0.0 AS similarity, l.salary_max, l.posted_date FROM {PAIRS})) WHERE rank <= 80""",
         "gated", "ql", "listings",
     ),
 )
@@ -546,18 +546,20 @@ def relax_filters(spark, sf):
 _hr, _hg = explain_sql("h.semantic_norm", "coalesce(h.sections, []::VARCHAR[])")
 HYBRID = f"""SELECT h.query_id, h.rank, h.id, {half_up('h.score', 6)} AS score, {half_up('h.similarity', 6)} AS similarity, h.total_matches, h.level, {joined('h.dropped')} AS dropped,
  {half_up('h.semantic_norm', 3)} AS semantic, {half_up('h.f_skills', 3)} AS skills, {half_up('h.f_exp', 3)} AS experience, {half_up('h.f_place', 3)} AS location, {half_up('h.f_remote', 3)} AS remote,
- {half_up('h.f_pay', 3)} AS salary, {joined(_hr)} AS reasons, {joined(_hg)} AS gaps, {joined('h.docs')} AS chunks
- FROM @found h JOIN @queries q ON q.query_id = h.query_id JOIN listings l ON l.id = h.id WHERE h.rank <= @n"""
+ {half_up('h.f_pay', 3)} AS salary, {joined(_hr)} AS reasons, {joined(_hg)} AS gaps, {joined('h.docs')} AS chunks,
+ CASE WHEN a.asked IS NULL THEN 'none' ELSE 'vector' END AS mode
+ FROM @found h JOIN @queries q ON q.query_id = h.query_id JOIN listings l ON l.id = h.id
+ LEFT JOIN (SELECT DISTINCT query_id AS asked FROM @found_s) a ON a.asked = h.query_id WHERE h.rank <= @n"""
 
 
 def hybrid_sql(name, q, n, *deps):
-    return with_ctes(HYBRID.replace("@found", name).replace("@queries", q).replace("@n", str(n)), name, *deps)
+    return with_ctes(HYBRID.replace("@found", name).replace("@queries", q).replace("@n", str(n)), name, f"{name}_s", *deps)
 
 
 def flat_search(df):
     num = lambda col, name: (F.floor(col * 1e6 + F.lit(0.5)) / F.lit(1e6)).alias(name)
     return df.select(
-        "query_id", "rank", "id", num(c("score"), "score"), num(c("similarity"), "similarity"), "total_matches", "level",
+        "query_id", "rank", "id", num(c("score"), "score"), num(c("similarity"), "similarity"), "total_matches", "level", "mode",
         flat("dropped"), *[c(f"breakdown.{n}").alias(n) for n in S.COMPONENTS], flat("reasons"), flat("gaps"),
         F.coalesce(F.array_join(F.transform("chunks", lambda x: x.document_id), "|"), F.lit("")).alias("chunks"),
     )

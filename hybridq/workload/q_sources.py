@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from hybridq import vocab
 from hybridq.operators.embedding import index_build, index_manifest, index_status
 from hybridq.schema import JSON_NAMES
-from hybridq.session import checkpoint_root
+from hybridq.plans.stages import stage_path
 from hybridq.sources import listings as L
 from hybridq.sources.index_store import index_read, index_write
 from hybridq.workload.duck import cte, with_ctes
@@ -29,11 +26,7 @@ def flat(name):
 
 
 def scratch(spark) -> str:
-    root = checkpoint_root(spark)
-    if "://" in root:
-        return f"{root}/{os.urandom(6).hex()}"
-    os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix="job-", dir=root)
+    return stage_path(spark, "job")
 
 
 def as_json_names(df):

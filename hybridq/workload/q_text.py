@@ -329,7 +329,7 @@ def l2_normalise(spark, sf):
     return e.select("vec_id", F.array_join(unit, "|").alias("unit"))
 
 
-_pairs = """(SELECT a.vec_id, a.embedding::DOUBLE[] AS u, list_slice(b.embedding::DOUBLE[], 1, 48) AS v, b.embedding::DOUBLE[] AS w
+_pairs = """(SELECT a.vec_id, a.embedding::DOUBLE[] AS u, b.embedding::DOUBLE[] AS w
  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
 
 
@@ -339,9 +339,9 @@ def neighbours(spark, sf):
     return e.select("vec_id", c("embedding").alias("u")).join(after, "vec_id")
 
 
-@query("dot_product", f"SELECT vec_id, {half_up('list_dot_product(list_slice(u, 1, 48), v)', 6)} AS dot FROM {_pairs}")
+@query("dot_product", f"SELECT vec_id, {half_up('list_dot_product(u, w)', 6)} AS dot FROM {_pairs}")
 def dot(spark, sf):
-    return neighbours(spark, sf).select("vec_id", six(vectors.dot_product(c("u"), F.slice("w", 1, 48)), "dot"))
+    return neighbours(spark, sf).select("vec_id", six(vectors.dot_product(c("u"), c("w")), "dot"))
 
 
 @query("cosine_similarity", f"SELECT vec_id, {half_up('list_cosine_similarity(u, w)', 6)} AS cosine FROM {_pairs}")

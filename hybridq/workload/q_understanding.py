@@ -236,7 +236,7 @@ def keywords_sql(text: str, skills: str, location: str) -> str:
 cte(
     "keyword_lists",
     ["texts", "skill_lists"],
-    f"""SELECT query_id, list_slice({ordered_distinct('k')}, 1, 8) AS keywords FROM (
+    f"""SELECT query_id, {ordered_distinct('k')} AS keywords FROM (
       SELECT query_id, {keywords_sql('text', 'skills', 'location')} AS k FROM
        (SELECT t.query_id, {strip('t.text')} AS text, s.skills, {_place('lower(t.text)')} AS location FROM texts t JOIN skill_lists s USING (query_id)))""",
 )
@@ -346,7 +346,7 @@ SELECT query_id, text, has_previous, CASE WHEN k % 23 = 7 THEN 'I could not find
  ELSE concat('Here you go: ', '{"intent":"', split_part('new_search|REFINE|compare|GENERAL|job_question|UNSURE', '|', CAST(k % 6 AS INT) + 1),
  '","skills":[', split_part('"java","Cobol"|"k8s"||"React","js","FORTRAN ",5|null', '|', CAST(k % 5 AS INT) + 1),
  '],"keywords":[', split_part('"payments"||"cloud","logistics"|" ","ledger"', '|', CAST(k % 4 AS INT) + 1),
- '],"location":', split_part('"Bengaluru"|null|"remote"|"NATION_3"|" "|"null"', '|', CAST(k % 6 AS INT) + 1),
+ '],"location":', split_part('"Bengaluru"|null|"remote"|"NATION_3"|" "|"null"|["Lyon"]|{"a":"Lyon"}', '|', CAST(k % 8 AS INT) + 1),
  ',"remote":', split_part('true|false|null|"yes"', '|', CAST(k % 4 AS INT) + 1),
  ',"experienceMin":', split_part('3|7|null|"4"|99|2.7', '|', CAST(k % 6 AS INT) + 1),
  ',"experienceMax":', split_part('5|null|2|"x"', '|', CAST(k % 4 AS INT) + 1),
@@ -355,7 +355,7 @@ SELECT query_id, text, has_previous, CASE WHEN k % 23 = 7 THEN 'I could not find
  ',"employmentType":', split_part('"full-time"|"Contract"|null|"gig"|"part time"', '|', CAST(k % 5 AS INT) + 1),
  ',"ordinals":[', split_part('1,2||0,3,21|"4",5', '|', CAST(k % 4 AS INT) + 1),
  '],"jobIds":[', split_part('|101|-5,205,7', '|', CAST(k % 3 AS INT) + 1),
- '],"standaloneQuery":', split_part('null|"clean query"|"  "', '|', CAST(k % 3 AS INT) + 1),
+ '],"standaloneQuery":', split_part('null|"clean query"|"  "|["q"]|{"q":1}', '|', CAST(k % 5 AS INT) + 1),
  '}', ' Hope this helps') END AS raw
 FROM (SELECT query_id, text, has_previous, query_id + 3 * (query_id % 11) AS k FROM requests) r
 """
@@ -371,7 +371,7 @@ def _js(path):
 
 
 def _jtext(path):
-    return f"(CASE WHEN json_type(j, '$.{path}') IS NULL OR json_type(j, '$.{path}') = 'NULL' OR lower({strip(_jstr(path))}) IN ('', 'null') THEN NULL ELSE {strip(_jstr(path))} END)"
+    return f"(CASE WHEN json_type(j, '$.{path}') IS NULL OR json_type(j, '$.{path}') IN ('NULL', 'ARRAY', 'OBJECT') OR lower({strip(_jstr(path))}) IN ('', 'null') THEN NULL ELSE {strip(_jstr(path))} END)"
 
 
 def _jstr(path):
@@ -398,7 +398,7 @@ def _jpay(path):
 def _jlist(path):
     elems = f"coalesce(CAST(json_extract(j, '$.{path}') AS JSON[]), []::JSON[])"
     texts_ = f"list_transform(list_filter({elems}, lambda x: json_type(x) = 'VARCHAR'), lambda x: {strip(chr(40) + 'x->>' + q('$') + chr(41))})"
-    return f"list_slice(list_filter({texts_}, lambda s: s <> ''), 1, 20)"
+    return f"list_filter({texts_}, lambda s: s <> '')"
 
 
 def _jnums(path, test):
@@ -467,7 +467,7 @@ cte(
 cte(
     "model_merged",
     ["model_merge"],
-    f"""SELECT *, {ordered_distinct('sk0')} AS skills, CASE WHEN error IS NULL THEN list_slice({ordered_distinct('kc')}, 1, 8) ELSE rk END AS keywords
+    f"""SELECT *, {ordered_distinct('sk0')} AS skills, CASE WHEN error IS NULL THEN {ordered_distinct('kc')} ELSE rk END AS keywords
      FROM (SELECT *, {keywords_sql('kw0', 'sk0', 'location')} AS kc FROM model_merge)""",
 )
 

@@ -351,7 +351,7 @@ def test_late_trace_rows_are_dropped(spark, tmp_path):
 
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = S.stream_trace_metrics(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream = S.stream_trace_metrics(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "10 minutes")
         S.run_available(stream, keep, str(tmp_path / "cp"), "update")
     assert out[at(10, 0)] == (1, 0.0)
     assert out[at(12, 0)] == (2, 0.5)
