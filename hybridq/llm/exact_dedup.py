@@ -30,6 +30,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # many small stores: no disk space in advance, logs of changes instead of whole snapshots
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: One space for each run of white space; a lone space needs no replacement.
 RUNS = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"
@@ -105,7 +108,8 @@ def exact_dedup(docs: DataFrame, digest=None, bytes_per_trigger: int = 8 << 30)
         "hits",
     )
     pieces = F.ceil(F.col("n") / F.lit(HIT_ROWS))
-    texts = source.select("_file", "_row", "text").join(hits.drop("doc_id", "first"), ["_file", "_row"])
+    # texts are fetched by position, with one plan at every size
+    texts = source.select("_file", "_row", "text").join(hits.drop("doc_id", "first").hint("merge"), ["_file", "_row"])
     texts = texts.select("digest", "_file", "_row", "is_first", pieces.alias("pieces"), normalised(F.col("text")).alias("norm"))
     members = texts.where("NOT is_first").withColumn("piece", F.pmod(F.xxhash64("_file", "_row"), "pieces").cast("int"))
     firsts = texts.where("is_first").select(
