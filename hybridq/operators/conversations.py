@@ -20,12 +20,20 @@ BUCKET = 1024
 def positions(messages: DataFrame, key: str = "conv_id", order: str = "message_id", bucket: int = BUCKET) -> DataFrame:
     """Adds `position` (1-based within `key`, by `order`).
 
-    Ids are cut into fixed-width buckets; a bucket numbers its own rows (at most
-    `bucket` of them), and the bucket counts, far fewer, carry the offsets."""
+    Ids are cut into buckets of a fixed width and those into regions of `bucket` buckets.  A bucket numbers
+    its own rows, a region sums the counts of its buckets, and only the regions' totals
+    are summed along a whole conversation, also where ids grow over all conversations and
+    a bucket holds one or two rows of each."""
     part = messages.withColumn("_bucket", F.floor(F.col(order) / bucket))
     counts = part.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counts = counts.withColumn("_region", F.floor(F.col("_bucket") / bucket))
+    so_far = lambda by, along: Window.partitionBy(*by).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    regions = counts.groupBy(key, "_region").agg(F.sum("_n").alias("_total"))
+    regions = regions.select(key, "_region", F.coalesce(F.sum("_total").over(so_far([key], "_region")), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_n").over(so_far([key, "_region"], "_bucket")), F.lit(0))
+    offsets = counts.withColumn("_inner", inner).join(regions, [key, "_region"]).select(
+        key, "_bucket", (F.col("_base") + F.col("_inner")).alias("_offset")
+    )
     inside = Window.partitionBy(key, "_bucket").orderBy(order)
     numbered = part.withColumn("_row", F.row_number().over(inside))
     return numbered.join(offsets, [key, "_bucket"]).withColumn(
@@ -38,24 +46,22 @@ def conversation_history(messages: DataFrame) -> DataFrame:
     return positions(messages).sort("conv_id", "position")
 
 
-def recent_history(messages: DataFrame, n: int = vocab.HISTORY_WINDOW) -> DataFrame:
+def recent_history(messages: DataFrame, n: int = vocab.HISTORY_WINDOW, bucket: int = BUCKET) -> DataFrame:
     """(message_id, conv_id, history): the n messages before each one, oldest first.
 
-    Each message announces itself to its next n positions, so the grouping key is
-    (conversation, position) and every list has at most n entries."""
-    placed = positions(messages)
-    entry = F.struct("position", F.lower("role").alias("role"), F.col("text").alias("content"))
-    said = placed.select(
-        "conv_id", entry.alias("_entry"), F.explode(F.sequence(F.col("position") + 1, F.col("position") + n)).alias("position")
-    )
+    Positions are cut into blocks; a block is one window partition and only gets copies of
+    the last n rows of the block before it."""
+    placed = positions(messages, bucket=bucket)
+    keep = ["message_id", "conv_id", "position", "role", "text"]
     if n <= 0:
-        said = said.where(F.lit(False))
-    windows = said.groupBy("conv_id", "position").agg(F.sort_array(F.collect_list("_entry")).alias("_list"))
-    history = F.transform("_list", lambda e: F.struct(e.role.alias("role"), e.content.alias("content")))
-    empty = F.array().cast("array<struct<role:string,content:string>>")
-    return placed.join(windows, ["conv_id", "position"], "left").select(
-        "message_id", "conv_id", "position", "role", "text", F.coalesce(history, empty).alias("history")
-    )
+        return placed.select(*keep, F.array().cast("array<struct<role:string,content:string>>").alias("history"))
+    size = max(bucket, n)
+    blocks = placed.select(*keep, F.floor((F.col("position") - 1) / size).alias("_block"), F.lit(True).alias("_own"))
+    tails = blocks.where((F.col("position") - 1) % size >= size - n)
+    both = blocks.unionByName(tails.withColumns({"_block": F.col("_block") + 1, "_own": F.lit(False)}))
+    before = Window.partitionBy("conv_id", "_block").orderBy("position").rowsBetween(-n, -1)
+    said = F.struct(F.lower("role").alias("role"), F.col("text").alias("content"))
+    return both.withColumn("history", F.collect_list(said).over(before)).where("_own").select(*keep, "history")
 
 
 def recent_user_turns(messages: DataFrame, n: int = vocab.HISTORY_WINDOW, last: int = 4) -> DataFrame:

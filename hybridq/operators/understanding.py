@@ -258,13 +258,12 @@ def merge_criteria(base: Column, override: Column) -> Column:
     return F.when(override.isNull(), base).when(base.isNull(), override).otherwise(merged)
 
 
-def validate_criteria(c: Column) -> Column:
-    """array<string> of violated limits."""
+def validate_criteria(c: Column, most_items: int | None = 20) -> Column:
+    """array<string> of violated limits; `most_items` bounds the two lists, None leaves them free."""
     n = lambda name: F.coalesce(F.size(c[name]), F.lit(0))
     outside = lambda name, top: (c[name] < 0) | (c[name] > top)
     rules = [
-        (n("keywords") > 20, "keywords: more than 20"),
-        (n("skills") > 20, "skills: more than 20"),
+        *[(n(x) > most_items, f"{x}: more than {most_items}") for x in ("keywords", "skills") if most_items is not None],
         (F.length(c["location"]) > 100, "location: longer than 100"),
         (outside("experience_min", 50), "experience_min: outside 0..50"),
         (outside("experience_max", 50), "experience_max: outside 0..50"),
@@ -506,7 +505,7 @@ def parse_model_json(
             "intent": F.when(F.col("_intent").isin(vocab.INTENTS), F.col("_intent")).otherwise("NEW_SEARCH"),
         }
     )
-    violations = validate_criteria(F.col("criteria"))
+    violations = validate_criteria(F.col("criteria"), list_limit)
     error = (
         F.when(F.col("_body") == "", "no JSON object in LLM output")
         .when(v.isNull(), "unparseable JSON from LLM")

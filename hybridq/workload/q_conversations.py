@@ -53,11 +53,11 @@ _users = "list_filter(said, lambda t, i: roles[i] = 'user')"
 
 @query(
     "recent_user_turns",
-    with_ctes(f"SELECT message_id, conv_id, {joined(f'list_slice({_users}, greatest(1, len({_users}) - 1), len({_users}))')} AS turns FROM windows", "windows"),
+    with_ctes(f"SELECT message_id, conv_id, {joined(f'list_slice({_users}, greatest(1, len({_users}) - 3), len({_users}))')} AS turns FROM windows", "windows"),
 )
 def user_turns(spark, sf):
     """The last two, because conversations here are short."""
-    out = V.recent_user_turns(messages(spark, sf), 8, 2)
+    out = V.recent_user_turns(messages(spark, sf), 8)
     return out.select("message_id", "conv_id", F.array_join("turns", "|").alias("turns"))
 
 
@@ -79,7 +79,7 @@ def titles(spark, sf):
 # renames typed by users: the event's property text, blank for clicks
 RENAMES = """
 SELECT event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv_id, event_id AS happened,
- CASE event_type WHEN 'click' THEN '  ' ELSE concat('Renamed  by ', event_type, ' ', props) END AS title FROM events WHERE event_type IN ('click', 'signup')
+ CASE event_type WHEN 'click' THEN '  ' ELSE concat('Renamed  by ', event_type, ' ', props) END AS title FROM events
 """
 cte("renames", ["events", "conversations"], RENAMES)
 cte(
@@ -120,8 +120,8 @@ def deleted(spark, sf):
     return V.delete_conversations(messages(spark, sf), ids).select("message_id", "conv_id")
 
 
-# cuts: from the latest rating events; the conversation they name is sometimes the wrong one
-CUTS = "SELECT message_id, CASE WHEN event_id % 5 = 1 THEN 0 ELSE (message_id - message_id % 1000) // 1000 END AS conv_id FROM ratings WHERE rating = 'down' AND ts >= TIMESTAMP '2024-01-29 12:00:00'"
+# cuts: from the downward ratings; the conversation they name is sometimes the wrong one
+CUTS = "SELECT message_id, CASE WHEN event_id % 5 = 1 THEN 0 ELSE (message_id - message_id % 1000) // 1000 END AS conv_id FROM ratings WHERE rating = 'down'"
 cte("cuts", ["ratings"], CUTS)
 
 

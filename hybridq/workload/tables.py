@@ -100,17 +100,17 @@ VIEWS["messages"] = (
     """
 SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, upper(role) AS role, text,
  timestamp_seconds((1704067200 + conv_id * 7200 + turn * 60)) AS ts
-FROM conversations WHERE role <> 'system'
+FROM conversations
 """,
 )
 
-# item events: clicks save, errors unsave; the item comes from the event number
+# item events: errors and views unsave, all others save; the item comes from the event number
 VIEWS["save_events"] = (
     ["events", "part"],
     """
-SELECT event_id, ts, user_id, CASE event_type WHEN 'click' THEN 'save' ELSE 'unsave' END AS action,
+SELECT event_id, ts, user_id, CASE WHEN event_type IN ('error', 'view') THEN 'unsave' ELSE 'save' END AS action,
  event_id % ((SELECT count(*) FROM part) + 50) AS id
-FROM events WHERE event_type IN ('click', 'error')
+FROM events
 """,
 )
 
@@ -120,8 +120,7 @@ VIEWS["ratings"] = (
     """
 SELECT e.event_id, e.ts, e.conv * 1000 + e.event_id % 7 AS message_id,
  CASE e.event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' WHEN 'signup' THEN 'sideways' END AS rating
-FROM (SELECT ev.*, event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv FROM events ev
-      WHERE event_type IN ('purchase', 'error', 'view', 'signup')) e
+FROM (SELECT ev.*, event_id % ((SELECT max(conv_id) FROM conversations) + 3) AS conv FROM events ev) e
 """,
 )
 
