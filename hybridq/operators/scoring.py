@@ -190,14 +190,19 @@ def ranking_window():
     )
 
 
-def rank_results(scored: DataFrame, pool: int = vocab.POOL_SIZE, n: int | None = None) -> DataFrame:
+def rank_results(
+    scored: DataFrame, pool: int | None = vocab.POOL_SIZE, n: int | None = None, totals: DataFrame | None = None
+) -> DataFrame:
     """Ranked pool with `rank` and `total_matches` (counted before the pool cut).
 
-    The rank window is pruned to `pool` rows per query before its shuffle; the total
-    is a separate partial aggregate, so no query's full match list meets one task."""
-    keep = pool if n is None else min(pool, n)
-    totals = scored.groupBy("query_id").agg(F.count("*").alias("total_matches"))
-    top = scored.withColumn("rank", F.row_number().over(ranking_window())).where(F.col("rank") <= keep)
+    The rank window is pruned to `pool` rows per query before its shuffle (None keeps all).  `totals`
+    (query_id, total_matches) are known counts; without them a partial aggregate counts."""
+    kept = [x for x in (pool, n) if x is not None]
+    if totals is None:
+        totals = scored.groupBy("query_id").agg(F.count("*").alias("total_matches"))
+    top = scored.withColumn("rank", F.row_number().over(ranking_window()))
+    if kept:
+        top = top.where(F.col("rank") <= min(kept))
     return top.join(totals, "query_id")
 
 

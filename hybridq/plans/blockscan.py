@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 QUERY_BLOCK = 2048
 ITEM_ROWS = 1024
 MAX_TASKS = 50_000
+#: No filter dropped, or up to the first to fifth of the relaxation order.
+LEVELS = 6
 
 
 def block_scan(
@@ -340,18 +342,21 @@ class RelaxationLevel:
 
 
 class LowestLevel:
-    """Per query, the lowest level at which any item is accepted."""
+    """Per query, how many items it accepts first at each level."""
 
     def __init__(self, query_key="query_id"):
         self.query_key, self.gate = query_key, RelaxationLevel()
 
     def prepare(self, q):
-        return {"ids": column(q, self.query_key), "gate": self.gate.prepare(q), "low": np.full(len(q), 127, np.int8)}
+        counts = np.zeros((len(q), LEVELS), dtype=np.int64)
+        return {"ids": column(q, self.query_key), "gate": self.gate.prepare(q), "counts": counts}
 
     def fold(self, state, x):
-        np.minimum(state["low"], self.gate.levels(state["gate"], x).min(axis=1), out=state["low"])
+        levels = self.gate.levels(state["gate"], x)
+        for i in range(LEVELS):
+            state["counts"][:, i] += (levels == i).sum(axis=1)
 
     def finish(self, state):
         yield pa.RecordBatch.from_arrays(
-            [state["ids"], pa.array(state["low"].astype(np.int32))], names=[self.query_key, "level"]
+            [state["ids"], *[pa.array(c) for c in state["counts"].T]], names=[self.query_key, *[f"at{i}" for i in range(LEVELS)]]
         )

@@ -20,7 +20,7 @@ from hybridq.operators.understanding import (
     criteria_struct, has_structured_filters, has_topic, merge_criteria, parse_queries,
 )
 from hybridq.functions.strings import blank_to_null
-from hybridq.plans.blockscan import LowestLevel, RelaxationLevel, block_scan
+from hybridq.plans.blockscan import LEVELS, LowestLevel, RelaxationLevel, block_scan
 from hybridq.plans.joins import TARGET_ROWS
 from hybridq.plans.stages import materialise
 
@@ -132,21 +132,20 @@ GATE_ITEM = [*RelaxationLevel.FIELDS, "place_code"]
 def relaxation_levels(
     queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
 ) -> DataFrame:
-    """(query_id, level) for queries that match something at some level.
+    """(query_id, level, matches) for queries that match something at some level.
 
     Queries with a topic look at their topic pairs; queries without one scan the
-    listings, which only keeps a minimum per query."""
+    listings.  Either way a query keeps six counts, one for each level: the lowest level with a
+    count is the level, its count the number of listings that match there."""
     c = F.col("criteria")
     pairs = _restricted(topic_pairs(queries, listings, FACTS, target_rows, by_word), queries)
-    by_topic = pairs.groupBy("query_id").agg(F.min(required_level(c)).alias("level"))
+    by_topic = _level_counts(pairs, c)
     open_q = queries.where(~has_topic(c))
     if "restrict_ids" in queries.columns:
         listed = open_q.where(F.col("restrict_ids").isNotNull()).select(
             "query_id", "criteria", F.explode("restrict_ids").alias("id")
         )
-        by_list = listed.join(listings.select(*FACTS), "id").groupBy("query_id").agg(
-            F.min(required_level(c)).alias("level")
-        )
+        by_list = _level_counts(listed.join(listings.select(*FACTS), "id"), c)
         by_topic = by_topic.unionByName(by_list)
         open_q = open_q.where(F.col("restrict_ids").isNull())
     type_name = queries.schema["query_id"].dataType.simpleString()
@@ -154,17 +153,26 @@ def relaxation_levels(
         gate_queries(open_q, listings).select("query_id", *GATE_QUERY[:-1]),
         gate_listings(listings),
         LowestLevel(),
-        f"query_id {type_name}, level int",
+        f"query_id {type_name}, {', '.join(f'at{i} long' for i in range(LEVELS))}",
         item_key="id",
     )
-    by_scan = scanned.groupBy("query_id").agg(F.min("level").alias("level"))
-    return by_topic.unionByName(by_scan)
+    by_scan = scanned.groupBy("query_id").agg(*[F.sum(f"at{i}").alias(f"at{i}") for i in range(LEVELS)])
+    counts = by_topic.unionByName(by_scan)
+    found = F.coalesce(*[F.when(F.col(f"at{i}") > 0, F.struct(F.lit(i).alias("level"), F.col(f"at{i}").alias("n"))) for i in range(LEVELS)])
+    return counts.select("query_id", found.alias("f")).where("f IS NOT NULL").select(
+        "query_id", "f.level", F.col("f.n").alias("matches")
+    )
+
+
+def _level_counts(pairs: DataFrame, criteria: Column) -> DataFrame:
+    counts = pairs.select("query_id", required_level(criteria).alias("_lv")).groupBy("query_id")
+    return counts.agg(*[F.count(F.when(F.col("_lv") == i, 1)).alias(f"at{i}") for i in range(LEVELS)])
 
 
 def relax_filters(
     queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
 ) -> DataFrame:
-    """(query_id, level, dropped, criteria, applied): how far each query is relaxed.
+    """(query_id, level, matches, dropped, criteria, applied): how far each query is relaxed.
 
     A query that matches at no level keeps level NULL, nothing dropped."""
     levels = relaxation_levels(queries, listings, target_rows, by_word)
@@ -172,6 +180,7 @@ def relax_filters(
     return queries.join(levels, "query_id", "left").select(
         *queries.columns,
         "level",
+        "matches",
         dropped_filters(c, level).alias("dropped"),
         relaxed_criteria(c, level).alias("applied"),
     )
@@ -308,7 +317,7 @@ def hybrid_search(
     index: DataFrame,
     weights: dict = vocab.WEIGHTS,
     k: int = vocab.RETRIEVAL_TOP_K,
-    pool: int = vocab.POOL_SIZE,
+    pool: int | None = vocab.POOL_SIZE,
     n: int | None = vocab.MAX_RETURNED,
     dims: int = vocab.DIMENSIONS,
     target_rows: int = TARGET_ROWS,
@@ -316,7 +325,7 @@ def hybrid_search(
     """queries (query_id, criteria, text, restrict_ids?) -> ranked listings per query.
 
     Columns: query_id, rank, the listing facts, score, similarity, breakdown, reasons,
-    gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool."""
+    gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool, `pool=None` keeps every match."""
     # reading the words of every listing is done once; the other stages hold one row
     # per query, at most k rows per query, and at most `pool` rows per query
     queries = materialise(queries, "queries")
@@ -328,7 +337,8 @@ def hybrid_search(
     applied = relaxed_criteria(F.col("criteria"), F.col("level"))
     found = found.withColumn("parts", scoring.components(applied, F.col("semantic_norm")))
     found = found.withColumn("score", scoring.weighted_score(F.col("parts"), weights))
-    ranked = materialise(scoring.rank_results(found, pool), "ranked")
+    totals = relaxed.where(F.col("matches").isNotNull()).select("query_id", F.col("matches").alias("total_matches"))
+    ranked = materialise(scoring.rank_results(found, pool, totals=totals), "ranked")
     again = rescore_relaxed(ranked.where(F.col("level") > 0), weights)
     final = ranked.where(F.col("level") == 0).unionByName(again)
     if n is not None:
