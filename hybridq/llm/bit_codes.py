@@ -3,7 +3,7 @@
 Index: every vector is centred, normalised and rotated by a random orthogonal matrix; the
 signs of the rotated components are packed into bits.  Beside the bits two correction scalars
 are kept: the norm, and the inner product of the unit vector with its own code.
-Search: a query is centred and rotated once and quantised to eight bit planes, so the inner
+Search: a query is centred and rotated once and quantised to PLANES bit planes, so the inner
 product with a code is a sum of popcounts of packed words.  Dividing by the code's own inner
 product gives an unbiased estimate; its error is within EPSILON / sqrt(dims - 1) times a
 known factor with overwhelming probability.  Only vectors whose lower bound on the distance
@@ -11,7 +11,7 @@ doesn't exceed the k-th smallest upper bound of the query are reranked by exact
 
 Plan: equal vectors are one index entry with their k + 1 smallest ids (more can't be
 needed), so a vector that a third of the rows share costs no more than another.  Blocks of
-queries meet slots of codes; codes (40 bytes) travel, not vectors.  A cell keeps its
+queries meet slots of codes; codes travel, not vectors.  A cell keeps its
 candidates and k bounds per query; the exact vectors are joined for candidates only.
 """
 
@@ -25,15 +25,17 @@ from hybridq.llm.arrow import text_bytes
 from hybridq.plans.blockscan import block_scan
 from hybridq.plans.stages import materialise
 
-EPSILON = 2.6
-PLANES = 8
+EPSILON = 2.2
+PLANES = 7
+#: Bits a dimension: vectors are padded with zeros before the rotation, which narrows the bounds.
+EXPAND = 8
 SEED = 20
 CODED = "item long, dims int, bits binary, norm double, own double"
 
 
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
-    """Random orthogonal matrix of the next multiple of 64 dimensions; the same on every machine."""
-    size = -(-dims // 64) * 64
+    """Random orthogonal matrix for vectors padded to EXPAND times the size; the same on every machine."""
+    size = -(-dims * EXPAND // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng([seed, size]).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
 
@@ -48,7 +50,7 @@ def _rotated(x: np.ndarray, centre: np.ndarray, dims: int) -> tuple[np.ndarray,
     x = x - centre
     norm = np.sqrt((x * x).sum(axis=1))
     unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-    return np.pad(unit, ((0, 0), (0, turn.shape[0] - dims))) @ turn, norm
+    return unit @ turn[:dims], norm  # padding is zero and meets no row
 
 
 def encode(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,8 @@ class Planes:
         own = np.maximum(own, 1e-9)
         near = dot / own[None]
         error = EPSILON * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(self.size - 1, 1))
-        error = error[None] + (self.step * np.sqrt(self.size) / 2)[:, None] / own[None]
+        # a component is off by a uniform error within half a step
+        error = error[None] + (EPSILON * self.step / np.sqrt(12))[:, None] / own[None]
         base = self.norm[:, None] ** 2 + norm[None] ** 2
         scale = 2 * self.norm[:, None] * norm[None]
         return base - scale * np.minimum(near + error, 1), base - scale * np.maximum(near - error, -1)
