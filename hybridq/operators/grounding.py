@@ -274,17 +274,17 @@ def answer_item(items: DataFrame, question_col: str = "question") -> DataFrame:
     years = format_experience(c("experience_min"), c("experience_max"))
     # fixed values: question words of each section, and the section text
     sections = [
-        ("skill tech stack".split(), _say(ref, " lists these skills: ", F.array_join("skills", ", "), ".")),
-        ("require qualif eligib".split(), _say("Requirements:\n", bullets("requirements"))),
+        (["skill", "tech", "stack"], _say(ref, " lists these skills: ", F.array_join("skills", ", "), ".")),
+        (["require", "qualif", "eligib"], _say("Requirements:\n", bullets("requirements"))),
         (["responsib", "duties", "day to day", "role involve"], _say("Responsibilities:\n", bullets("responsibilities"))),
-        ("benefit perk insurance".split(), _say("Benefits:\n", bullets("benefits"))),
-        ("salary pay ctc compensation".split(), _say("Salary: ", band, ".")),
-        ("experience years".split(), _say("Experience required: ", years, ".")),
+        (["benefit", "perk", "insurance"], _say("Benefits:\n", bullets("benefits"))),
+        (["salary", "pay", "ctc", "compensation"], _say("Salary: ", band, ".")),
+        (["experience", "years"], _say("Experience required: ", years, ".")),
         (
-            "remote location where office".split(),
+            ["remote", "location", "where", "office"],
             _say("Location: ", c("location"), F.when(c("remote"), " (remote-friendly).").otherwise(" (not remote).")),
         ),
-        ("apply link url".split(), _say("Application link: ", c("application_url"))),
+        (["apply", "link", "url"], _say("Application link: ", c("application_url"))),
     ]
     asked = lambda words: F.greatest(*[F.contains(q, F.lit(w)) for w in words])
     parts = F.array_compact(F.array(*[F.when(asked(words), text) for words, text in sections]))

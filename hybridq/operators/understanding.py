@@ -117,12 +117,9 @@ def _rupees(number: Column) -> Column:
 
 def extract_salary(lower: Column) -> Column:
     """struct(salary_min, salary_max)"""
-    amount = vocab.RUPEE + vocab.NUMBER + vocab.LAKH_UNIT
-    span = vocab.RUPEE + vocab.NUMBER + r"\s*(?:-|to)\s*" + vocab.RUPEE + vocab.NUMBER + vocab.LAKH_UNIT
-    low, high = _group(lower, span, 1), _group(lower, span, 2)
-    least = _group(lower, vocab.SALARY_LOWER_WORDS + amount, 1)
-    most = _group(lower, vocab.SALARY_UPPER_WORDS + amount, 1)
-    bare = F.when(least.isNull() & most.isNull(), _group(lower, amount, 1))
+    low, high = _group(lower, vocab.SALARY_SPAN, 1), _group(lower, vocab.SALARY_SPAN, 2)
+    least, most = _group(lower, vocab.SALARY_LEAST, 1), _group(lower, vocab.SALARY_MOST, 1)
+    bare = F.when(least.isNull() & most.isNull(), _group(lower, vocab.SALARY_AMOUNT, 1))
     ranged = low.isNotNull()
     return F.struct(
         _rupees(F.when(ranged, low).otherwise(F.coalesce(least, bare))).alias("salary_min"),
@@ -132,13 +129,10 @@ def extract_salary(lower: Column) -> Column:
 
 def extract_experience(lower: Column) -> Column:
     """struct(experience_min, experience_max); the first rule that matches decides."""
-    tail = r"\s*\+?\s*" + vocab.YEAR_UNIT
-    n = r"(\d{1,2})"
     get = lambda pattern, g=1: _group(lower, pattern, g).cast("int")
-    span = n + r"\s*(?:-|to)\s*" + n + tail
-    less, most = get(vocab.YEARS_LESS_WORDS + n + tail), get(vocab.YEARS_MOST_WORDS + n + tail)
-    more, plus = get(vocab.YEARS_MORE_WORDS + n + tail), get(n + r"\s*\+\s*" + vocab.YEAR_UNIT)
-    exact = get(n + r"\s*" + vocab.YEAR_UNIT)
+    span = vocab.YEARS_SPAN
+    less, most, more = get(vocab.YEARS_LESS), get(vocab.YEARS_MOST), get(vocab.YEARS_MORE)
+    plus, exact = get(vocab.YEARS_PLUS), get(vocab.YEARS_EXACT)
     fresher = _says(lower, vocab.FRESHER_WORDS)
 
     def pair(lo, hi):
@@ -180,11 +174,11 @@ def extract_keywords(text: Column, skills: Column, location: Column, limit: int
 
 def extract_ordinals(lower: Column) -> Column:
     """array<int> of 1-based positions; -1 is the last one."""
-    count = _group(lower, rf"{O}(?:first|top|best)\s+({'|'.join(vocab.NUMBER_WORDS)}){S}", 1)
+    count = _group(lower, vocab.FIRST_COUNT, 1)
     numbers = F.create_map(*[F.lit(x) for kv in vocab.NUMBER_WORDS.items() for x in kv])
     ordinals = F.create_map(*[F.lit(x) for kv in vocab.ORDINALS.items() for x in kv])
     words = F.regexp_extract_all(lower, F.lit(rf"{O}({'|'.join(vocab.ORDINALS)}){S}"), F.lit(1))
-    last = lower.rlike(rf"{O}last (?:job|one|role){S}") & ~lower.rlike(LINE_END)
+    last = lower.rlike(vocab.LAST_ITEM) & ~lower.rlike(LINE_END)
     named = F.concat(
         F.transform(words, lambda w: look_up(ordinals, w)),
         F.when(last, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")),
@@ -193,13 +187,13 @@ def extract_ordinals(lower: Column) -> Column:
 
 
 def extract_item_ids(lower: Column) -> Column:
-    found = F.regexp_extract_all(lower, F.lit(rf"(?:#|{O}job\s*#?\s*|{O}id\s*)(\d{{3,}})"), F.lit(1))
+    found = F.regexp_extract_all(lower, F.lit(vocab.ITEM_IDS), F.lit(1))
     return F.transform(found, lambda x: x.cast("bigint"))
 
 
 def small_numbers(lower: Column) -> Column:
     """Numbers 1..5 that are not amounts, when at least two distinct ones are named."""
-    pattern = rf"{EDGE}(?:job|jobs|number|no\.?)?\s*([1-5]){S}(?!\s*(?:years?|yrs?|lpa|lakh|\+|-))"
+    pattern = rf"{EDGE}{vocab.NUMBER_NOUNS}\s*([1-5]){S}(?!{vocab.NUMBER_UNITS})"
     found = F.array_distinct(
         F.transform(F.regexp_extract_all(lower, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
     )
@@ -323,10 +317,8 @@ def semantic_query(text: Column, skills: Column, refine: Column, previous: Colum
 def classify_intent(lower: Column, criteria: Column, ordinals: Column, ids: Column, has_previous: Column) -> Column:
     filters = has_structured_filters(criteria)
     no_skill = F.size(criteria["skills"]) == 0
-    pointed = lower.rlike(
-        rf"{O}(?:{vocab.ITEM_POINTERS})\s+(?:{vocab.ITEM_NOUNS}){S}|{O}job\s*#?\s*\d+|#\d+|{O}(?:it|this one){S}"
-    )
-    about_item = pointed | (F.size(ids) > 0) | ((F.size(ordinals) > 0) & _says(lower, "job|role|one|position"))
+    pointed = lower.rlike(vocab.ITEM_POINTED)
+    about_item = pointed | (F.size(ids) > 0) | ((F.size(ordinals) > 0) & (lower.rlike(vocab.ITEM_NAMED) & ~lower.rlike(LINE_END)))
     asks = lower.rlike(rf"\?|{O}(?:{vocab.QUESTION_WORDS})")
     narrows = lower.rlike(rf"^(?:{vocab.REFINE_START}){S}|{O}(?:{vocab.REFINE_ANYWHERE}){S}")
     greets = (
@@ -335,7 +327,7 @@ def classify_intent(lower: Column, criteria: Column, ordinals: Column, ids: Colu
         & (F.size(F.split(lower, r"\s+")) <= 4)
     )
     return (
-        F.when(lower.rlike(f"{O}(?:{vocab.COMPARE_WORDS}){S}"), "COMPARE")
+        F.when(lower.rlike(vocab.COMPARE), "COMPARE")
         .when(about_item & asks & ~filters, "JOB_QUESTION")
         .when(has_previous & narrows, "REFINE")
         .when(greets & no_skill & ~filters, "GENERAL")

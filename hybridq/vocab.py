@@ -161,19 +161,16 @@ PLACELESS = ["remote", "anywhere"]
 B_OPEN = r"(?<!\w)"
 B_SHUT = r"(?!\w)"
 
-RUPEE = r"(?:₹|rs\.?|inr)?\s*"
-NUMBER = r"(\d+(?:\.\d+)?)"
-LAKH_UNIT = r"\s*(?:lpa|lakhs?|lacs?|l)(?![a-z])"
-SALARY_LOWER_WORDS = (
-    r"(?:above|over|more than|greater than|at least|atleast|minimum(?: of)?|min\.?|>=?|upwards of|"
-    r"starting(?: at| from)?|from|(?<!\w)of)\s*"
-)
-SALARY_UPPER_WORDS = r"(?:below|under|less than|up to|upto|at most|maximum(?: of)?|max\.?|<=?)\s*"
-
-YEAR_UNIT = r"(?:years?|yrs?)"
-YEARS_LESS_WORDS = r"(?:less than|under|below|fewer than|<)\s*"
-YEARS_MOST_WORDS = r"(?:up to|upto|at most|maximum(?: of)?|max\.?)\s*"
-YEARS_MORE_WORDS = r"(?:more than|over|at least|atleast|minimum(?: of)?|min\.?|above)\s*"
+SALARY_AMOUNT = r"(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*(?:lpa|lakhs?|lacs?|l)(?![a-z])"
+SALARY_SPAN = r"(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*(?:-|to)\s*(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*(?:lpa|lakhs?|lacs?|l)(?![a-z])"
+SALARY_LEAST = r"(?:above|over|more than|greater than|at least|atleast|minimum(?: of)?|min\.?|>=?|upwards of|starting(?: at| from)?|from|(?<!\w)of)\s*(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*(?:lpa|lakhs?|lacs?|l)(?![a-z])"
+SALARY_MOST = r"(?:below|under|less than|up to|upto|at most|maximum(?: of)?|max\.?|<=?)\s*(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*(?:lpa|lakhs?|lacs?|l)(?![a-z])"
+YEARS_SPAN = r"(\d{1,2})\s*(?:-|to)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)"
+YEARS_LESS = r"(?:less than|under|below|fewer than|<)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)"
+YEARS_MOST = r"(?:up to|upto|at most|maximum(?: of)?|max\.?)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)"
+YEARS_MORE = r"(?:more than|over|at least|atleast|minimum(?: of)?|min\.?|above)\s*(\d{1,2})\s*\+?\s*(?:years?|yrs?)"
+YEARS_PLUS = r"(\d{1,2})\s*\+\s*(?:years?|yrs?)"
+YEARS_EXACT = r"(\d{1,2})\s*(?:years?|yrs?)"
 FRESHER_WORDS = "fresher|freshers|entry[- ]level|graduate|no experience"
 
 REMOTE_WORDS = "remote|work from home|wfh|work-from-home|remotely"
@@ -193,10 +190,14 @@ EMPLOYMENT_LABELS = {
     "INTERNSHIP": "Internship",
 }
 
-COMPARE_WORDS = r"compar(?:e|ison|ing)|vs\.?|versus|difference between|side by side"
-# (words, needs a word boundary at the end)
-ITEM_NOUNS = "job|role|position|one|opening|listing"
-ITEM_POINTERS = "this|that|the (?:first|second|third|fourth|fifth|last|top)|1st|2nd|3rd|4th|5th"
+ITEM_IDS = r"(?:#|(?<!\w)job\s*#?\s*|(?<!\w)id\s*)(\d{3,})"
+ITEM_POINTED = r"(?<!\w)(?:this|that|the (?:first|second|third|fourth|fifth|last|top)|1st|2nd|3rd|4th|5th)\s+(?:job|role|position|one|opening|listing)(?!\w)|(?<!\w)job\s*#?\s*\d+|#\d+|(?<!\w)(?:it|this one)(?!\w)"
+LAST_ITEM = r"(?<!\w)last (?:job|one|role)(?!\w)"
+ITEM_NAMED = r"(?<!\w)(?:job|role|one|position)(?!\w)"
+FIRST_COUNT = r"(?<!\w)(?:first|top|best)\s+(two|three|four|five|2|3|4|5)(?!\w)"
+COMPARE = r"(?<!\w)(?:compar(?:e|ison|ing)|vs\.?|versus|difference between|side by side)(?!\w)"
+NUMBER_NOUNS = r"(?:job|jobs|number|no\.?)?"
+NUMBER_UNITS = r"\s*(?:years?|yrs?|lpa|lakh|\+|-)"
 QUESTION_WORDS = (
     "what|which|does|do|is|are|how|tell me|explain|describe|more about|details|skills|benefits|"
     "requirements|responsibilit|salary|apply|require"
