@@ -12,7 +12,7 @@ from hybridq.sources import listings as L
 from hybridq.sources.index_store import index_read, index_write
 from hybridq.workload.duck import cte, with_ctes
 from hybridq.workload.registry import query
-from hybridq.workload.tables import listings, run_sql, view
+from hybridq.workload.tables import VECTOR_SUM, listings, run_sql, vector_sums, view
 
 FLAT_LISTS = ["skills", "requirements", "responsibilities", "benefits"]
 LISTING_COLS = [
@@ -310,6 +310,18 @@ def built_index(spark, sf):
 
 @query(
     "index_build",
+    with_ctes(
+        f"""SELECT c.document_id, coalesce(v.entries, 0) AS entries, coalesce(v.vector_sum, 0) AS vector_sum FROM listing_chunks c
+        LEFT JOIN (SELECT k, {VECTOR_SUM} FROM le GROUP BY k) v ON v.k = c.document_id""",
+        "listing_chunks", "le",
+    ),
+)
+def build_vectors(spark, sf):
+    return vector_sums(built_index(spark, sf))
+
+
+@query(
+    "index_manifest",
     with_ctes(
         f"""SELECT 'local' AS provider, 'local-hashing-bow-1024' AS model, 1024 AS dimensions, (SELECT count(*) FROM listings) AS job_count,
         count(*) AS chunk_count FROM listing_chunks""",
@@ -340,16 +352,14 @@ def status(spark, sf):
 @query(
     "index_write_read",
     with_ctes(
-        "SELECT 'job-' || id || '-' || lower(section) || '-' || chunk_index AS document_id, section, part_text AS text FROM listing_chunks",
-        "listing_chunks",
+        f"""SELECT c.document_id, c.section, c.part_text AS text, coalesce(v.entries, 0) AS entries, coalesce(v.vector_sum, 0) AS vector_sum
+        FROM listing_chunks c LEFT JOIN (SELECT k, {VECTOR_SUM} FROM le GROUP BY k) v ON v.k = c.document_id""",
+        "listing_chunks", "le",
     ),
 )
 def write_read(spark, sf):
-    from hybridq.operators.documents import chunk_listings
-
     path = scratch(spark)
-    chunks = chunk_listings(listings(spark, sf))
     manifest = spark.range(1).select(F.lit("local").alias("provider"), F.lit("m").alias("model"))
-    index_write(chunks, manifest, path, 1)
+    index_write(built_index(spark, sf), manifest, path, 1)
     index, _ = index_read(spark, path)
-    return index.select("document_id", "section", "text")
+    return index.select("document_id", "section", "text").join(vector_sums(index), "document_id")

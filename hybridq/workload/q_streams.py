@@ -9,7 +9,7 @@ from hybridq.workload import q_answers, q_conversations as V
 from hybridq.workload.duck import with_ctes
 from hybridq.workload.q_sources import scratch
 from hybridq.workload.registry import ORACLE, query
-from hybridq.workload.tables import view
+from hybridq.workload.tables import VECTOR_SUM, vector_sums, view
 
 c = F.col
 # replayed files may arrive in any order, so nothing inside the month counts as late
@@ -40,13 +40,18 @@ def last_rows(stream, path: str, key: list[str], mode: str = "update"):
 
 @query(
     "stream_index",
-    with_ctes(f"SELECT 'doc-' || c.k || '-' || c.chunk_index AS document_id, length(c.part) AS chars FROM dc c", "dc"),
+    with_ctes(
+        f"""SELECT c.document_id, c.text, coalesce(v.entries, 0) AS entries, coalesce(v.vector_sum, 0) AS vector_sum FROM document_chunks c
+        LEFT JOIN (SELECT k, {VECTOR_SUM} FROM ce GROUP BY k) v ON v.k = c.document_id""",
+        "document_chunks", "ce",
+    ),
 )
 def stream_index(spark, sf):
     path = scratch(spark)
     docs = replay(view(spark, sf, "documents").select("doc_id", "text"), f"{path}/in")
     S.stream_index(docs, f"{path}/index", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/index").select("document_id", F.length("text").alias("chars"))
+    index = spark.read.parquet(f"{path}/index")
+    return index.select("document_id", "text").join(vector_sums(index), "document_id")
 
 
 @query("stream_conversation_summary", ORACLE["conversation_summary"])

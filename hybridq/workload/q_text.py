@@ -151,20 +151,23 @@ def split_text(spark, sf):
     return D.chunk_documents(view(spark, sf, "documents"), max_chars=120).select("doc_id", "chunk_index", "text")
 
 
+# words go to the last line while it stays under the limit with the blank behind each word
+_last = "regexp_extract(acc, '[^\\n]*$')"
+_wrapped = f"list_reduce(w, lambda acc, x: CASE WHEN length({_last}) + 1 + length(x) + 1 > 200 THEN acc || chr(10) || x ELSE acc || ' ' || x END)"
 cte(
     "hw",
     ["documents"],
-    f"""SELECT doc_id AS k, string_split_regex({duck.strip('text')}, '[ \\t\\n\\x0B\\f\\r]+') AS w, 1::BIGINT AS j, '' AS line, []::VARCHAR[] AS lines FROM documents
-    UNION ALL SELECT k, w, j + 1,
-     CASE WHEN j > len(w) THEN '' WHEN length(line) + length(w[j]) + 1 > 200 AND line <> '' THEN w[j] || ' ' ELSE line || w[j] || ' ' END,
-     CASE WHEN (j > len(w) AND line <> '') OR (j <= len(w) AND length(line) + length(w[j]) + 1 > 200 AND line <> '')
-      THEN list_append(lines, left(line, length(line) - 1)) ELSE lines END FROM hw WHERE j <= len(w) + 1""",
+    f"""SELECT doc_id, string_split({_wrapped}, chr(10)) AS lines
+    FROM (SELECT doc_id, string_split_regex({duck.strip('text')}, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents)""",
 )
 
 
-@query("hard_wrap")
+@query(
+    "hard_wrap",
+    with_ctes("SELECT doc_id, CAST(unnest(range(len(lines))) AS INTEGER) AS line_no, unnest(lines) AS line FROM hw", "hw"),
+)
 def hard_wrap_query(spark, sf):
-    """Whole documents wrapped at 200 characters; checked against brute force in the tests."""
+    """Whole documents wrapped at 200 characters."""
     from hybridq.functions.strings import strip
 
     return view(spark, sf, "documents").select(
@@ -298,8 +301,8 @@ def embed_with(spark, sf):
 
 @query(
     "choose_embedder",
-    f"""SELECT 'full' AS mode, vec_id AS document_id, 'remote' AS provider, {half_up('embedding[1]::DOUBLE', 6)} AS x FROM embeddings
-    UNION ALL SELECT 'gaps', vec_id, 'local', {half_up('-embedding[1]::DOUBLE', 6)} FROM embeddings""",
+    f"""SELECT 'full' AS mode, vec_id AS document_id, 'remote' AS provider, array_to_string(list_transform(embedding, lambda x: {half_up('x::DOUBLE', 6)}::DECIMAL(18, 6)), '|') AS x FROM embeddings
+    UNION ALL SELECT 'gaps', vec_id, 'local', array_to_string(list_transform(embedding, lambda x: {half_up('-x::DOUBLE', 6)}::DECIMAL(18, 6)), '|') FROM embeddings""",
 )
 def choose(spark, sf):
     e = view(spark, sf, "embeddings").select(c("vec_id").alias("document_id"), "embedding", "label")
@@ -308,7 +311,7 @@ def choose(spark, sf):
     out = None
     for mode, remote in (("full", e), ("gaps", gaps)):
         part = E.choose_embedder(remote, local, e).select(
-            F.lit(mode).alias("mode"), "document_id", "provider", six(F.get("embedding", F.lit(0)).cast("double"), "x")
+            F.lit(mode).alias("mode"), "document_id", "provider", F.array_join(F.transform("embedding", lambda x: (F.floor(x.cast("double") * 1e6 + F.lit(0.5)) / F.lit(1e6)).cast("decimal(18,6)").cast("string")), "|").alias("x")
         )
         out = part if out is None else out.unionByName(part)
     return out

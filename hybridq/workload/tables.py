@@ -172,6 +172,17 @@ def listing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "index", lambda: index_build(listings(spark, sf_dir)))
 
 
+#: Whole vectors as two whole numbers a chunk: how many entries, and their rounded values weighted by place.
+VECTOR_SUM = "count(val) AS entries, CAST(sum(CAST(floor(val * 1e6 + 0.5) AS BIGINT) * (idx + 1)) AS BIGINT) AS vector_sum"
+
+
+def vector_sums(index: DataFrame) -> DataFrame:
+    """(document_id, entries, vector_sum) of an index with idx and val."""
+    weigh = F.zip_with("idx", "val", lambda i, v: F.floor(v * 1e6 + F.lit(0.5)).cast("long") * (i + 1))
+    total = F.aggregate(weigh, F.lit(0).cast("long"), lambda a, x: a + x)
+    return index.select("document_id", F.size("val").cast("long").alias("entries"), total.alias("vector_sum"))
+
+
 def criteria_of(df: DataFrame) -> DataFrame:
     """query_log with its columns gathered in a criteria struct."""
     from hybridq.operators.understanding import criteria_struct
