@@ -15,7 +15,7 @@ from hybridq.operators.embedding import embed_hashing
 from hybridq.operators.filters import (
     FACTS, filter_candidates, keyword_pairs, match_places, required_level, topic_gate_keywords, topic_gate_skills,
 )
-from hybridq.operators.retrieval import best_chunk_per_listing, order_key, vector_topk
+from hybridq.operators.retrieval import best_chunk_per_listing, keep_top, keyword_terms, keyword_topk, order_key, vector_topk
 from hybridq.operators.understanding import (
     criteria_struct, has_structured_filters, has_topic, merge_criteria, parse_queries,
 )
@@ -230,17 +230,48 @@ def matching_pairs(
 # ---------------------------------------------------------------------------
 # Search
 # ---------------------------------------------------------------------------
+def keyword_hits(asking: DataFrame, listings: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """search_hits by keywords, for an index whose embedder can't be asked."""
+    gated = gate_queries(asking.select("query_id", "criteria", "level", "text"), listings)
+    gated = gated.withColumn("level", F.col("level").cast("double"))
+    items = index.select("document_id", "job_id", "section", "text").join(
+        gate_listings(listings).withColumnRenamed("id", "job_id"), "job_id"
+    )
+    if "restrict_ids" not in asking.columns:
+        return keyword_topk(gated, items, k, RelaxationLevel(), (GATE_QUERY, GATE_ITEM))
+    # queries with a list of ids meet the chunks of those only
+    limited = asking.where(F.col("restrict_ids").isNotNull())
+    free = gated.join(limited.select("query_id"), "query_id", "left_anti")
+    hits = keyword_topk(free, items, k, RelaxationLevel(), (GATE_QUERY, GATE_ITEM))
+    asked = keyword_terms(limited).where(F.size("terms") > 0).select(
+        "query_id", "criteria", "level", F.col("terms").alias("_asked"), F.explode(F.array_distinct("restrict_ids")).alias("id")
+    )
+    pairs = asked.join(listings.select(*FACTS), "id").where(required_level(F.col("criteria")) <= F.col("level"))
+    chunks = keyword_terms(index.select("document_id", F.col("job_id").alias("id"), "text"))
+    share = F.size(F.array_intersect("_asked", "terms")) / F.size("_asked") / (1 + F.log1p(F.col("n_tokens") / 50.0))
+    scored = pairs.select("query_id", "id", "_asked").join(chunks, "id").select("query_id", "document_id", share.alias("score"))
+    return hits.unionByName(keep_top(scored.where(F.col("score") > 0), k))
+
+
 def search_hits(
-    relaxed: DataFrame, listings: DataFrame, index: DataFrame, k: int = vocab.RETRIEVAL_TOP_K, dims: int = vocab.DIMENSIONS
+    relaxed: DataFrame,
+    listings: DataFrame,
+    index: DataFrame,
+    k: int = vocab.RETRIEVAL_TOP_K,
+    dims: int = vocab.DIMENSIONS,
+    retrieval: str = "vector",
 ) -> DataFrame:
     """Top-k chunks per query among the listings passing its (relaxed) filters.
 
     Only queries with a topic and a text retrieve; the filter is evaluated inside
-    the scan, so candidate pairs never become rows."""
+    the scan, so candidate pairs never become rows.  `retrieval` is vector or keyword."""
     c = F.col("criteria")
     asking = relaxed.where(
         F.col("level").isNotNull() & has_topic(c) & blank_to_null(F.col("text")).isNotNull()
     )
+    if retrieval == "keyword":
+        hits = keyword_hits(asking, listings, index, k)
+        return hits.join(index.select("document_id", "job_id", "section"), "document_id")
     vectors = embed_hashing(asking, ["query_id"], "text", dims)
     q = gate_queries(asking.select("query_id", "criteria", "level"), listings).join(vectors, "query_id")
     q = q.withColumn("level", F.col("level").cast("double"))
@@ -321,9 +352,12 @@ def hybrid_search(
     n: int | None = vocab.MAX_RETURNED,
     dims: int = vocab.DIMENSIONS,
     target_rows: int = TARGET_ROWS,
+    retrieval: str = "vector",
 ) -> DataFrame:
     """queries (query_id, criteria, text, restrict_ids?) -> ranked listings per query.
 
+    `retrieval` is vector, or keyword where the index holds vectors of an embedder that can't be asked.
+
     Columns: query_id, rank, the listing facts, score, similarity, breakdown, reasons,
     gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool, `pool=None` keeps every match."""
     # reading the words of every listing is done once; the other stages hold one row
@@ -331,7 +365,7 @@ def hybrid_search(
     queries = materialise(queries, "queries")
     by_word = materialise(keyword_pairs(queries, listings, target_rows), "by_word")
     relaxed = materialise(relax_filters(queries, listings, target_rows, by_word), "relaxed")
-    hits = materialise(search_hits(relaxed, listings, index, k, dims), "hits")
+    hits = materialise(search_hits(relaxed, listings, index, k, dims, retrieval), "hits")
     pairs = matching_pairs(relaxed, listings, target_rows, by_word, best_similarity(hits))
     found = _with_similarity(pairs, hits)
     applied = relaxed_criteria(F.col("criteria"), F.col("level"))
@@ -348,7 +382,7 @@ def hybrid_search(
     dropped = dropped_filters(F.col("criteria"), F.col("level"))
     # a query that retrieved nothing (no topic, no text, no chunk left) says so
     final = final.join(hits.select("query_id").distinct().withColumn("_hit", F.lit(True)), "query_id", "left")
-    mode = F.when(F.col("_hit"), "vector").otherwise("none")
+    mode = F.when(F.col("_hit"), retrieval).otherwise("none")
     return final.select(
         "query_id", "rank", *FACTS, "score", "similarity",
         scoring.rounded_breakdown(F.col("parts")).alias("breakdown"),

@@ -480,14 +480,22 @@ def relax_ctes(name, q="ql", gate="gated"):
     )
 
 
-def search_ctes(name, q="ql", qe="qe", gate="gated", pool=50, restrict=None):
+def search_ctes(name, q="ql", qe="qe", gate="gated", pool=50, restrict=None, keyword=False):
     """<name>(query_id, id, rank, score, ...): the whole search over criteria table `q`."""
     relax_ctes(f"{name}_r", q, gate)
+    scored = f"""SELECT a.k AS query_id, b.k AS document_id, any_value(b.id) AS id, any_value(b.section) AS section, sum(a.val * b.val) AS score
+          FROM {qe} a JOIN le_ids b USING (idx) JOIN {q} q ON q.query_id = a.k AND (len(q.skills) > 0 OR len(q.keywords) > 0) GROUP BY 1, 2"""
+    if keyword:
+        asked = f"SELECT query_id, list_distinct({tokens('text')}) AS t FROM {q} WHERE len(skills) > 0 OR len(keywords) > 0"
+        said = f"SELECT document_id, id, section, {tokens('part_text')} AS t0 FROM listing_chunks"
+        scored = f"""SELECT a.query_id, b.document_id, any_value(b.id) AS id, any_value(b.section) AS section,
+           count(*) / any_value(a.n)::DOUBLE / (1 + ln(1 + any_value(b.len) / 50.0)) AS score
+          FROM (SELECT query_id, len(t) AS n, unnest(t) AS term FROM ({asked})) a
+          JOIN (SELECT document_id, id, section, len(t0) AS len, unnest(list_distinct(t0)) AS term FROM ({said})) b USING (term) GROUP BY 1, 2"""
     cte(
-        f"{name}_h", [f"{name}_r", q, qe, "le_ids"],
+        f"{name}_h", [f"{name}_r", q, *(["listing_chunks"] if keyword else [qe, "le_ids"])],
         f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('score')} DESC, document_id) AS hrank FROM (
-          SELECT a.k AS query_id, b.k AS document_id, any_value(b.id) AS id, any_value(b.section) AS section, sum(a.val * b.val) AS score
-          FROM {qe} a JOIN le_ids b USING (idx) JOIN {q} q ON q.query_id = a.k AND (len(q.skills) > 0 OR len(q.keywords) > 0) GROUP BY 1, 2)
+          {scored})
          JOIN {name}_r_l x USING (query_id, id) JOIN {name}_r r USING (query_id) WHERE x.lv <= r.level QUALIFY hrank <= 20""",
     )
     cte(
@@ -533,6 +541,7 @@ def search_ctes(name, q="ql", qe="qe", gate="gated", pool=50, restrict=None):
 
 
 search_ctes("hs")
+search_ctes("hk", keyword=True)
 
 
 @query(
@@ -570,6 +579,12 @@ def hybrid_search(spark, sf):
     return flat_search(P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf)))
 
 
+@query("hybrid_search_keyword", hybrid_sql("hk", "ql", 5).replace("THEN 'none' ELSE 'vector' END", "THEN 'none' ELSE 'keyword' END"))
+def hybrid_search_keyword(spark, sf):
+    found = P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf), retrieval="keyword")
+    return flat_search(found)
+
+
 @query(
     "semantic_norm",
     with_ctes(f"SELECT query_id, id, {half_up('similarity', 6)} AS similarity, {half_up('norm', 6)} AS norm FROM hs_p", "hs_p"),

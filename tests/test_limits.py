@@ -129,3 +129,19 @@ def test_a_cluster_must_name_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(Session)
+
+
+def test_keyword_search_within_ids(spark, sf):
+    """A list of all ids changes nothing; a list of some ids gives those only."""
+    from hybridq.plans.search import hybrid_search
+    from hybridq.workload.tables import listing_index, listings, query_log
+
+    rows, index, queries = listings(spark, sf), listing_index(spark, sf), query_log(spark, sf)
+    ids = [r.id for r in rows.select("id").collect()]
+    found = {}
+    for name, limit in (("none", None), ("all", ids), ("some", ids[::3])):
+        asked = queries if limit is None else queries.withColumn("restrict_ids", F.array(*[F.lit(i).cast("long") for i in limit]))
+        out = hybrid_search(asked, rows, index, n=None, pool=None, retrieval="keyword")
+        found[name] = sorted((r.query_id, r.id, r["rank"], round(r.score, 9), r["mode"]) for r in out.collect())
+    assert found["all"] == found["none"] and any(r[4] == "keyword" for r in found["all"])
+    assert found["some"] and all(r[1] in ids[::3] for r in found["some"])
