@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,3 +42,15 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def ids_array(column: pa.Array) -> np.ndarray:
     """An integer column as int64 with null as the smallest value."""
     return np.asarray(pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).min))
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most `limit` bytes of `column`, or one row."""
+    for batch in batches:
+        cells = batch.column(column)
+        at = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(cells), 0), dtype=np.int64))])
+        low = 0
+        while low < len(cells):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + limit, side="right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high

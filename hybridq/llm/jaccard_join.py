@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hybridq.llm.arrow import spans, text_bytes
+from hybridq.llm.arrow import by_bytes, spans, text_bytes
 from hybridq.llm.components import components
 from hybridq.llm.exact_dedup import as_scan, located
 from hybridq.llm.prefix_tree import group_links
@@ -113,7 +113,7 @@ def _sketch(words: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for whole in batches:
+        for whole in by_bytes(batches, "text"):
             for low in range(0, whole.num_rows, BLOCK_DOCS):
                 yield from block(whole.slice(low, BLOCK_DOCS), number)
                 number += 1

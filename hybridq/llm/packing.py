@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from hybridq.llm.arrow import by_bytes
 from hybridq.llm.tokens import append_end, encoder
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -127,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, group_tokens: int = GROUP
             made += out[1]
             return out[0]
 
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             ids, counts = append_end(*enc.encode(batch.column("text")), end_id)
             at = np.concatenate([[0], np.cumsum(counts)])
             low = 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from hybridq.llm.arrow import slices, spans, text_bytes
+from hybridq.llm.arrow import by_bytes, slices, spans, text_bytes
 from hybridq.llm.exact_dedup import located
 from hybridq.llm.suffix_array import permuted_prefixes, suffix_array
 from hybridq.plans.stages import drop_stage, materialise
@@ -37,7 +37,7 @@ from hybridq.plans.stages import drop_stage, materialise
 WINDOW = 400
 LADDER = (0.32, 0.66, 0.84, 0.96, 1.0)
 HOT_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Texts hashed together, and windows in one segment at most.
 GROUP_BYTES = 1 << 20
 RUN = 4096
@@ -264,9 +264,9 @@ def _marks(source: DataFrame, window: int, ladder, hot_bytes: int, shard_bytes:
     return out
 
 
-def _cutter(window: int):
+def _cutter(window: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 4 << 20):
             data, offsets = text_bytes(batch.column("text"))
             hits = batch.column("hits")
             counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(hits), 0), dtype=np.int64)
@@ -283,20 +283,24 @@ def _cutter(window: int):
             opens[starts] = gone[starts]
             total, runs, left = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens, ~gone))
             kept = slices(data[~gone], left[offsets[:-1]])
+            kept = pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string()) if as_text else kept.cast(pa.binary())
             columns = [np.diff(offsets), np.diff(total[offsets]), np.diff(runs[offsets])]
             others = [n for n in batch.schema.names if n not in ("text", "hits")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in others), *(pa.array(c.astype(np.int64)) for c in columns), kept.cast(pa.binary())],
+                [*(batch.column(n) for n in others), *(pa.array(c.astype(np.int64)) for c in columns), kept],
                 [*others, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, ladder=LADDER, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The columns of `docs` (doc_id, text, ...) but text, with n_bytes, n_removed, n_spans and kept (binary).
+def suffix_dedup(
+    docs: DataFrame, window: int = WINDOW, ladder=LADDER, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, as_text: bool = False
+) -> DataFrame:
+    """The columns of `docs` (doc_id, text, ...) but text, with n_bytes, n_removed, n_spans and kept.
 
-    n_spans counts maximal removed runs; kept has the bytes that stay.  Strings are judged on
+    n_spans counts maximal removed runs; kept has the bytes that stay, as binary or (`as_text`) as a string
+    without the bytes of letters that were cut apart.  Strings are judged on
     the input.  Null counts as empty; texts shorter than the window keep all; a
     repeated row repeats all its windows; null ids are allowed; an empty table gives no rows.  `ladder` has the
     lengths of naming strings as shares of the window.
@@ -317,13 +321,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, ladder=LADDER, hot_bytes
     joined = rows.join(by_row, ["id", "tag"], "left").select("doc_id", "text", "hits", *others)
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     ddl = ", ".join(f"`{n}` {kinds[n]}" for n in ["doc_id", *others])
-    return joined.mapInArrow(_cutter(window), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [b.decode("utf-8", "ignore") for b in batch.column("text").to_pylist()]
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+    kept = "string" if as_text else "binary"
+    return joined.mapInArrow(_cutter(window, as_text), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {kept}")
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
@@ -331,10 +330,9 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
 
     n_chars, where there is one, is counted anew.  Null text becomes empty.
     """
-    found = suffix_dedup(docs, **settings)
+    found = suffix_dedup(docs, as_text=True, **settings)
     names = {"text": "kept"} | {c: c if c in found.columns else f"{c}_in" for c in docs.columns if c != "text"}
     if "kept" in docs.columns:
         names["kept"] = "kept_in"
-    rows = found.select(*[F.col(names[c]).alias(c) for c in docs.columns])
-    out = rows.mapInArrow(_decode, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    out = found.select(*[F.col(names[c]).alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hybridq.llm.arrow import spans, text_bytes
+from hybridq.llm.arrow import by_bytes, spans, text_bytes
 from hybridq.llm.tokens import append_end, encoder
 from hybridq.plans.stages import materialise
 
@@ -109,7 +109,7 @@ def _table(rows) -> np.ndarray:
 def _tokenise(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             ids, counts = append_end(*enc.encode(batch.column("text")), end_id)
             raw = memoryview(ids.astype("<u2") if enc.dtype == np.uint16 else ids.astype("<u4")).cast("B")
             width = np.dtype(enc.dtype).itemsize
