@@ -23,13 +23,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from hybridq.llm.arrow import slices, spans, text_bytes
+from hybridq.llm.arrow import by_bytes, slices, spans, text_bytes
 from hybridq.llm.suffix_array import suffix_array
+from hybridq.llm.tokens import WordStore, each_cell
 
 SPACE = "▁"
 CACHED = 500_000
 #: Bytes of words indexed together.
-INDEXED = 1 << 20
+INDEXED = 1 << 19
+#: Pairs of pieces whose compatibility is remembered.
+PAIRS = 400_000
 DDL = "doc_id long, ids array<int>"
 
 
@@ -46,15 +49,15 @@ class Pieces:
         if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
             raise ValueError("needs a byte-pair model with byte fallback and without normalisation")
         self.prefix = spec.add_dummy_prefix
-        self.cached = cached
         kinds = [p.type for p in proto.pieces]
         self.text = [p.piece for p in proto.pieces]
         self.normal = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.score = {i: p.score for i, p in enumerate(proto.pieces)}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.decoded = [
+        decoded = [
             bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if k == 1 else b"" for t, k in zip(self.text, kinds)
         ]
+        self.table = slices(np.frombuffer(b"".join(decoded), np.uint8), np.cumsum([0, *map(len, decoded[:-1])]))
         self.of_byte = np.zeros(256, dtype=np.int32)
         for b, i in self.byte.items():
             self.of_byte[b] = i
@@ -65,7 +68,7 @@ class Pieces:
         self.ids = np.array([i for _, i in own], dtype=np.int64)
         self.keys = [t for t, _ in own]
         self.apart: dict[int, bool] = {}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.store = WordStore(cached, np.int32)
 
     # merging: defines which neighbours stay apart
     def merge(self, text: str) -> list[int]:
@@ -83,6 +86,8 @@ class Pieces:
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces stays apart when merged together."""
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
         pairs, at = np.unique(left * len(self.text) + right, return_inverse=True)
         out = np.empty(len(pairs), dtype=bool)
         for k, code in enumerate(pairs.tolist()):
@@ -215,30 +220,29 @@ class Pieces:
         opens[offsets[:-1][size > 0]] = True
         begin = np.flatnonzero(opens)
         coded = slices(data, begin).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
-        each = [self.known[w] for w in words]
-        count = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.empty(0, np.int32)
+        at, count = self.store.lookup(each_cell(coded.dictionary), self._learn)
         codes = np.asarray(coded.indices, dtype=np.int64)
-        ids = flat[spans((np.cumsum(count) - count)[codes], count[codes])] if len(codes) else flat
+        ids = self.store.flat[spans(at[codes], count[codes])]
         total = np.concatenate([[0], np.cumsum(count[codes])])
         return ids, np.diff(total[np.searchsorted(begin, offsets)])
 
     def _learn(self, words: list[bytes]) -> None:
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > self.cached:
-            self.known, missing = {}, words
-        size, low = np.cumsum([len(w) for w in missing]), 0
-        while low < len(missing):
+        size, low = np.cumsum([len(w) for w in words]), 0
+        while low < len(words):
             done = size[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(size, done + INDEXED, side="right")))
-            self.known.update(zip(missing[low:high], self.lattice(missing[low:high])))
+            found = self.lattice(words[low:high])
+            self.store.add(words[low:high], np.array([len(x) for x in found]), np.concatenate(found))
             low = high
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(self.decoded[i] for i in ids).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def decode_all(self, cells: pa.ListArray) -> list[str]:
+        """The texts of lists of ids, by table lookup."""
+        counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(cells), 0), dtype=np.int64)
+        data, at = text_bytes(self.table.take(cells.flatten()))
+        cuts = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -250,22 +254,24 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """doc_id, ids (array<int>) for every row of `docs` (doc_id, text); `path` is the model's file.
 
-    Null and empty texts have no ids; repeated rows give repeated rows; other columns don't matter; an
-    empty table gives none.  No shuffle; a worker remembers CACHED words at most.
+    With `decode` the text of the ids comes too, as `decoded`.  Null and empty texts have no ids; repeated
+    rows give repeated rows; other columns don't matter; an empty table gives none.  No
+    shuffle; a worker remembers CACHED words at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             ids, counts = model.encode(batch.column("text"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             cells = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), cells], ["doc_id", "ids"])
+            more = [pa.array(model.decode_all(cells), pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), cells, *more], ["doc_id", "ids", "decoded"][: 2 + decode])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DDL)
+    return docs.select("doc_id", "text").mapInArrow(run, DDL + (", decoded string" if decode else ""))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -274,16 +280,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        table = slices(np.frombuffer(b"".join(model.decoded), np.uint8), np.cumsum([0, *map(len, model.decoded[:-1])]))
         for batch in batches:
-            cells = batch.column("ids")
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(cells), 0), dtype=np.int64)
-            data, at = text_bytes(table.take(cells.flatten()))
-            ends = at[np.concatenate([[0], np.cumsum(counts)])]
-            raw, cuts = data.tobytes(), ends.tolist()
-            lead = 1 if model.prefix else 0
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-            texts = [t[lead:] if t.startswith(" ") else t for t in texts]
+            texts = model.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{fields}, decoded string")

@@ -28,6 +28,46 @@ LATIN = re.compile("^ [A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?$")
 CACHED = 700_000
 
 
+class WordStore:
+    """Ids of words that a worker remembers, in one flat array; forgets all when `cached` words would be exceeded."""
+
+    def __init__(self, cached: int, dtype):
+        self.cached, self.dtype = cached, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat = np.empty(1 << 16, dtype=self.dtype)
+        self.begin = np.empty(1 << 14, dtype=np.int64)
+        self.count = np.empty(1 << 14, dtype=np.int64)
+        self.used = 0
+
+    def lookup(self, words: list[bytes], learn) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, count) in `flat` of each word; `learn` adds those that are new."""
+        missing = [w for w in words if w not in self.known]
+        if missing and len(self.known) + len(missing) > self.cached:
+            self.clear()
+            missing = words
+        if missing:
+            learn(missing)
+        at = np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+        return self.begin[at], self.count[at]
+
+    def add(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(words)
+        if last > len(self.begin):
+            self.begin = np.resize(self.begin, max(last, 2 * len(self.begin)))
+            self.count = np.resize(self.count, len(self.begin))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first:last] = self.used + np.cumsum(counts) - counts
+        self.count[first:last] = counts
+        self.used += len(ids)
+        for i, w in enumerate(words, first):
+            self.known[w] = i
+
+
 class PieceEncoder:
     """`path` is a tokenizer file; `cached` bounds the words that a worker remembers."""
 
@@ -36,7 +76,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cached = cached
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         # without a normalizer a byte-level token has one letter for each byte
@@ -53,14 +92,7 @@ class PieceEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             for token, i in vocab.items():
                 self.ends[i] = token.endswith(suffix)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, dtype=self.dtype)
-        self.used = 0
-        self.begin: np.ndarray = np.empty(1 << 14, dtype=np.int64)
-        self.count: np.ndarray = np.empty(1 << 14, dtype=np.int64)
+        self.store = WordStore(cached, self.dtype)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,23 +115,12 @@ class PieceEncoder:
         starts = np.flatnonzero(cut)
         coded = slices(data, starts).dictionary_encode()
         codes = np.asarray(coded.indices, dtype=np.int64)
-        begin, count = self._lookup(_each(coded.dictionary))
+        begin, count = self.store.lookup(each_cell(coded.dictionary), self._learn)
         lengths = count[codes]
-        ids = self.flat[spans(begin[codes], lengths)] if len(codes) else np.empty(0, dtype=self.dtype)
+        ids = self.store.flat[spans(begin[codes], lengths)]
         per_piece = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(per_piece[np.searchsorted(starts, offsets)])
 
-    def _lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        missing = [p for p in pieces if p not in self.known]
-        if missing and len(self.known) + len(missing) > self.cached:
-            self.clear()
-            missing = pieces
-        if missing:
-            self._learn(missing)
-        known = self.known
-        at = np.fromiter((known[p] for p in pieces), dtype=np.int64, count=len(pieces))
-        return self.begin[at], self.count[at]
-
     def _learn(self, pieces: list[bytes]) -> None:
         joinable, alone, words = [], [], []
         for p in pieces:
@@ -120,29 +141,15 @@ class PieceEncoder:
                 so_far, want = np.cumsum(self.ends[ids]), np.cumsum(words[low : low + JOINED])
             at = np.searchsorted(so_far, want) + 1
             if len(ids) and at[-1] == len(ids) and (so_far[at - 1] == want).all():
-                self._store(group, np.diff(at, prepend=0), ids)
+                self.store.add(group, np.diff(at, prepend=0), ids)
             else:
                 alone += group
         if alone:
             found = self._ids([p.decode("utf-8", "replace") for p in alone])
-            self._store(alone, np.array([len(x) for x in found]), np.concatenate(found))
-
-    def _store(self, group: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
-        first, last = len(self.known), len(self.known) + len(group)
-        if last > len(self.begin):
-            self.begin = np.resize(self.begin, max(last, 2 * len(self.begin)))
-            self.count = np.resize(self.count, len(self.begin))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[first:last] = self.used + np.cumsum(counts) - counts
-        self.count[first:last] = counts
-        self.used += len(ids)
-        for i, p in enumerate(group, first):
-            self.known[p] = i
+            self.store.add(alone, np.array([len(x) for x in found]), np.concatenate(found))
 
 
-def _each(values: pa.Array) -> list[bytes]:
+def each_cell(values: pa.Array) -> list[bytes]:
     data, offsets = text_bytes(values)
     raw, at = data.tobytes(), offsets.tolist()
     return [raw[a:b] for a, b in zip(at, at[1:])]
