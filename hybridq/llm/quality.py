@@ -30,7 +30,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         .where("y = y2")
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [clean.where(F.col("y") == y).orderBy(*order).limit(2 * sample_rows).select("doc_id", "y") for y in (0, 1)]
+    known = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
+
+    def pick(y: int) -> DataFrame:
+        # a share by hash first, so that few rows are sorted however many are labelled
+        share = min(1.0, 4 * sample_rows / max(known.get(y, 0), 1))
+        few = clean.where((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40))))
+        return few.orderBy(*order).limit(2 * sample_rows).select("doc_id", "y")
+
+    picked = [pick(y) for y in (0, 1)]
     # at most 4 * sample_rows ids: a proven bound
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
