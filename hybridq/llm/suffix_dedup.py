@@ -233,6 +233,7 @@ def _marks(source: DataFrame, window: int, ladder, hot_bytes: int, shard_bytes:
         k = max(1, round(window * share))
         found = materialise(pending.mapInArrow(_segmenter(k, window, masked), SEGMENT), "segments")
         common = found.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("t")).where("c > 1 OR t").select("key")
+        common = materialise(common, "names")  # as a table, so that Spark can split the join at a hot name
         shared = materialise(found.drop("twice").join(common, "key"), "shared")
         drop_stage(found)
         # one row per distinct segment, with any of its places
