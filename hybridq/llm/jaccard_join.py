@@ -300,6 +300,7 @@ def set_edges(sets: DataFrame, percent: int = PERCENT, group_sets: int = GROUP_S
     """Edges that connect exactly the components of the links between `sets` (sid, head, shingles)."""
     postings = sets.select("sid", "head", "shingles").mapInArrow(_postings, "shingle long, sid long")
     leaders = postings.groupBy("shingle").agg(F.min("sid").alias("grp"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    leaders = materialise(leaders, "leaders")  # as a table, so that Spark can split the join at a hot shingle
     members = materialise(postings.join(leaders, "shingle").select("grp", "sid").distinct(), "members")
     sizes = members.groupBy("grp").count().where(F.col("count") > 1)
     sizes = materialise(sizes.select("grp", F.ceil(F.col("count") / F.lit(group_sets)).cast("int").alias("pieces")), "sizes")
@@ -344,6 +345,21 @@ def one_per_component(docs: DataFrame, **settings) -> DataFrame:
     return rows.join(dropped, ["_id", "_tag"], "left_anti").select(*docs.columns)
 
 
+def _most_frequent(counts: DataFrame, most: int):
+    """Shingles with the highest counts, `most` at the most, as a pandas table.
+
+    A histogram over eighths of a doubling (a few hundred rows) tells from which count on they are few enough, so no
+    more than `most` rows ever leave the executors."""
+    step = F.floor(F.log2("df") * 8).cast("int")
+    lowest, taken = None, 0
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > most:
+            break
+        lowest = row.step
+    return counts.where(F.lit(False) if lowest is None else step >= lowest).toPandas()
+
+
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_sets: int = GROUP_SETS, frequent: int = FREQUENT
 ) -> DataFrame:
@@ -366,8 +382,7 @@ def jaccard_components(
     asked = sketch.where("kind = 1").select("bucket", "block", "prints", "docs", "more")
     answers = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_bucket, ANSWER)
     answers = materialise(answers, "answers")
-    often = answers.where("shingle IS NOT NULL").orderBy(F.desc("df"), "shingle").select("shingle", "df").limit(frequent).toPandas()
-    often = often.sort_values("shingle")
+    often = _most_frequent(answers.where("shingle IS NOT NULL").select("shingle", "df"), frequent).sort_values("shingle")
     head = sketch.where("kind = 0").select("block", "id", "tag", "n", "sampled", "own", "d0", "d1", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("counts"))
     replies = answers.where("block IS NOT NULL").select("block", "docs", "counts")
     both = head.unionByName(replies, allowMissingColumns=True)
