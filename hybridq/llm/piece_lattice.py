@@ -28,11 +28,11 @@ from hybridq.llm.suffix_array import suffix_array
 from hybridq.llm.tokens import WordStore, each_cell
 
 SPACE = "▁"
-CACHED = 500_000
+CACHED = 1_200_000
 #: Bytes of words indexed together.
 INDEXED = 1 << 19
 #: Pairs of pieces whose compatibility is remembered.
-PAIRS = 400_000
+PAIRS = 800_000
 DDL = "doc_id long, ids array<int>"
 
 
@@ -61,7 +61,7 @@ class Pieces:
         self.of_byte = np.zeros(256, dtype=np.int32)
         for b, i in self.byte.items():
             self.of_byte[b] = i
-        self.first_letter = min(self.normal.values(), default=0)
+        self.plain = bytes(b for b in range(128) if chr(b) in self.normal)
         # pieces that merging their own letters gives back, by their bytes
         own = [(t.encode(), i) for t, i in self.normal.items() if self.merge(t) == [i]]
         own.sort()
@@ -177,7 +177,10 @@ class Pieces:
     def _letters(self, words: list[bytes], base: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Letters without a piece by the offset of their end: (places before, places after)."""
         out: dict[int, list] = {}
+        space = SPACE.encode()
         for w, b in zip(words, base.tolist()):
+            if not w.replace(space, b"").translate(None, self.plain):
+                continue  # nothing but spaces and ASCII letters that are pieces
             text = w.decode("utf-8", "replace")
             if any(c not in self.normal for c in set(text)):
                 at = 0
