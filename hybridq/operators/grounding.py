@@ -119,13 +119,14 @@ def build_context(ranked: DataFrame, applied_col: str = "criteria", most_excerpt
     )
 
 
-def build_item_context(items: DataFrame) -> DataFrame:
-    """(query_id, context) for rows of listing fields plus chunk structs with text."""
+def build_item_context(items: DataFrame, most_excerpts: int | None = None) -> DataFrame:
+    """(query_id, id, context) for rows of listing fields plus chunk structs with text.
+    `most_excerpts` keeps the first excerpts of a listing only, if given."""
+    excerpts = _excerpts(F.col("chunks"), most_excerpts)
     return items.select(
         "query_id",
-        _say("JOB CONTEXT:\n\n", item_facts(), "Description: ", F.col("description"), "\n", _excerpts(F.col("chunks"))).alias(
-            "context"
-        ),
+        "id",
+        _say("JOB CONTEXT:\n\n", item_facts(), "Description: ", F.col("description"), "\n", excerpts).alias("context"),
     )
 
 

@@ -197,13 +197,12 @@ def answer_item(spark, sf):
     "build_item_context",
     with_ctes(
         f"""SELECT h.query_id, h.id, 'JOB CONTEXT:' || chr(10) || chr(10) || {FACTS} || 'Description: ' || l.description || chr(10) || coalesce('Retrieved excerpts:' || chr(10) || x.lines, '') AS context
-        FROM shown h JOIN listings l USING (id) LEFT JOIN hit_lines x ON x.query_id = h.query_id AND x.id = h.id WHERE h.rank = 1""",
+        FROM shown h JOIN listings l USING (id) LEFT JOIN hit_lines x ON x.query_id = h.query_id AND x.id = h.id""",
         "shown", "hit_lines",
     ),
 )
 def item_context(spark, sf):
-    first = with_texts(shown(spark, sf).where(c("rank") == 1), listing_index(spark, sf))
-    return G.build_item_context(first).join(first.select("query_id", "id"), "query_id")
+    return G.build_item_context(with_texts(shown(spark, sf), listing_index(spark, sf)))
 
 
 @query(
