@@ -52,7 +52,7 @@ def test_near_copies(stages):
 def test_repeated_strings(stages):
     before, after = stages[3]
     ids = sorted(before)
-    want = [w[3].decode("utf-8", "ignore") for w in repeats([before[i].text for i in ids], 400)]
+    want = [w[3].decode("utf-8", "ignore") for w in repeats([before[i].text for i in ids], P.REPEAT_BYTES)]
     assert [after[i].text for i in ids] == want
     assert all(r.n_chars == len(r.text) and r.lang == before[i].lang for i, r in after.items())
 
