@@ -10,8 +10,9 @@ with the rank of every id.  Blocks are Parquet rows, because executors can only
 shared store through Spark's writers.
 
 Plan: tokens are made once and staged; counts of ids are a partial aggregate with at most
-one row per vocabulary entry; coded documents (about 1.3 bytes an id) are range-partitioned
-by doc_id; positions come from totals per range, so no task sees all rows.
+one row per vocabulary entry; documents are coded once (about 1.3 bytes an id) and staged, in place of
+their ids, because dealing rows by range reads them twice; ranges go by doc_id and place, so
+that a doc_id of many rows spreads; positions come from totals per range, so no task sees all rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hybridq.llm.arrow import by_bytes, spans, text_bytes
+from hybridq.llm.arrow import by_bytes, slices, spans, text_bytes
 from hybridq.llm.tokens import append_end, encoder
-from hybridq.plans.stages import materialise
+from hybridq.plans.stages import drop_stage, materialise
 
 BLOCK_DOCS = 512
 BLOCK_BYTES = 8 << 20
@@ -38,16 +39,24 @@ BLOCKS = "part long, block long, first_token long, doc_ids array<long>, n_tokens
 READ = "part long, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype(np.uint32)
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, dtype=np.int64)
-    padded[: len(values)] = size - 1
-    quads = padded.reshape(-1, 4)
-    control = (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).astype(np.uint8)
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+def encode_values(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Several runs of unsigned 32-bit values, `counts` long each: (control bytes, start of each run's, data bytes, start of each run's)."""
+    values = values.astype("<u4")
+    longer = (values > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if len(values) and values.max() > limit:
+            longer += values > limit
+    quads = -(-counts // 4)
+    first = np.cumsum(quads) - quads
+    padded = np.zeros(4 * int(quads.sum()), dtype=np.uint8)
+    padded[spans(4 * first, counts)] = longer
+    padded = padded.reshape(-1, 4)
+    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    width = int(longer.max(initial=0)) + 1
+    raw = values.view(np.uint8).reshape(-1, 4)[:, :width]
+    so_far = np.concatenate([[0], np.cumsum(longer, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return control, first, raw[np.arange(width) <= longer[:, None]], ends - counts + so_far[ends - counts]
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -80,10 +89,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, parts: int | None
         counts.select(F.row_number().over(Window.orderBy(F.desc("n"), "id")).cast("long").alias("rank"), "id", "n"), "ranks"
     )
     rank_of = _table(ranked.select("id", (F.col("rank") - 1)).collect())
-    coded = staged.mapInArrow(_code(rank_of), CODED)
+    coded = materialise(staged.mapInArrow(_code(rank_of), CODED), "coded")
+    drop_stage(staged)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return materialise(ordered.mapInArrow(_blocks, BLOCKS), "blocks"), ranked
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    ordered = coded.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = materialise(ordered.mapInArrow(_blocks, BLOCKS), "blocks")
+    drop_stage(coded)
+    return blocks, ranked
 
 
 def read_tokens(blocks: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -141,12 +154,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _code(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [encode_values(rank_of[_ids(c)]) for c in batch.column("ids").to_pylist()]
+        for batch in by_bytes(batches, "ids"):
+            cells = batch.column("ids").to_pylist()
+            ids = np.concatenate([_ids(c) for c in cells]) if cells else np.empty(0, dtype=np.uint16)
+            control, first, data, start = encode_values(rank_of[ids], np.asarray(batch.column("n_tokens")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_tokens"), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())],
+                [batch.column("doc_id"), batch.column("n_tokens"), slices(control, first).cast(pa.binary()), slices(data, start).cast(pa.binary())],
                 ["doc_id", "n_tokens", "control", "data"],
-            )
+            )
 
     return run
 

@@ -53,9 +53,24 @@ def test_values_round_trip():
     rng = np.random.default_rng(1)
     counts = np.array([0, 1, 2, 500, 500, 0, 3])
     values = rng.choice(np.array([0, 3, 300, 70_000, 2**31]), counts.sum()) + rng.integers(0, 200, counts.sum())
-    coded = [encode_values(v) for v in np.split(values, np.cumsum(counts)[:-1])]
-    control, data = (np.frombuffer(b"".join(c[i] for c in coded), np.uint8) for i in (0, 1))
+    control, first, data, start = encode_values(values, counts)
     assert (decode_values(control, data, counts) == values).all()
+    # each run is coded by itself
+    firsts, starts = np.append(first, len(control)), np.append(start, len(data))
+    for i, own in enumerate(np.split(values, np.cumsum(counts)[:-1])):
+        parts = control[firsts[i] : firsts[i + 1]], data[starts[i] : starts[i + 1]]
+        assert (decode_values(*parts, counts[i : i + 1]) == own).all()
+        assert len(parts[1]) == sum(max(1, (int(v).bit_length() + 7) // 8) for v in own)
+
+
+def test_rows_of_one_document_id_spread(spark):
+    """Places within a repeated id follow the ranges, wherever a range ends."""
+    rows = [(5, f"text number {i}") for i in range(300)] + [(1, "first"), (9, "last"), (None, "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = read_tokens(*write_tokens(frame, BYTE, 0, parts=6)).collect()
+    spans = sorted((r.start, r.n_tokens, r.doc_id) for r in found)
+    assert [s for s, _, _ in spans] == [sum(n for _, n, _ in spans[:i]) for i in range(len(spans))]
+    assert [d for _, _, d in spans] == [None, 1, *[5] * 300, 9]
 
 
 def test_token_files(spark, docs, nothing):
