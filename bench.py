@@ -48,7 +48,10 @@ def cases(spark, sf):
         ),
         "parse_queries": lambda: parse_queries(t.view(spark, sf, "requests").repartition("query_id")),
         "filter_candidates": lambda: filter_candidates(t.query_log(spark, sf), t.listings(spark, sf)),
-        "hybrid_search": lambda: hybrid_search(t.query_log(spark, sf), t.listings(spark, sf), t.listing_index(spark, sf)),
+        "listing_words": lambda: t.words(spark, sf),
+        "hybrid_search": lambda: hybrid_search(
+            t.query_log(spark, sf), t.listings(spark, sf), t.listing_index(spark, sf), words=t.words(spark, sf)
+        ),
         "conversation_summary": lambda: conversations.conversation_summary(t.view(spark, sf, "messages")),
         "recent_history": lambda: conversations.recent_history(t.view(spark, sf, "messages")),
     }

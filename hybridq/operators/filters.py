@@ -1,8 +1,8 @@
 """Structured filters and topic gates between a query table and a listing table.
 
-Nothing here is a nested loop: places meet through a dictionary of substrings,
-everything else through (employment type, remote, pay band) cells, and the exact
-predicates are verified inside the join.
+Nothing here is a nested loop: places meet through the rarest piece of the asked text, everything
+else through the cells of a grid (place, remote, pay band, band of years), and the
+exact predicates are verified inside the join.
 """
 
 from __future__ import annotations
@@ -94,35 +94,120 @@ def required_level(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Places
 # ---------------------------------------------------------------------------
+def _pieces(text: Column, size: int) -> Column:
+    """All different pieces of `size` characters, none of a shorter text."""
+    n = F.length(text)
+    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
 def match_places(asked: DataFrame, places: DataFrame) -> DataFrame:
     """(asked, place) for every asked text contained in a place name.
 
-    Works on the distinct names only: each name is listed under all its pieces of
-    one to three characters, each asked text looks under its first piece."""
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(3)),
-                lambda n: F.when(
-                    F.length("_low") >= n,
-                    F.transform(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda i: F.substr("_low", i, n)),
-                ).otherwise(strings([])),
-            )
-        )
+    Works on the distinct names only.  An asked text looks under the one of its pieces of three characters that the
+    fewest names hold (a text of one or two characters under itself, an empty one under every name), so
+    a beginning that most names share brings nothing together."""
+    wanted = asked.select("asked").where(F.col("asked").isNotNull()).distinct().withColumn("_want", F.lower("asked"))
+    own = F.when(F.length("_want") < 3, F.array("_want")).otherwise(_pieces(F.col("_want"), 3))
+    wanted = wanted.withColumn("_gram", F.explode(own))
+    names = places.select("place").where(F.col("place").isNotNull()).distinct().withColumn("_low", F.lower("place"))
+    held = F.concat(F.array(F.lit("")), *[_pieces(F.col("_low"), size) for size in (1, 2, 3)])
+    names = names.withColumn("_gram", F.explode(held)).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    often = names.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    # a piece that no name holds leaves its text without any name
+    ranked = wanted.join(often, "_gram", "left").groupBy("asked", "_want").agg(
+        F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), "_gram")).alias("_rarest")
     )
-    names = places.select("place").distinct().withColumn("_low", F.lower("place"))
-    names = names.select("place", "_low", F.explode(pieces).alias("_piece"))
-    wanted = asked.select("asked").where(F.col("asked").isNotNull()).distinct()
-    wanted = wanted.withColumn("_want", F.lower("asked")).withColumn("_piece", F.substring("_want", 1, 3))
-    return wanted.join(names, "_piece").where(F.contains("_low", F.col("_want"))).select("asked", "place")
+    chosen = ranked.where("_rarest.names > 0").select("asked", "_want", F.col("_rarest._gram").alias("_gram"))
+    return names.join(chosen, "_gram").where(F.contains("_low", F.col("_want"))).select("asked", "place")
 
 
 # ---------------------------------------------------------------------------
 # Candidate pairs
 # ---------------------------------------------------------------------------
-def _band(amount: Column) -> Column:
-    """Doubling pay bands; monotone, so a minimum only ever needs the bands above its own."""
-    return F.floor(F.log2(F.greatest(amount.cast("double"), F.lit(1.0)))).cast("int")
+#: Years of experience in one band; pay bands are quarters of a doubling.
+YEARS = 4
+TOP_YEARS = 60
+GRID = ["_place", "_remote", "_pay", "_years"]
+UNKNOWN, ANY = -1, -2
+ANYWHERE = "*"
+
+
+def pay_band(amount: Column) -> Column:
+    """Bands of pay, four for each doubling; monotone."""
+    return F.floor(F.log2(F.greatest(amount.cast("double"), F.lit(1.0))) * 4).cast("int")
+
+
+def year_band(years: Column) -> Column:
+    return F.floor(F.least(F.greatest(years, F.lit(0)), F.lit(TOP_YEARS)) / YEARS).cast("int")
+
+
+def _bands(low: Column, high: Column) -> Column:
+    """All bands from low to high; none where they are turned round."""
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _listing_cells(rows: DataFrame) -> DataFrame:
+    """A listing once in each band of years that its range touches, and once for queries that don't ask for years;
+    so for its place and for remote.  Its pay is the band of its upper end, which is what a lower bound asks for."""
+    low, high = F.col("experience_min"), F.col("experience_max")
+    known = low.isNotNull() & high.isNotNull() & (low <= high)
+    years = F.when(known, _bands(year_band(low), year_band(high))).otherwise(F.array(F.lit(UNKNOWN)))
+    remote = F.array(F.lit(ANY), F.coalesce(F.col("remote").cast("int"), F.lit(UNKNOWN)))
+    cells = F.flatten(F.transform(F.concat(F.array(F.lit(ANY)), years), lambda y: F.flatten(F.transform(
+        remote, lambda r: F.transform(F.array(F.lit(True), F.lit(False)), lambda p: F.struct(p.alias("here"), r.alias("_remote"), y.alias("_years")))))))
+    own = rows.columns
+    placed = rows.select(
+        *own, F.coalesce(pay_band(F.col("salary_max")), F.lit(UNKNOWN)).alias("_pay"), F.array_min(years).alias("_first_years"), F.explode(cells).alias("_cell")
+    )
+    place = F.when(F.col("_cell.here"), F.col("location")).otherwise(F.lit(ANYWHERE))
+    return placed.select(*own, "_pay", "_first_years", place.alias("_place"), "_cell._remote", "_cell._years").where(F.col("_place").isNotNull())
+
+
+#: The criteria that filter, as plain columns: Spark prunes structs, but not below a generator.
+ASKED = ["location", "remote", "experience_min", "experience_max", "salary_min", "salary_max", "employment_type"]
+ASKED_COLUMNS = {name: f"_asked_{name}" for name in ASKED}
+
+
+def _asked_fields() -> dict[str, Column]:
+    return {name: F.col(own) for name, own in ASKED_COLUMNS.items()}
+
+
+def _query_cells(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """A query once in each cell that can hold a match; `edges` is one row: the bands of pay that occur."""
+    c, col = _asked_fields(), F.col
+    remote = F.coalesce(c["remote"].cast("int"), F.lit(ANY))
+    least = F.when(c["salary_min"].isNotNull(), F.greatest(pay_band(c["salary_min"]), col("_first")))
+    pay = F.when(c["salary_min"].isNull(), F.concat(F.array(F.lit(UNKNOWN)), _bands(col("_first"), col("_last")))).otherwise(
+        _bands(least, col("_last"))
+    )
+    low, high = F.coalesce(c["experience_min"], F.lit(0)), F.coalesce(c["experience_max"], F.lit(TOP_YEARS))
+    asked = c["experience_min"].isNotNull() | c["experience_max"].isNotNull()
+    # a listing with one end of its range unknown, or both turned round, may still pass what is asked of the other end
+    years = F.when(asked, F.concat(F.array(F.lit(UNKNOWN)), _bands(year_band(low), year_band(high)))).otherwise(F.array(F.lit(ANY)))
+    years = F.when(asked & (low > high), F.array_union(years, _bands(year_band(high), year_band(low)))).otherwise(years)
+    each = lambda values, inner: F.flatten(F.transform(values, inner))
+    cells = each(pay, lambda p: F.transform(years, lambda y: F.struct(p.alias("_pay"), y.alias("_years"))))
+    one = queries.join(F.broadcast(edges))  # one row
+    spread = one.select(
+        *queries.columns, F.least(year_band(low), year_band(high)).alias("_low_years"), remote.alias("_remote"), F.explode(cells).alias("_cell")
+    )
+    return spread.select(*queries.columns, "_low_years", "_remote", "_cell._pay", "_cell._years")
+
+
+def grid_pairs(queries: DataFrame, listings: DataFrame, out: list[str], target_rows: int = TARGET_ROWS, verify: bool = True) -> DataFrame:
+    """Pairs that pass all filters, met in a grid of place, remote, pay band and band of years.
+
+    `queries` have one row for each place they accept, in `_place` (ANYWHERE where they ask for none).  A pair
+    whose ranges of years share several bands meets in each, and counts in the first one only.
+    `verify=False` gives every pair that is tested, as often as it is."""
+    pay = pay_band(F.col("salary_max"))
+    edges = listings.agg(F.coalesce(F.min(pay), F.lit(0)).alias("_first"), F.coalesce(F.max(pay), F.lit(0)).alias("_last"))
+    shared = F.greatest("_first_years", "_low_years")
+    first = (F.col("_years") < 0) | (F.col("_years") == shared)
+    extra = first & passes_all(_asked_fields()) if verify else None
+    cells, wanted = _listing_cells(listings), _query_cells(queries, edges)
+    return spread_join(cells, wanted, GRID, ["id"], target_rows=target_rows, extra=extra).select(*out)
 
 
 def filter_candidates(
@@ -130,54 +215,36 @@ def filter_candidates(
     listings: DataFrame,
     facts: list[str] = ("id",),
     target_rows: int = TARGET_ROWS,
-    with_criteria: bool = False,
+    verify: bool = True,
 ) -> DataFrame:
-    """(query_id, criteria?, <facts>) for every listing that passes every requested filter.
+    """(query_id, <facts>) for every listing that passes every requested filter.
 
     queries: query_id, criteria and optionally restrict_ids array<bigint> (NULL = no
-    restriction, empty = no rows)."""
+    restriction, empty = no rows).  `verify=False` shows the pairs that are tested."""
     if "restrict_ids" not in queries.columns:
         queries = queries.withColumn("restrict_ids", F.lit(None).cast("array<bigint>"))
-    c = F.col("criteria")
-    q = queries.select("query_id", "criteria", "restrict_ids")
+    c = _asked_fields()
+    q = queries.select("query_id", "restrict_ids", *[F.col("criteria")[name].alias(own) for name, own in ASKED_COLUMNS.items()])
     needed = list(dict.fromkeys([*facts, *[f for f in FACTS if f not in ("skills", "posted_date", "currency")]]))
     rows = listings.select(*needed)
     by_place = c["location"].isNotNull() & ~F.coalesce(c["remote"], F.lit(False))
-    free = q.where(F.col("restrict_ids").isNull())
-    out = ["query_id", *(["criteria"] if with_criteria else []), *facts]
+    free = q.where(F.col("restrict_ids").isNull()).drop("restrict_ids")
+    own = ["query_id", *ASKED_COLUMNS.values()]
+    out = ["query_id", *facts]
 
-    # 1. a place is asked: listings meet through the matching place names
+    # 1. a place is asked: all place names that contain it, else anywhere
     places = match_places(
         free.where(by_place).select(c["location"].alias("asked")), rows.select(F.col("location").alias("place"))
     )
-    placed = free.where(by_place).join(places, c["location"] == F.col("asked")).select("query_id", "criteria", "place")
-    first = spread_join(
-        rows.withColumn("place", F.col("location")), placed, ["place"], ["id"], target_rows=target_rows,
-        extra=passes_all(c),
-    ).select(*out)
-
-    # 2. no place: through the cells that can hold a match
-    cell = ["_type", "_remote", "_band"]
-    celled = rows.withColumns(
-        {"_type": F.coalesce("employment_type", F.lit("")), "_remote": F.col("remote"), "_band": _band(F.col("salary_max"))}
-    )
-    cells = celled.select(*cell).distinct()
-    either = F.when(c["remote"].isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(c["remote"]))
-    open_q = free.where(~by_place).withColumn("_remote", F.explode(either))
-    fitting = (c["employment_type"].isNull() | (F.col("_type") == c["employment_type"])) & (
-        c["salary_min"].isNull() | (F.col("_band") >= _band(c["salary_min"]))
-    )
-    wanted = open_q.join(cells, "_remote").where(fitting).select("query_id", "criteria", *cell)
-    second = spread_join(
-        celled, wanted, cell, ["id"], target_rows=target_rows, extra=passes_all(c)
-    ).select(*out)
-
-    # 3. restricted to earlier results: start from the ids
-    listed = q.where(F.col("restrict_ids").isNotNull()).select(
-        "query_id", "criteria", F.explode(F.array_distinct("restrict_ids")).alias("id")
-    )
-    third = listed.join(rows, "id").where(passes_all(c)).select(*out)
-    return first.unionByName(second).unionByName(third)
+    placed = free.where(by_place).join(places, c["location"] == F.col("asked")).select(*own, F.col("place").alias("_place"))
+    anywhere = free.where(~by_place).select(*own, F.lit(ANYWHERE).alias("_place"))
+    first = grid_pairs(placed.unionByName(anywhere), rows, out, target_rows, verify)
+
+    # 2. restricted to earlier results: start from the ids
+    listed = q.where(F.col("restrict_ids").isNotNull()).select(*own, F.explode(F.array_distinct("restrict_ids")).alias("id"))
+    second = listed.join(rows, "id")
+    second = (second.where(passes_all(c)) if verify else second).select(*out)
+    return first.unionByName(second)
 
 
 def pred_restrict_ids(queries: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,26 +281,48 @@ def topic_gate_skills(
     ).where(F.col("_skill") == shared_first).select("query_id", "criteria", *facts)
 
 
-def keyword_pairs(queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """(query_id, id) for queries without skills: any keyword, or a concrete term of its
-    concept, occurs in the listing."""
-    c = F.col("criteria")
+def asked_words(c: Column) -> Column:
+    """What a query without skills asks by its keywords: their words and the concrete terms of their concepts."""
     terms = F.array_distinct(F.flatten(F.transform(c["keywords"], lambda k: expand_concepts(tokenize(k)))))
-    wanted = queries.where((F.size(c["skills"]) == 0) & (F.size(c["keywords"]) > 0)).select(
-        "query_id", F.explode(terms).alias("_term")
-    )
+    return F.when(F.size(c["skills"]) == 0, terms).otherwise(strings([]))
+
+
+def said_words(queries: DataFrame, listings: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(id, word): of the words that any query asks, those that stand in each listing.
+
+    `words` is the catalogue's listing_words, where it is kept."""
+    wanted = queries.select(F.explode(asked_words(F.col("criteria"))).alias("word")).distinct()
+    return (listing_words(listings) if words is None else words).join(wanted, "word", "left_semi")
+
+
+def listing_words(listings: DataFrame) -> DataFrame:
+    """(id, word): all words of each listing, for a catalogue that is searched more than once."""
     body = F.concat_ws(
         " ", "title", F.array_join("skills", " "), "description", F.array_join("requirements", " "),
         F.array_join("responsibilities", " "),
     )
     # outer form: no inferred size filter, so the tokenizer runs once per listing
-    spoken = (
-        listings.select("id", F.explode_outer(F.array_distinct(tokenize(body))).alias("_term"))
-        .join(wanted.select("_term").distinct(), "_term", "left_semi")
+    return listings.select("id", F.explode_outer(F.array_distinct(tokenize(body))).alias("word"))
+
+
+def on_topic(c: Column, skills: Column, said: Column) -> Column:
+    """The topic gate of one pair: any asked skill is offered, else any asked word is among those `said`."""
+    asked, offered = _lowered(c["skills"]), _lowered(skills)
+    words = F.coalesce(F.arrays_overlap(asked_words(c), said), F.lit(False))
+    return (
+        F.when(F.size(c["skills"]) > 0, F.coalesce(F.arrays_overlap(asked, offered), F.lit(False)))
+        .when(F.size(c["keywords"]) > 0, words)
+        .otherwise(F.lit(True))
     )
+
+
+def keyword_pairs(queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(query_id, id) for queries without skills: any keyword, or a concrete term of its
+    concept, occurs in the listing."""
+    wanted = queries.select("query_id", F.explode(asked_words(F.col("criteria"))).alias("word"))
     # read twice below (hot keys, join): keep the few matching words instead of tokenizing again
-    spoken = materialise(spoken, "spoken")
-    return spread_join(spoken, wanted, ["_term"], ["id"], target_rows=target_rows).select("query_id", "id").distinct()
+    spoken = materialise(said_words(queries, listings), "spoken")
+    return spread_join(spoken, wanted, ["word"], ["id"], target_rows=target_rows).select("query_id", "id").distinct()
 
 
 def topic_gate_keywords(

@@ -95,7 +95,8 @@ def _run(batches, task):
                     state, waiting = task.prepare(pa.concat_tables(waiting)), []
                 items = _side(piece, "x_")
                 for low in range(0, len(items), ITEM_ROWS):
-                    task.fold(state, items.slice(low, ITEM_ROWS))
+                    # what a task can't hold it gives out as it goes
+                    yield from task.fold(state, items.slice(low, ITEM_ROWS)) or ()
     if state is not None:
         yield from task.finish(state)
 
@@ -161,15 +162,20 @@ class Best:
         self.id = None
 
     def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
-        key = np.where(allowed, np.floor(scores * 1e9 + 0.5), -np.inf)
-        bar = self.floor[:, None]
-        if key.shape[1] > self.k:
-            bar = np.maximum(bar, -np.partition(-key, self.k - 1, axis=1)[:, self.k - 1 : self.k])
-        rows, cols = np.nonzero((key >= bar) & (key > -np.inf))
+        # a little below the k-th score seen so far; rows that aren't full yet look at this batch
+        low = (self.floor - 1.0) * 1e-9
+        unfilled = np.flatnonzero(self.floor == -np.inf)
+        if len(unfilled) and scores.shape[1] > self.k:
+            some = np.where(allowed[unfilled], scores[unfilled], -np.inf)
+            low[unfilled] = np.partition(some, -self.k, axis=1)[:, -self.k] - 1e-9
+        rows, cols = np.nonzero((scores >= low[:, None]) & allowed)
+        key = np.floor(scores[rows, cols] * 1e9 + 0.5)
+        good = key >= self.floor[rows]
+        rows, cols, key = rows[good], cols[good], key[good]
         if len(rows) == 0:
             return
         self.row = np.concatenate([self.row, rows])
-        self.key = np.concatenate([self.key, key[rows, cols]])
+        self.key = np.concatenate([self.key, key])
         self.score = np.concatenate([self.score, scores[rows, cols]])
         self.id = ids[cols] if self.id is None else np.concatenate([self.id, ids[cols]])
         order = np.lexsort((self.id, -self.key, self.row))
@@ -190,6 +196,48 @@ class Best:
         )
 
 
+#: A multiplication through lists costs as much as this many in a matrix product.
+SPARSE_COST = 25
+
+
+class SparseUnits:
+    """Unit vectors given as `idx` and `val` lists, by coordinate, for products with other such rows."""
+
+    def __init__(self, table: pa.Table, dims: int):
+        rows, at, values = sparse_units(table)
+        order = np.argsort(at, kind="stable")
+        self.n, self.dims = len(table), dims
+        self.rows, self.values = rows[order], values[order]
+        self.start = np.searchsorted(at[order], np.arange(dims + 1))
+
+    def cost(self, at: np.ndarray) -> int:
+        """How many products `dot` makes."""
+        return int((self.start[at + 1] - self.start[at]).sum())
+
+    def dot(self, rows: np.ndarray, at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """All inner products with `n` other rows, given by their entries."""
+        out = np.zeros(self.n * n)
+        width = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(width)
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 2_000_000, side="right")))
+            w = width[low:high]
+            place = np.repeat(self.start[at[low:high]] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            cell = self.rows[place] * n + np.repeat(rows[low:high], w)
+            out += np.bincount(cell, self.values[place] * np.repeat(values[low:high], w), minlength=len(out))
+            low = high
+        return out.reshape(self.n, n)
+
+
+def sparse_units(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, coordinate, value) of all entries of `idx`/`val` lists, rows scaled to length one."""
+    rows, at = lists(table, "idx")
+    values = np.asarray(lists(table, "val")[1], dtype=np.float64)
+    norm = np.sqrt(np.bincount(rows, values * values, minlength=len(table)))[rows]
+    return rows, np.asarray(at, dtype=np.int64), np.divide(values, norm, out=np.zeros(len(values)), where=norm > 0)
+
+
 class CosineTopK:
     """Top-k items by cosine; `gate`, when given, limits the items each query may see."""
 
@@ -202,19 +250,29 @@ class CosineTopK:
             "ids": column(q, self.query_key),
             "matrix": matrix,
             "usable": usable,
+            "sparse": SparseUnits(q, self.dims) if "idx" in q.column_names else None,
             "gate": self.gate.prepare(q) if self.gate else None,
             "best": Best(len(q), self.k),
             "type": None,
         }
 
     def fold(self, state, x: pa.Table) -> None:
-        matrix, usable = unit_matrix(x, self.dims)
+        scores, usable = self._scores(state, x)
         allowed = state["usable"][:, None] & usable[None, :]
         if self.gate:
             allowed &= self.gate.allowed(state["gate"], x)
         ids = column(x, self.item_key)
         state["type"] = ids.type
-        state["best"].offer(state["matrix"] @ matrix.T, np.array(ids.to_pylist()), allowed)
+        state["best"].offer(scores, np.array(ids.to_pylist()), allowed)
+
+    def _scores(self, state, x: pa.Table):
+        units = state["sparse"]
+        if units is not None and "idx" in x.column_names:
+            entries = sparse_units(x)
+            if units.cost(entries[1]) * SPARSE_COST < units.n * len(x) * self.dims:
+                return units.dot(*entries, len(x)), np.ones(len(x), dtype=bool)
+        matrix, usable = unit_matrix(x, self.dims)
+        return state["matrix"] @ matrix.T, usable
 
     def finish(self, state):
         yield from state["best"].batches(state["ids"], state["type"], [self.query_key, self.item_key, "score"])
@@ -287,76 +345,3 @@ class SameGroup:
 
     def allowed(self, prepared, x):
         return prepared[:, None] == np.array(column(x, self.name).to_pylist())[None, :]
-
-
-# ---------------------------------------------------------------------------
-# Structured criteria as array comparisons
-# ---------------------------------------------------------------------------
-class RelaxationLevel:
-    """Level at which a query would accept an item: position of its last failing filter.
-
-    Query columns: salary_min, salary_max, experience_min, experience_max, remote (0/1),
-    type_code, place_codes (codes of matching places; NULL = not asked), level.
-    Item columns: the listing's ranges, remote (0/1), type_code, place_code.
-    """
-
-    FIELDS = ["salary_min", "salary_max", "experience_min", "experience_max", "remote", "type_code"]
-
-    def prepare(self, q: pa.Table):
-        state = {name: numbers(q, name)[:, None] for name in self.FIELDS}
-        state["level"] = numbers(q, "level")[:, None] if "level" in q.column_names else None
-        rows, places = lists(q, "place_codes")
-        state["asked_place"] = ~np.asarray(column(q, "place_codes").is_null())
-        places = np.asarray(places, dtype=np.int64)
-        order = np.argsort(places, kind="stable")
-        state["place_codes"], state["place_rows"] = places[order], rows[order]
-        return state
-
-    def levels(self, q, x: pa.Table) -> np.ndarray:
-        f = {name: numbers(x, name)[None, :] for name in self.FIELDS}
-        fits_place = np.zeros((len(q["asked_place"]), len(x)), dtype=bool)
-        code = numbers(x, "place_code").astype(np.int64)
-        low = np.searchsorted(q["place_codes"], code, side="left")
-        high = np.searchsorted(q["place_codes"], code, side="right")
-        width = high - low
-        offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        fits_place[q["place_rows"][np.repeat(low, width) + offset], np.repeat(np.arange(len(x)), width)] = True
-        asked = lambda name: ~np.isnan(q[name])
-        fails = [
-            # an unknown fact (NaN) fails what is asked
-            (asked("salary_min") & ~(f["salary_max"] >= q["salary_min"]))
-            | (asked("salary_max") & ~(f["salary_min"] <= q["salary_max"])),
-            (asked("experience_max") & ~(f["experience_min"] <= q["experience_max"]))
-            | (asked("experience_min") & ~(f["experience_max"] >= q["experience_min"])),
-            q["asked_place"][:, None] & ~fits_place & (q["remote"] != 1),
-            asked("type_code") & (f["type_code"] != q["type_code"]),
-            asked("remote") & (f["remote"] != q["remote"]),
-        ]
-        level = np.zeros(fits_place.shape, dtype=np.int8)
-        for position, failing in enumerate(fails, start=1):
-            level[failing] = position
-        return level
-
-    def allowed(self, prepared, x):
-        return self.levels(prepared, x) <= prepared["level"]
-
-
-class LowestLevel:
-    """Per query, how many items it accepts first at each level."""
-
-    def __init__(self, query_key="query_id"):
-        self.query_key, self.gate = query_key, RelaxationLevel()
-
-    def prepare(self, q):
-        counts = np.zeros((len(q), LEVELS), dtype=np.int64)
-        return {"ids": column(q, self.query_key), "gate": self.gate.prepare(q), "counts": counts}
-
-    def fold(self, state, x):
-        levels = self.gate.levels(state["gate"], x)
-        for i in range(LEVELS):
-            state["counts"][:, i] += (levels == i).sum(axis=1)
-
-    def finish(self, state):
-        yield pa.RecordBatch.from_arrays(
-            [state["ids"], *[pa.array(c) for c in state["counts"].T]], names=[self.query_key, *[f"at{i}" for i in range(LEVELS)]]
-        )

@@ -1,8 +1,13 @@
 """The whole search, for a table of queries: filter, gate, retrieve, score, rank, relax.
 
-The relaxation loop of a one-query engine becomes one pass: every topic-passing
-pair has a level (its last failing filter), the lowest level per query decides how
-far that query is relaxed, and the pairs at or below it are its matches.
+The relaxation loop of a one-query engine becomes one pass: every listing has a level for a query
+(its last failing filter), the lowest level with a listing on topic decides how far the
+query is relaxed, and the listings on topic at or below it are its matches.
+
+Queries meet listings twice, both times in a block scan that keeps a bounded answer a query: first to count
+listings by level, then, with the retrieved chunks at hand, to score the matches and keep a pool.  Only
+the pool is ever a table of pairs; reasons and gaps are written for it in the JVM.  Queries
+restricted to a list of ids start from that list and don't scan.
 """
 
 from __future__ import annotations
@@ -12,17 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hybridq import vocab
 from hybridq.operators import scoring
 from hybridq.operators.embedding import embed_hashing
-from hybridq.operators.filters import (
-    FACTS, filter_candidates, keyword_pairs, match_places, required_level, topic_gate_keywords, topic_gate_skills,
-)
+from hybridq.operators.filters import FACTS, asked_words, match_places, on_topic, required_level, said_words
 from hybridq.operators.retrieval import best_chunk_per_listing, keep_top, keyword_terms, keyword_topk, order_key, vector_topk
-from hybridq.operators.understanding import (
-    criteria_struct, has_structured_filters, has_topic, merge_criteria, parse_queries,
-)
+from hybridq.operators.understanding import criteria_struct, has_topic, merge_criteria, parse_queries
 from hybridq.functions.strings import blank_to_null
-from hybridq.plans.blockscan import LEVELS, LowestLevel, RelaxationLevel, block_scan
-from hybridq.plans.joins import TARGET_ROWS
-from hybridq.plans.stages import materialise
+from hybridq.plans.blockscan import LEVELS, block_scan
+from hybridq.plans.matching import ITEM, NUMBERS, BestMatches, Filters, LevelCounts
+from hybridq.plans.stages import drop_stage, materialise
 
 CHUNK_LIST = "array<struct<rank:int,document_id:string,section:string,score:double>>"
 LEVEL_OF = {
@@ -56,131 +57,113 @@ def dropped_filters(c: Column, level: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Relaxation levels
+# Both sides of the scan
 # ---------------------------------------------------------------------------
-def topic_pairs(
-    queries: DataFrame,
-    listings: DataFrame,
-    facts: list[str],
-    target_rows: int = TARGET_ROWS,
-    by_word: DataFrame | None = None,
-) -> DataFrame:
-    """(query_id, criteria, <facts>) of every listing passing the query's topic gate."""
-    topical = queries.where(has_topic(F.col("criteria")))
-    by_skill = topic_gate_skills(topical.where(F.size("criteria.skills") > 0), listings, facts, target_rows)
-    return by_skill.unionByName(topic_gate_keywords(topical, listings, facts, target_rows, by_word))
-
-
-def _restricted(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    if "restrict_ids" not in queries.columns:
-        return pairs
-    limits = queries.select("query_id", F.col("restrict_ids").alias("_limit"))
-    return (
-        pairs.join(limits, "query_id")
-        .where(F.col("_limit").isNull() | F.array_contains("_limit", F.col("id")))
-        .drop("_limit")
-    )
-
-
-def place_table(listings: DataFrame) -> DataFrame:
-    """(place, place_code): a stable number per distinct place, from its hash."""
-    return listings.select(F.col("location").alias("place")).distinct().withColumn("place_code", place_code("place"))
+def _lowered(names: Column) -> Column:
+    return F.transform(names, lambda x: F.lower(x))
 
 
-def place_code(name: str) -> Column:
-    """52 bits of a hash, exact as a double."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(name, F.lit(""))), 12)
-
+def query_side(criteria: Column) -> list[Column]:
+    """Criteria as the columns a scan compares; see plans/matching.py."""
+    c = criteria
+    return [
+        *[c[n].cast("double").alias(n) for n in NUMBERS if n != "remote"],
+        c["remote"].cast("int").cast("double").alias("remote"),
+        c["employment_type"].alias("employment_type"),
+        F.lower(c["location"]).alias("place"),
+        _lowered(c["skills"]).alias("skills"),
+        asked_words(c).alias("words"),
+        has_topic(c).alias("topical"),
+    ]
 
-def type_code(c: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(c), 12)
 
+def match_items(queries: DataFrame, listings: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """One row per listing with what a scan compares, staged.
 
-def gate_queries(queries: DataFrame, listings: DataFrame) -> DataFrame:
-    """Criteria as the numbers the block scan compares; see RelaxationLevel."""
+    Of its place a listing carries the asked texts it contains, of its words the asked ones."""
     c = F.col("criteria")
     asked = queries.select(c["location"].alias("asked"))
     places = match_places(asked, listings.select(F.col("location").alias("place")))
-    codes = (
-        places.withColumn("place_code", place_code("place")).groupBy("asked")
-        .agg(F.collect_set("place_code").alias("codes"))
-    )
-    return queries.join(codes, c["location"] == F.col("asked"), "left").select(
-        *queries.columns,
-        *[c[n].cast("double").alias(n) for n in ("salary_min", "salary_max", "experience_min", "experience_max")],
-        c["remote"].cast("int").cast("double").alias("remote"),
-        F.when(c["employment_type"].isNotNull(), type_code(c["employment_type"])).cast("double").alias("type_code"),
-        F.when(c["location"].isNotNull(), F.coalesce("codes", F.array().cast("array<bigint>"))).alias("place_codes"),
-    )
+    places = places.groupBy("place").agg(F.collect_set(F.lower("asked")).alias("asked"))
+    words = said_words(queries, listings, words).groupBy("id").agg(F.collect_set("word").alias("words"))
+    col = F.col
+    numbers = [col(n).cast("double").alias(n) for n in NUMBERS if n != "remote"]
+    own = listings.select(
+        "id", *numbers, col("remote").cast("int").cast("double").alias("remote"), "employment_type",
+        F.array_distinct(_lowered(col("skills"))).alias("skills"), F.unix_date("posted_date").cast("double").alias("posted"),
+        col("location").alias("place"),
+    )
+    joined = own.join(places, "place", "left").join(words, "id", "left")
+    return materialise(joined.select("id", *ITEM, "posted"), "items")
+
+
+def _limited(queries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(queries without, queries with a list of ids)."""
+    if "restrict_ids" not in queries.columns:
+        return queries, None
+    listed = F.col("restrict_ids").isNotNull()
+    return queries.where(~listed), queries.where(listed)
 
 
-def gate_listings(listings: DataFrame) -> DataFrame:
-    col = F.col
-    return listings.select(
-        "id",
-        *[col(n).cast("double").alias(n) for n in ("salary_min", "salary_max", "experience_min", "experience_max")],
-        col("remote").cast("int").cast("double").alias("remote"),
-        type_code(col("employment_type")).cast("double").alias("type_code"),
-        place_code("location").cast("double").alias("place_code"),
-    )
+def listed_pairs(limited: DataFrame, listings: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, criteria, ..., <facts>): the listings on topic among the ids each query is restricted to."""
+    kept = [n for n in limited.columns if n != "restrict_ids"]
+    asked = limited.select(*kept, F.explode(F.array_distinct("restrict_ids")).alias("id"))
+    facts = listings.select(*FACTS).join(items.select("id", F.col("words").alias("_said")), "id")
+    pairs = asked.join(facts, "id")
+    return pairs.where(on_topic(F.col("criteria"), F.col("skills"), F.col("_said"))).select(*kept, *FACTS)
 
 
-GATE_QUERY = [*RelaxationLevel.FIELDS, "place_codes", "level"]
-GATE_ITEM = [*RelaxationLevel.FIELDS, "place_code"]
+# ---------------------------------------------------------------------------
+# Relaxation levels
+# ---------------------------------------------------------------------------
+COUNTS = [f"{kind}{i}" for kind in ("at", "all") for i in range(LEVELS)]
 
 
-def relaxation_levels(
-    queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
-) -> DataFrame:
-    """(query_id, level, matches) for queries that match something at some level.
+def relaxation_levels(queries: DataFrame, listings: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, level, matches, candidates) of every query.
 
-    Queries with a topic look at their topic pairs; queries without one scan the
-    listings.  Either way a query keeps six counts, one for each level: the lowest level with a
-    count is the level, its count the number of listings that match there."""
+    Twelve counts a query: listings on topic, and listings at all, by the level where they pass first.  The lowest
+    level with a listing on topic is the level, `matches` the number there; `candidates` counts the
+    listings that pass the filters left at that level (no filter dropped where nothing matches)."""
     c = F.col("criteria")
-    pairs = _restricted(topic_pairs(queries, listings, FACTS, target_rows, by_word), queries)
-    by_topic = _level_counts(pairs, c)
-    open_q = queries.where(~has_topic(c))
-    if "restrict_ids" in queries.columns:
-        listed = open_q.where(F.col("restrict_ids").isNotNull()).select(
-            "query_id", "criteria", F.explode("restrict_ids").alias("id")
+    free, limited = _limited(queries)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, {', '.join(f'{n} long' for n in COUNTS)}"
+    sides = free.select("query_id", *query_side(c)), items.select("id", *ITEM)
+    counts = block_scan(*sides, LevelCounts(), schema, item_key="id")
+    if limited is not None:
+        asked = limited.select("query_id", "criteria", F.explode(F.array_distinct("restrict_ids")).alias("id"))
+        facts = listings.select(*FACTS).join(items.select("id", F.col("words").alias("_said")), "id")
+        seen = asked.join(facts, "id").select(
+            "query_id", required_level(c).alias("_lv"), on_topic(c, F.col("skills"), F.col("_said")).alias("_on")
         )
-        by_list = _level_counts(listed.join(listings.select(*FACTS), "id"), c)
-        by_topic = by_topic.unionByName(by_list)
-        open_q = open_q.where(F.col("restrict_ids").isNull())
-    type_name = queries.schema["query_id"].dataType.simpleString()
-    scanned = block_scan(
-        gate_queries(open_q, listings).select("query_id", *GATE_QUERY[:-1]),
-        gate_listings(listings),
-        LowestLevel(),
-        f"query_id {type_name}, {', '.join(f'at{i} long' for i in range(LEVELS))}",
-        item_key="id",
-    )
-    by_scan = scanned.groupBy("query_id").agg(*[F.sum(f"at{i}").alias(f"at{i}") for i in range(LEVELS)])
-    counts = by_topic.unionByName(by_scan)
+        at = lambda i, also: F.count(F.when((F.col("_lv") == i) & also, 1))
+        listed = seen.groupBy("query_id").agg(
+            *[at(i, F.col("_on")).alias(f"at{i}") for i in range(LEVELS)], *[at(i, F.lit(True)).alias(f"all{i}") for i in range(LEVELS)]
+        )
+        counts = counts.unionByName(listed)
+    counts = counts.groupBy("query_id").agg(*[F.sum(n).alias(n) for n in COUNTS])
     found = F.coalesce(*[F.when(F.col(f"at{i}") > 0, F.struct(F.lit(i).alias("level"), F.col(f"at{i}").alias("n"))) for i in range(LEVELS)])
-    return counts.select("query_id", found.alias("f")).where("f IS NOT NULL").select(
-        "query_id", "f.level", F.col("f.n").alias("matches")
+    level = F.coalesce(F.col("f.level"), F.lit(0))
+    passing = sum((F.when(level >= i, F.col(f"all{i}")).otherwise(F.lit(0)) for i in range(LEVELS)), F.lit(0))
+    return counts.withColumn("f", found).select(
+        "query_id", "f.level", F.col("f.n").alias("matches"), passing.cast("long").alias("candidates")
     )
 
 
-def _level_counts(pairs: DataFrame, criteria: Column) -> DataFrame:
-    counts = pairs.select("query_id", required_level(criteria).alias("_lv")).groupBy("query_id")
-    return counts.agg(*[F.count(F.when(F.col("_lv") == i, 1)).alias(f"at{i}") for i in range(LEVELS)])
-
-
-def relax_filters(
-    queries: DataFrame, listings: DataFrame, target_rows: int = TARGET_ROWS, by_word: DataFrame | None = None
-) -> DataFrame:
-    """(query_id, level, matches, dropped, criteria, applied): how far each query is relaxed.
+def relax_filters(queries: DataFrame, listings: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(query_id, level, matches, candidates, dropped, criteria, applied): how far each query is relaxed.
 
     A query that matches at no level keeps level NULL, nothing dropped."""
-    levels = relaxation_levels(queries, listings, target_rows, by_word)
+    items = match_items(queries, listings) if items is None else items
+    levels = relaxation_levels(queries, listings, items)
     c, level = F.col("criteria"), F.coalesce("level", F.lit(0))
     return queries.join(levels, "query_id", "left").select(
         *queries.columns,
         "level",
         "matches",
+        F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"),
         dropped_filters(c, level).alias("dropped"),
         relaxed_criteria(c, level).alias("applied"),
     )
@@ -191,65 +174,53 @@ def best_similarity(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.max("score").alias("best"))
 
 
-def matching_pairs(
-    relaxed: DataFrame,
-    listings: DataFrame,
-    target_rows: int = TARGET_ROWS,
-    by_word: DataFrame | None = None,
-    best: DataFrame | None = None,
+def best_matches(
+    relaxed: DataFrame, listings: DataFrame, items: DataFrame, hits: DataFrame, pool: int | None, weights: dict = vocab.WEIGHTS
 ) -> DataFrame:
-    """(query_id, criteria, <facts>, level, best): the scored set of every query.
+    """(query_id, id): the `pool` best matches of every query (all of them where it is None).
 
-    `criteria` stays the original one; `relaxed` is the output of relax_filters.  What
-    a pair needs from its query travels inside the criteria struct, so the pairs are
-    never joined back to the queries."""
-    c = F.col("criteria")
+    Restricted queries keep all matches of their list, which is no longer than the list."""
     alive = relaxed.where(F.col("level").isNotNull())
-    if best is None:
-        alive = alive.withColumn("best", F.lit(None).cast("double"))
-    else:
-        alive = alive.join(best, "query_id", "left")
-    carry = lambda struct: struct.withField("_level", F.col("level")).withField("_best", F.col("best"))
-
-    def unpack(pairs: DataFrame, own: Column) -> DataFrame:
-        return pairs.select(
-            "query_id", own.alias("criteria"), *FACTS, c["_level"].alias("level"), c["_best"].alias("best")
-        )
-
-    packed = alive.withColumn("criteria", carry(c))
-    topical = _restricted(topic_pairs(packed, listings, FACTS, target_rows, by_word), packed)
-    gated = unpack(topical.where(required_level(c) <= c["_level"]), c.dropFields("_level", "_best"))
-    limits = ["restrict_ids"] if "restrict_ids" in relaxed.columns else []
-    asked = alive.where(~has_topic(c)).select(
-        "query_id", carry(F.col("applied")).withField("_own", c).alias("criteria"), *limits
+    free, limited = _limited(alive)
+    # at most k hits a query
+    retrieved = best_chunk_per_listing(hits).groupBy("query_id").agg(
+        F.collect_list(F.struct("job_id", "best_score")).alias("h"), F.max("best_score").alias("best")
     )
-    free = filter_candidates(asked, listings, FACTS, target_rows, with_criteria=True)
-    return gated.unionByName(unpack(free, c["_own"]))
+    sides = free.join(retrieved, "query_id", "left").select(
+        "query_id", *query_side(F.col("applied")), "best", F.col("h.job_id").alias("hit_ids"), F.col("h.best_score").alias("hit_scores")
+    ), items.select("id", *ITEM, "posted")
+    kind = relaxed.schema["query_id"].dataType.simpleString()
+    found = block_scan(*sides, BestMatches(pool, weights), f"query_id {kind}, {BestMatches.SCHEMA}", item_key="id")
+    if pool is not None:
+        order = [F.desc("score_key"), F.desc("similarity_key"), F.desc("salary_max"), F.desc("posted"), F.asc("id")]
+        found = found.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("_place") <= pool)
+    found = found.select("query_id", "id")
+    if limited is not None:
+        pairs = listed_pairs(limited.select("query_id", "criteria", "level", "restrict_ids"), listings, items)
+        found = found.unionByName(pairs.where(required_level(F.col("criteria")) <= F.col("level")).select("query_id", "id"))
+    return found
 
 
 # ---------------------------------------------------------------------------
 # Search
 # ---------------------------------------------------------------------------
-def keyword_hits(asking: DataFrame, listings: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def keyword_hits(asking: DataFrame, listings: DataFrame, index: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """search_hits by keywords, for an index whose embedder can't be asked."""
-    gated = gate_queries(asking.select("query_id", "criteria", "level", "text"), listings)
-    gated = gated.withColumn("level", F.col("level").cast("double"))
-    items = index.select("document_id", "job_id", "section", "text").join(
-        gate_listings(listings).withColumnRenamed("id", "job_id"), "job_id"
-    )
-    if "restrict_ids" not in asking.columns:
-        return keyword_topk(gated, items, k, RelaxationLevel(), (GATE_QUERY, GATE_ITEM))
+    free, limited = _limited(asking)
+    q = free.select("query_id", "text", *query_side(F.col("criteria")), F.col("level").cast("double").alias("level"))
+    gated = items.select(F.col("id").alias("job_id"), *Filters.ITEM)
+    chunks = index.select("document_id", "job_id", "text").join(gated, "job_id")
+    hits = keyword_topk(q, chunks, k, Filters(), ([*Filters.QUERY, "level"], Filters.ITEM))
+    if limited is None:
+        return hits
     # queries with a list of ids meet the chunks of those only
-    limited = asking.where(F.col("restrict_ids").isNotNull())
-    free = gated.join(limited.select("query_id"), "query_id", "left_anti")
-    hits = keyword_topk(free, items, k, RelaxationLevel(), (GATE_QUERY, GATE_ITEM))
     asked = keyword_terms(limited).where(F.size("terms") > 0).select(
         "query_id", "criteria", "level", F.col("terms").alias("_asked"), F.explode(F.array_distinct("restrict_ids")).alias("id")
     )
     pairs = asked.join(listings.select(*FACTS), "id").where(required_level(F.col("criteria")) <= F.col("level"))
-    chunks = keyword_terms(index.select("document_id", F.col("job_id").alias("id"), "text"))
+    said = keyword_terms(index.select("document_id", F.col("job_id").alias("id"), "text"))
     share = F.size(F.array_intersect("_asked", "terms")) / F.size("_asked") / (1 + F.log1p(F.col("n_tokens") / 50.0))
-    scored = pairs.select("query_id", "id", "_asked").join(chunks, "id").select("query_id", "document_id", share.alias("score"))
+    scored = pairs.select("query_id", "id", "_asked").join(said, "id").select("query_id", "document_id", share.alias("score"))
     return hits.unionByName(keep_top(scored.where(F.col("score") > 0), k))
 
 
@@ -260,6 +231,7 @@ def search_hits(
     k: int = vocab.RETRIEVAL_TOP_K,
     dims: int = vocab.DIMENSIONS,
     retrieval: str = "vector",
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k chunks per query among the listings passing its (relaxed) filters.
 
@@ -269,30 +241,21 @@ def search_hits(
     asking = relaxed.where(
         F.col("level").isNotNull() & has_topic(c) & blank_to_null(F.col("text")).isNotNull()
     )
+    items = match_items(relaxed, listings) if items is None else items
     if retrieval == "keyword":
-        hits = keyword_hits(asking, listings, index, k)
+        hits = keyword_hits(asking, listings, index, items, k)
         return hits.join(index.select("document_id", "job_id", "section"), "document_id")
     vectors = embed_hashing(asking, ["query_id"], "text", dims)
-    q = gate_queries(asking.select("query_id", "criteria", "level"), listings).join(vectors, "query_id")
-    q = q.withColumn("level", F.col("level").cast("double"))
-    x = index.select("document_id", "job_id", "section", "idx", "val").join(
-        gate_listings(listings).withColumnRenamed("id", "job_id"), "job_id"
+    free, limited = _limited(asking)
+    q = free.select("query_id", *query_side(c), F.col("level").cast("double").alias("level")).join(vectors, "query_id")
+    x = index.select("document_id", "job_id", "idx", "val").join(
+        items.select(F.col("id").alias("job_id"), *Filters.ITEM), "job_id"
     )
-    allowed_ids = None
-    if "restrict_ids" in relaxed.columns:
-        limited = asking.where(F.col("restrict_ids").isNotNull())
-        allowed_ids = limited.select("query_id", F.explode("restrict_ids").alias("job_id")).distinct()
-    gate_columns = (GATE_QUERY, GATE_ITEM)
-    if allowed_ids is None:
-        hits = vector_topk(q, x, k, dims, gate=RelaxationLevel(), gate_columns=gate_columns)
-    else:
+    hits = vector_topk(q, x, k, dims, gate=Filters(), gate_columns=([*Filters.QUERY, "level"], Filters.ITEM))
+    if limited is not None:
         # an id restriction is an equality filter: those queries only meet their own listings
-        free = q.join(limited.select("query_id"), "query_id", "left_anti")
-        hits = vector_topk(free, x, k, dims, gate=RelaxationLevel(), gate_columns=gate_columns)
-        own = q.drop("level").join(allowed_ids, "query_id").join(
-            asking.select("query_id", "level"), "query_id"
-        )
-        pairs = own.select("query_id", "criteria", "level", "job_id", "idx", "val").join(
+        own = limited.select("query_id", "criteria", "level", F.explode(F.array_distinct("restrict_ids")).alias("job_id"))
+        pairs = own.join(vectors, "query_id").join(
             listings.select(*FACTS), F.col("job_id") == F.col("id")
         ).where(required_level(c) <= F.col("level"))
         narrowed = pairs.select("query_id", "job_id", F.map_from_arrays("idx", "val").alias("_q")).join(
@@ -303,17 +266,12 @@ def search_hits(
             F.lit(0.0),
             lambda a, b: a + b,
         )
-        w = Window.partitionBy("query_id").orderBy(order_key(F.col("score")).desc(), "document_id")
-        limited_hits = (
-            narrowed.select("query_id", "document_id", dot.alias("score"))
-            .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-        )
-        hits = hits.unionByName(limited_hits)
+        hits = hits.unionByName(keep_top(narrowed.select("query_id", "document_id", dot.alias("score")), k))
     return hits.join(index.select("document_id", "job_id", "section"), "document_id")
 
 
-def _with_similarity(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+def with_similarity(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Adds similarity, semantic_norm and the retrieved chunks to pairs (query_id, id, best, ...)."""
     per_listing = best_chunk_per_listing(hits).withColumnRenamed("job_id", "id")
     return (
         pairs.join(per_listing, ["query_id", "id"], "left")
@@ -351,28 +309,33 @@ def hybrid_search(
     pool: int | None = vocab.POOL_SIZE,
     n: int | None = vocab.MAX_RETURNED,
     dims: int = vocab.DIMENSIONS,
-    target_rows: int = TARGET_ROWS,
     retrieval: str = "vector",
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """queries (query_id, criteria, text, restrict_ids?) -> ranked listings per query.
 
+    `words` is the catalogue's listing_words, where it is kept; else listings are read for their words.
+
     `retrieval` is vector, or keyword where the index holds vectors of an embedder that can't be asked.
 
-    Columns: query_id, rank, the listing facts, score, similarity, breakdown, reasons,
-    gaps, total_matches, level, dropped, mode, chunks.  `n=None` returns the pool, `pool=None` keeps every match."""
-    # reading the words of every listing is done once; the other stages hold one row
-    # per query, at most k rows per query, and at most `pool` rows per query
+    Columns: query_id, rank, the listing facts, score, similarity, breakdown, reasons, gaps, total_matches,
+    candidate_count (listings that pass the filters, on topic or not), level, dropped, mode, chunks.
+    `n=None` returns the pool, `pool=None` keeps every match."""
+    # staged are one row a listing, one a query, at most k a query, and at most `pool` a query
     queries = materialise(queries, "queries")
-    by_word = materialise(keyword_pairs(queries, listings, target_rows), "by_word")
-    relaxed = materialise(relax_filters(queries, listings, target_rows, by_word), "relaxed")
-    hits = materialise(search_hits(relaxed, listings, index, k, dims, retrieval), "hits")
-    pairs = matching_pairs(relaxed, listings, target_rows, by_word, best_similarity(hits))
-    found = _with_similarity(pairs, hits)
-    applied = relaxed_criteria(F.col("criteria"), F.col("level"))
-    found = found.withColumn("parts", scoring.components(applied, F.col("semantic_norm")))
+    items = match_items(queries, listings, words)
+    relaxed = materialise(relax_filters(queries, listings, items), "relaxed")
+    hits = materialise(search_hits(relaxed, listings, index, k, dims, retrieval, items), "hits")
+    matches = materialise(best_matches(relaxed, listings, items, hits, pool, weights), "matches")
+    drop_stage(items)
+    asked = relaxed.select("query_id", "criteria", "applied", "level", "matches", "candidates")
+    pairs = matches.join(asked.join(best_similarity(hits), "query_id", "left"), "query_id").join(listings.select(*FACTS), "id")
+    found = with_similarity(pairs, hits)
+    found = found.withColumn("parts", scoring.components(F.col("applied"), F.col("semantic_norm")))
     found = found.withColumn("score", scoring.weighted_score(F.col("parts"), weights))
     totals = relaxed.where(F.col("matches").isNotNull()).select("query_id", F.col("matches").alias("total_matches"))
-    ranked = materialise(scoring.rank_results(found, pool, totals=totals), "ranked")
+    ranked = materialise(scoring.rank_results(found.drop("matches", "applied"), pool, totals=totals), "ranked")
+    drop_stage(matches)
     again = rescore_relaxed(ranked.where(F.col("level") > 0), weights)
     final = ranked.where(F.col("level") == 0).unionByName(again)
     if n is not None:
@@ -387,8 +350,9 @@ def hybrid_search(
         "query_id", "rank", *FACTS, "score", "similarity",
         scoring.rounded_breakdown(F.col("parts")).alias("breakdown"),
         reasons.alias("reasons"), gaps.alias("gaps"),
-        "total_matches", "level", dropped.alias("dropped"), mode.alias("mode"), "chunks", "criteria", "semantic_norm",
-    )
+        "total_matches", F.col("candidates").alias("candidate_count"), "level", dropped.alias("dropped"), mode.alias("mode"),
+        "chunks", "criteria", "semantic_norm",
+    )
 
 
 def search_request(

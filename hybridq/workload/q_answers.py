@@ -325,15 +325,13 @@ def trace_metrics(spark, sf):
     ),
 )
 def trace_rows(spark, sf):
-    from hybridq.operators.filters import filter_candidates
     from hybridq.operators.understanding import has_topic
     from hybridq.plans.stages import materialise
 
     rows, index = listings(spark, sf), listing_index(spark, sf)
     relaxed = materialise(P.relax_filters(query_log(spark, sf), rows), "relaxed")
     hits = P.search_hits(relaxed, rows, index).join(index.select("document_id", "text"), "document_id")
-    applied = relaxed.where(c("level").isNotNull()).select("query_id", c("applied").alias("criteria"))
-    counted = filter_candidates(applied, rows).groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    counted = relaxed.select("query_id", F.when(c("level").isNotNull(), c("candidates")).otherwise(0).alias("candidate_count"))
     q = relaxed.select(
         "query_id", "text", "criteria", F.when(has_topic(c("criteria")), "vector").otherwise("none").alias("mode"),
         F.lit(None).cast("string").alias("note"),

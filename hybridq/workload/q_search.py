@@ -15,7 +15,7 @@ from hybridq.workload import duck
 from hybridq.workload.duck import cte, embed_ctes, half_up, in_list, joined, ordered_distinct, tokens, with_ctes
 from hybridq.workload.q_text import document_chunks
 from hybridq.workload.registry import query
-from hybridq.workload.tables import listing_index, listings, query_log, staged, view
+from hybridq.workload.tables import listing_index, listings, query_log, staged, view, words
 
 c = F.col
 KEY = "floor(({}) * 1e9 + 0.5)"
@@ -50,38 +50,31 @@ def filter_candidates(spark, sf):
     return X.filter_candidates(query_log(spark, sf), listings(spark, sf))
 
 
-def only(spark, sf, **keep):
-    """The query log with every filter but the named ones removed."""
-    from hybridq.operators.understanding import criteria_struct
+cte("delivered", ["lineitem"], "SELECT DISTINCT l_suppkey AS query_id, l_partkey AS id FROM lineitem")
 
-    k = c("criteria")
-    fields = {n: k[n] for n in keep}
-    return query_log(spark, sf).select("query_id", criteria_struct(**fields).alias("criteria"))
 
+def pairs(spark, sf, *more):
+    """A given table of pairs, what each supplier delivered, with the criteria of one side and the facts of the other."""
+    given = view(spark, sf, "lineitem").select(c("l_suppkey").alias("query_id"), c("l_partkey").alias("id")).distinct()
+    facts = listings(spark, sf).select(*X.FACTS, *more)
+    return given.join(query_log(spark, sf).select("query_id", "criteria"), "query_id").join(facts, "id")
 
-@query("pred_remote", with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {P_REMOTE}", "ql", "listings"))
-def pred_remote(spark, sf):
-    return X.filter_candidates(only(spark, sf, remote=1), listings(spark, sf))
 
+def predicate_query(name, sql, fn):
+    """One predicate over a given table of pairs."""
 
-@query("pred_location", with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {P_REMOTE} AND {P_PLACE}", "ql", "listings"))
-def pred_location(spark, sf):
-    return X.filter_candidates(only(spark, sf, remote=1, location=1), listings(spark, sf))
-
-
-@query("pred_salary_overlap", with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {P_PAY}", "ql", "listings"))
-def pred_salary(spark, sf):
-    return X.filter_candidates(only(spark, sf, salary_min=1, salary_max=1), listings(spark, sf))
-
+    @query(name, with_ctes(f"SELECT g.query_id, g.id, {sql} AS passes FROM delivered g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id", "delivered", "ql", "listings"))
+    def run(spark, sf):
+        return pairs(spark, sf).select("query_id", "id", fn(c("criteria")).alias("passes"))
 
-@query("pred_experience_overlap", with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {P_EXP}", "ql", "listings"))
-def pred_experience(spark, sf):
-    return X.filter_candidates(only(spark, sf, experience_min=1, experience_max=1), listings(spark, sf))
+    return run
 
 
-@query("pred_employment_type", with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {P_TYPE}", "ql", "listings"))
-def pred_type(spark, sf):
-    return X.filter_candidates(only(spark, sf, employment_type=1), listings(spark, sf))
+predicate_query("pred_remote", P_REMOTE, X.pred_remote)
+predicate_query("pred_location", P_PLACE, X.pred_location)
+predicate_query("pred_salary_overlap", P_PAY, X.pred_salary_overlap)
+predicate_query("pred_experience_overlap", P_EXP, X.pred_experience_overlap)
+predicate_query("pred_employment_type", P_TYPE, X.pred_employment_type)
 
 
 # earlier result lists: the parts each supplier delivered; some suppliers carry an empty list
@@ -134,18 +127,37 @@ cte(
 
 @query(
     "topic_gate_skills",
-    with_ctes(f"SELECT q.query_id, l.id FROM ql q JOIN listings l ON {GATE_SKILL}", "ql", "listings"),
+    with_ctes(
+        f"SELECT g.query_id, g.id, {GATE_SKILL} AS passes FROM delivered g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id WHERE len(q.skills) > 0",
+        "delivered", "ql", "listings",
+    ),
 )
 def gate_skills(spark, sf):
-    return X.topic_gate_skills(query_log(spark, sf), listings(spark, sf)).select("query_id", "id")
+    asked = pairs(spark, sf).where(F.size("criteria.skills") > 0)
+    return asked.select("query_id", "id", X.on_topic(c("criteria"), c("skills"), F.lit(None).cast("array<string>")).alias("passes"))
 
 
 @query(
     "topic_gate_keywords",
-    with_ctes("SELECT DISTINCT t.query_id, x.id FROM query_terms t JOIN listing_terms x USING (term)", "query_terms", "listing_terms"),
+    with_ctes(
+        """SELECT g.query_id, g.id, EXISTS (SELECT 1 FROM query_terms t JOIN listing_terms x USING (term) WHERE t.query_id = g.query_id AND x.id = g.id) AS passes
+        FROM delivered g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id WHERE len(q.skills) = 0 AND len(q.keywords) > 0""",
+        "delivered", "ql", "listings", "query_terms", "listing_terms",
+    ),
 )
 def gate_keywords(spark, sf):
-    return X.topic_gate_keywords(query_log(spark, sf), listings(spark, sf)).select("query_id", "id")
+    q, rows = query_log(spark, sf), listings(spark, sf)
+    said = X.said_words(q, rows).groupBy("id").agg(F.collect_set("word").alias("said"))
+    asked = pairs(spark, sf).where((F.size("criteria.skills") == 0) & (F.size("criteria.keywords") > 0))
+    return asked.join(said, "id", "left").select("query_id", "id", X.on_topic(c("criteria"), c("skills"), c("said")).alias("passes"))
+
+
+# which listings pass which topic gate, as the joins that find them
+@query("topic_pairs", with_ctes("SELECT g.query_id, g.id FROM gated g JOIN ql q ON q.query_id = g.query_id WHERE len(q.skills) > 0 OR len(q.keywords) > 0", "gated", "ql"))
+def topic_pairs(spark, sf):
+    q, rows = query_log(spark, sf), listings(spark, sf)
+    by_skill = X.topic_gate_skills(q.where(F.size("criteria.skills") > 0), rows)
+    return by_skill.unionByName(X.topic_gate_keywords(q, rows)).select("query_id", "id")
 
 
 # ---------------------------------------------------------------------------
@@ -296,11 +308,7 @@ def retrieve_within(spark, sf):
 # ---------------------------------------------------------------------------
 # Scoring of topic pairs (no retrieval needed)
 # ---------------------------------------------------------------------------
-def pairs(spark, sf):
-    return P.topic_pairs(query_log(spark, sf), listings(spark, sf), X.FACTS)
-
-
-PAIRS = "gated g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id WHERE (len(q.skills) > 0 OR len(q.keywords) > 0)"
+PAIRS = "delivered g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id"
 _lower_l = "list_transform(l.skills, lambda s: lower(s))"
 MATCHED = f"list_filter(q.skills, lambda s: list_contains({_lower_l}, lower(s)))"
 MISSING = f"list_filter(q.skills, lambda s: NOT list_contains({_lower_l}, lower(s)))"
@@ -336,7 +344,7 @@ def score_sql(sem, skill, exp, place, rem, pay):
 
 
 def component_query(name, sql, fn):
-    @query(name, with_ctes(f"SELECT g.query_id, g.id, {half_up(sql, 6)} AS value FROM {PAIRS}", "gated", "ql", "listings"))
+    @query(name, with_ctes(f"SELECT g.query_id, g.id, {half_up(sql, 6)} AS value FROM {PAIRS}", "delivered", "ql", "listings"))
     def run(spark, sf):
         value = F.floor(fn(c("criteria")) * 1e6 + F.lit(0.5)) / F.lit(1e6)
         return pairs(spark, sf).select("query_id", "id", value.alias("value"))
@@ -363,7 +371,7 @@ PLAIN_SCORE = score_sql("NULL::DOUBLE", C_SKILL, exp_fit(), place_fit(), remote_
     with_ctes(
         f"""SELECT query_id, id, CAST(floor(s * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN s >= 0.75 THEN 'Strong match' WHEN s >= 0.5 THEN 'Good match' ELSE 'Partial match' END AS label,
         {half_up('s', 3)} AS rounded FROM (SELECT g.query_id, g.id, {half_up(PLAIN_SCORE, 9)} AS s FROM {PAIRS})""",
-        "gated", "ql", "listings",
+        "delivered", "ql", "listings",
     ),
 )
 def match_label(spark, sf):
@@ -429,7 +437,7 @@ _reasons, _gaps = explain_sql()
 
 @query(
     "match_explanations",
-    with_ctes(f"SELECT g.query_id, g.id, {joined(_reasons)} AS reasons, {joined(_gaps)} AS gaps FROM {PAIRS}", "gated", "ql", "listings"),
+    with_ctes(f"SELECT g.query_id, g.id, {joined(_reasons)} AS reasons, {joined(_gaps)} AS gaps FROM {PAIRS}", "delivered", "ql", "listings"),
 )
 def match_explanations(spark, sf):
     none = F.lit(None)
@@ -447,7 +455,7 @@ ORDER = f"{KEY.format('score')} DESC, {KEY.format('similarity')} DESC, salary_ma
     with_ctes(
         f"""SELECT query_id, id, rank, total_matches, {half_up('score', 6)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank,
          count(*) OVER (PARTITION BY query_id) AS total_matches FROM (SELECT g.query_id, g.id, {PLAIN_SCORE} AS score, 0.0 AS similarity, l.salary_max, l.posted_date FROM {PAIRS})) WHERE rank <= 50""",
-        "gated", "ql", "listings",
+        "delivered", "ql", "listings",
     ),
 )
 def rank_results(spark, sf):
@@ -546,19 +554,26 @@ search_ctes("hk", keyword=True)
 
 @query(
     "relax_filters",
-    with_ctes(f"SELECT query_id, level, {joined('dropped')} AS dropped FROM hs_r", "hs_r"),
+    with_ctes(
+        f"""SELECT r.query_id, r.level, {joined('r.dropped')} AS dropped, coalesce(n.matches, 0) AS matches, coalesce(n.candidates, 0) AS candidates FROM hs_r r LEFT JOIN (
+          SELECT x.query_id, count(*) FILTER (x.ok AND x.lv <= r.level) AS matches, count(*) FILTER (x.lv <= coalesce(r.level, 0)) AS candidates
+          FROM hs_r_l x JOIN hs_r r USING (query_id) GROUP BY 1) n USING (query_id)""",
+        "hs_r",
+    ),
 )
 def relax_filters(spark, sf):
-    return P.relax_filters(query_log(spark, sf), listings(spark, sf)).select("query_id", "level", flat("dropped"))
+    found = P.relax_filters(query_log(spark, sf), listings(spark, sf))
+    return found.select("query_id", "level", flat("dropped"), F.coalesce("matches", F.lit(0)).alias("matches"), "candidates")
 
 
 _hr, _hg = explain_sql("h.semantic_norm", "coalesce(h.sections, []::VARCHAR[])")
-HYBRID = f"""SELECT h.query_id, h.rank, h.id, {half_up('h.score', 6)} AS score, {half_up('h.similarity', 6)} AS similarity, h.total_matches, h.level, {joined('h.dropped')} AS dropped,
+HYBRID = f"""SELECT h.query_id, h.rank, h.id, {half_up('h.score', 6)} AS score, {half_up('h.similarity', 6)} AS similarity, h.total_matches, n.candidate_count, h.level, {joined('h.dropped')} AS dropped,
  {half_up('h.semantic_norm', 3)} AS semantic, {half_up('h.f_skills', 3)} AS skills, {half_up('h.f_exp', 3)} AS experience, {half_up('h.f_place', 3)} AS location, {half_up('h.f_remote', 3)} AS remote,
  {half_up('h.f_pay', 3)} AS salary, {joined(_hr)} AS reasons, {joined(_hg)} AS gaps, {joined('h.docs')} AS chunks,
  CASE WHEN a.asked IS NULL THEN 'none' ELSE 'vector' END AS mode
  FROM @found h JOIN @queries q ON q.query_id = h.query_id JOIN listings l ON l.id = h.id
- LEFT JOIN (SELECT DISTINCT query_id AS asked FROM @found_s) a ON a.asked = h.query_id WHERE h.rank <= @n"""
+ LEFT JOIN (SELECT DISTINCT query_id AS asked FROM @found_s) a ON a.asked = h.query_id
+ JOIN (SELECT x.query_id, count(*) AS candidate_count FROM @found_r_l x JOIN @found_r r USING (query_id) WHERE x.lv <= r.level GROUP BY 1) n ON n.query_id = h.query_id WHERE h.rank <= @n"""
 
 
 def hybrid_sql(name, q, n, *deps):
@@ -568,7 +583,7 @@ def hybrid_sql(name, q, n, *deps):
 def flat_search(df):
     num = lambda col, name: (F.floor(col * 1e6 + F.lit(0.5)) / F.lit(1e6)).alias(name)
     return df.select(
-        "query_id", "rank", "id", num(c("score"), "score"), num(c("similarity"), "similarity"), "total_matches", "level", "mode",
+        "query_id", "rank", "id", num(c("score"), "score"), num(c("similarity"), "similarity"), "total_matches", "candidate_count", "level", "mode",
         flat("dropped"), *[c(f"breakdown.{n}").alias(n) for n in S.COMPONENTS], flat("reasons"), flat("gaps"),
         F.coalesce(F.array_join(F.transform("chunks", lambda x: x.document_id), "|"), F.lit("")).alias("chunks"),
     )
@@ -576,7 +591,7 @@ def flat_search(df):
 
 @query("hybrid_search", hybrid_sql("hs", "ql", 5))
 def hybrid_search(spark, sf):
-    return flat_search(P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf)))
+    return flat_search(P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf), words=words(spark, sf)))
 
 
 @query("hybrid_search_keyword", hybrid_sql("hk", "ql", 5).replace("THEN 'none' ELSE 'vector' END", "THEN 'none' ELSE 'keyword' END"))
@@ -587,14 +602,18 @@ def hybrid_search_keyword(spark, sf):
 
 @query(
     "semantic_norm",
-    with_ctes(f"SELECT query_id, id, {half_up('similarity', 6)} AS similarity, {half_up('norm', 6)} AS norm FROM hs_p", "hs_p"),
+    with_ctes(
+        f"""SELECT query_id, id, {half_up('similarity', 6)} AS similarity, {half_up('CASE WHEN best > 0 THEN greatest(0.0, similarity) / best END', 6)} AS norm FROM (
+          SELECT g.query_id, g.id, coalesce(s.sim, 0.0) AS similarity, b.best FROM delivered g JOIN ql q ON q.query_id = g.query_id JOIN listings l ON l.id = g.id
+          LEFT JOIN hs_s s ON s.query_id = g.query_id AND s.id = g.id LEFT JOIN (SELECT query_id, max(sim) AS best FROM hs_s GROUP BY 1) b ON b.query_id = g.query_id)""",
+        "hs_s", "delivered", "ql", "listings",
+    ),
 )
 def semantic_norm(spark, sf):
     rows = listings(spark, sf)
     relaxed = materialise(P.relax_filters(query_log(spark, sf), rows), "relaxed")
-    hits = P.search_hits(relaxed, rows, listing_index(spark, sf))
-    hits = materialise(hits, "hits")
-    out = P._with_similarity(P.matching_pairs(relaxed, rows, best=P.best_similarity(hits)), hits)
+    hits = materialise(P.search_hits(relaxed, rows, listing_index(spark, sf)), "hits")
+    out = P.with_similarity(pairs(spark, sf).join(P.best_similarity(hits), "query_id", "left"), hits)
     num = lambda n: F.floor(c(n) * 1e6 + F.lit(0.5)) / F.lit(1e6)
     return out.select("query_id", "id", num("similarity").alias("similarity"), num("semantic_norm").alias("norm"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hybridq.operators.embedding import index_build
+from hybridq.operators.filters import listing_words
 from hybridq.plans.stages import materialise
 
 BASE = [
@@ -167,6 +168,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "listings", lambda: view(spark, sf_dir, "listings").repartition("id"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all listings."""
+    return staged(spark, sf_dir, "words", lambda: listing_words(listings(spark, sf_dir)))
+
+
 def listing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all listings with their vectors."""
     return staged(spark, sf_dir, "index", lambda: index_build(listings(spark, sf_dir)))
