@@ -23,7 +23,7 @@ from hybridq.operators.understanding import parse_queries  # noqa: E402
 from hybridq.plans.search import hybrid_search  # noqa: E402
 from hybridq.session import local_session  # noqa: E402
 from hybridq.workload import tables as t  # noqa: E402
-from hybridq.workload.q_search import hashed_index  # noqa: E402
+from hybridq.workload.q_search import document_keywords, hashed_index  # noqa: E402
 
 
 def cases(spark, sf):
@@ -32,7 +32,6 @@ def cases(spark, sf):
     vectors = t.base(spark, sf, "embeddings")
     asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
     passages = t.base(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    chunks = lambda: hashed_index(spark, sf).select("document_id", "text")
     return {
         "listings": lambda: t.listings(spark, sf),
         "index_build": lambda: t.listing_index(spark, sf),
@@ -42,7 +41,8 @@ def cases(spark, sf):
         ),
         "document_index": lambda: hashed_index(spark, sf),
         "vector_topk": lambda: retrieval.vector_topk(asked, vectors, 20, 64, item_key="vec_id"),
-        "keyword_topk": lambda: retrieval.keyword_topk(passages, chunks(), 20),
+        "keyword_index": lambda: document_keywords(spark, sf).postings,
+        "keyword_topk": lambda: retrieval.keyword_topk(passages, document_keywords(spark, sf), 20),
         "raw_retrieve": lambda: retrieval.vector_topk(
             embedding.embed_hashing(passages, ["query_id"]), hashed_index(spark, sf), 20
         ),

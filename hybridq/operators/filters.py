@@ -130,7 +130,12 @@ YEARS = 4
 TOP_YEARS = 60
 GRID = ["_place", "_remote", "_pay", "_years"]
 UNKNOWN, ANY = -1, -2
-ANYWHERE = "*"
+ANYWHERE = ""
+
+
+def place_key(place: Column) -> Column:
+    """The key of one place, which no name makes equal to ANYWHERE."""
+    return F.concat(F.lit("="), place)
 
 
 def pay_band(amount: Column) -> Column:
@@ -160,7 +165,7 @@ def _listing_cells(rows: DataFrame) -> DataFrame:
     placed = rows.select(
         *own, F.coalesce(pay_band(F.col("salary_max")), F.lit(UNKNOWN)).alias("_pay"), F.array_min(years).alias("_first_years"), F.explode(cells).alias("_cell")
     )
-    place = F.when(F.col("_cell.here"), F.col("location")).otherwise(F.lit(ANYWHERE))
+    place = F.when(F.col("_cell.here"), place_key(F.col("location"))).otherwise(F.lit(ANYWHERE))
     return placed.select(*own, "_pay", "_first_years", place.alias("_place"), "_cell._remote", "_cell._years").where(F.col("_place").isNotNull())
 
 
@@ -198,7 +203,7 @@ def _query_cells(queries: DataFrame, edges: DataFrame) -> DataFrame:
 def grid_pairs(queries: DataFrame, listings: DataFrame, out: list[str], target_rows: int = TARGET_ROWS, verify: bool = True) -> DataFrame:
     """Pairs that pass all filters, met in a grid of place, remote, pay band and band of years.
 
-    `queries` have one row for each place they accept, in `_place` (ANYWHERE where they ask for none).  A pair
+    `queries` have one row for each place they accept, as its key in `_place` (ANYWHERE where they ask for none).  A pair
     whose ranges of years share several bands meets in each, and counts in the first one only.
     `verify=False` gives every pair that is tested, as often as it is."""
     pay = pay_band(F.col("salary_max"))
@@ -236,7 +241,7 @@ def filter_candidates(
     places = match_places(
         free.where(by_place).select(c["location"].alias("asked")), rows.select(F.col("location").alias("place"))
     )
-    placed = free.where(by_place).join(places, c["location"] == F.col("asked")).select(*own, F.col("place").alias("_place"))
+    placed = free.where(by_place).join(places, c["location"] == F.col("asked")).select(*own, place_key(F.col("place")).alias("_place"))
     anywhere = free.where(~by_place).select(*own, F.lit(ANYWHERE).alias("_place"))
     first = grid_pairs(placed.unionByName(anywhere), rows, out, target_rows, verify)
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridq import vocab
 from hybridq.functions.strings import round_half_up, strings
-from hybridq.functions.text import tokenize
 from hybridq.functions.vectors import cosine_similarity
 from hybridq.operators.embedding import blank
-from hybridq.plans.blockscan import CosineTopK, KeywordTopK, SameGroup, block_scan
+from hybridq.operators.keywords import Keep, KeywordIndex, keyword_index, search_keywords
+from hybridq.plans.blockscan import CosineTopK, SameGroup, block_scan
 from hybridq.plans.joins import TARGET_ROWS, spread_join
+from hybridq.plans.stages import materialise
 
 
 def order_key(score: Column) -> Column:
@@ -80,29 +81,30 @@ def vector_topk_pairs(
     return keep_top(scored, k, item_key=item_key)
 
 
-def keyword_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
-    tokens = F.col("tokens")
-    return df.withColumn("tokens", tokenize(F.col(text_col))).select(
-        "*", F.array_distinct(tokens).alias("terms"), F.size(tokens).alias("n_tokens")
-    )
-
-
 def keyword_topk(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | KeywordIndex,
     k: int = vocab.RETRIEVAL_TOP_K,
-    gate=None,
-    gate_columns: tuple[list[str], list[str]] = ((), ()),
+    keep: Keep | None = None,
     item_key: str = "document_id",
 ) -> DataFrame:
-    """(query_id, item, score, rank) by share of distinct query terms, damped by length."""
-    q = keyword_terms(queries).where(F.size("terms") > 0).select("query_id", "terms", *gate_columns[0])
-    x = keyword_terms(chunks).where(F.col("n_tokens") > 0).select(item_key, "terms", "n_tokens", *gate_columns[1])
-    schema = f"{_types(queries, 'query_id')}, {_types(chunks, item_key)}, score double"
-    hits = block_scan(
-        q, x, KeywordTopK(k, "query_id", item_key, gate), schema, "query_id", item_key, query_block=512
-    )
-    return keep_top(hits, k, item_key=item_key)
+    """(query_id, item, score, rank) by share of distinct query terms, damped by length.
+
+    `chunks` are an index of operators/keywords.py, or a table to build one from.  `keep` filters pairs
+    (query_id, item, ...) to those a query may see."""
+    index = chunks if isinstance(chunks, KeywordIndex) else keyword_index(chunks, item_key)
+    return search_keywords(queries, index, k, keep)
+
+
+def topk_among(queries: DataFrame, index: DataFrame, allowed: DataFrame, k: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(query_id, document_id, score, rank): exact top-k of hashed vectors among allowed listings (query_id, job_id)."""
+    q = queries.select("query_id", F.map_from_arrays("idx", "val").alias("_q"))
+    wanted = allowed.select("query_id", "job_id").distinct().join(q, "query_id")
+    # many queries may be allowed one listing, and a listing may have many chunks
+    pairs = spread_join(index.select("job_id", "document_id", "idx", "val"), wanted, ["job_id"], ["document_id"], target_rows=target_rows)
+    products = F.zip_with("idx", "val", lambda i, v: v * F.coalesce(F.try_element_at("_q", i), F.lit(0.0)))
+    dot = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    return keep_top(pairs.select("query_id", "document_id", dot.alias("score")), k)
 
 
 NO_QUERY = "Empty query"
@@ -117,13 +119,21 @@ def retrieve(
     query_vectors: DataFrame,
     k: int = vocab.RETRIEVAL_TOP_K,
     dims: int = vocab.DIMENSIONS,
+    allowed: DataFrame | None = None,
+    keywords: KeywordIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(modes, hits) for queries (query_id, text, n_candidates?).
 
-    A query with a vector is answered by vector search, one without by keywords;
-    blank queries, empty candidate sets and an empty index yield no hits.
+    A query with a vector is answered by vector search, one without by keywords; blank queries, empty candidate
+    sets and an empty index yield no hits.  `allowed` (query_id, job_id) are the listings each query may see, in
+    both modes (none: no candidates); without it a query sees all.  `keywords` is the keyword index of the same chunks, with
+    their job_id, where it is kept.
     """
     embedded = query_vectors.select("query_id", F.lit(True).alias("embedded")).distinct()
+    if allowed is not None:
+        allowed = materialise(allowed.select("query_id", "job_id").distinct(), "allowed")
+        counted = allowed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+        queries = queries.drop("n_candidates").join(counted, "query_id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
     has_candidates = (
         (F.col("n_candidates").isNull() | (F.col("n_candidates") > 0)) if "n_candidates" in queries.columns else F.lit(True)
     )
@@ -150,7 +160,13 @@ def retrieve(
     )
     by_vector = query_vectors.join(modes.where(c("mode") == "vector").select("query_id"), "query_id", "left_semi")
     by_words = modes.where(c("mode") == "keyword").select("query_id", "text")
-    hits = vector_topk(by_vector, index, k, dims).unionByName(keyword_topk(by_words, index, k))
+    if allowed is None:
+        hits = vector_topk(by_vector, index, k, dims).unionByName(keyword_topk(by_words, keywords or index, k))
+    else:
+        keywords = keywords or keyword_index(index, carry=("job_id",))
+        listed = keywords.lists.select("document_id", "job_id")
+        keep = lambda pairs: pairs.join(listed, "document_id").join(allowed, ["query_id", "job_id"], "left_semi").drop("job_id")
+        hits = topk_among(by_vector, index, allowed, k).unionByName(keyword_topk(by_words, keywords, k, keep))
     return modes.drop("text"), hits
 
 

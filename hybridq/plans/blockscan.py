@@ -278,62 +278,6 @@ class CosineTopK:
         yield from state["best"].batches(state["ids"], state["type"], [self.query_key, self.item_key, "score"])
 
 
-class KeywordTopK:
-    """hits / |terms| / (1 + ln(1 + length/50)) over distinct query terms."""
-
-    def __init__(self, k: int, query_key="query_id", item_key="document_id", gate=None):
-        self.k, self.query_key, self.item_key, self.gate = k, query_key, item_key, gate
-
-    def prepare(self, q: pa.Table):
-        rows, terms = lists(q, "terms")
-        codes = terms.unique()
-        code = np.asarray(pa.compute.index_in(terms, codes), dtype=np.int64)
-        order = np.argsort(code, kind="stable")
-        return {
-            "ids": column(q, self.query_key),
-            "codes": codes,
-            "by_term": rows[order],
-            "start": np.searchsorted(code[order], np.arange(len(codes) + 1)),
-            "n_terms": np.bincount(rows, minlength=len(q)),
-            "gate": self.gate.prepare(q) if self.gate else None,
-            "best": Best(len(q), self.k),
-            "type": None,
-        }
-
-    def fold(self, state, x: pa.Table) -> None:
-        rows, terms = lists(x, "terms")
-        codes = state["codes"]
-        code = np.asarray(pa.compute.fill_null(pa.compute.index_in(terms, codes), -1), dtype=np.int64)
-        rows, code = rows[code >= 0], code[code >= 0]
-        n_q, n_x = len(state["n_terms"]), len(x)
-        hits = np.zeros(n_q * n_x)
-        start, by_term = state["start"], state["by_term"]
-        width = start[code + 1] - start[code]
-        # postings are expanded in bounded steps
-        step = max(1, int(4_000_000 / max(1, width.max(initial=1))))
-        for low in range(0, len(code), step):
-            w = width[low : low + step]
-            total = int(w.sum())
-            if total == 0:
-                continue
-            offset = np.arange(total) - np.repeat(np.cumsum(w) - w, w)
-            q_row = by_term[np.repeat(start[code[low : low + step]], w) + offset]
-            hits += np.bincount(q_row * n_x + np.repeat(rows[low : low + step], w), minlength=n_q * n_x)
-        hits = hits.reshape(n_q, n_x)
-        length = numbers(x, "n_tokens")
-        terms_per_query = np.maximum(state["n_terms"], 1)[:, None]
-        scores = hits / terms_per_query / (1 + np.log(1 + length / 50.0))[None, :]
-        allowed = hits > 0
-        if self.gate:
-            allowed &= self.gate.allowed(state["gate"], x)
-        ids = column(x, self.item_key)
-        state["type"] = ids.type
-        state["best"].offer(scores, np.array(ids.to_pylist()), allowed)
-
-    def finish(self, state):
-        yield from state["best"].batches(state["ids"], state["type"], [self.query_key, self.item_key, "score"])
-
-
 class SameGroup:
     """Gate: item and query carry the same value of one column."""
 

@@ -18,7 +18,8 @@ from hybridq import vocab
 from hybridq.operators import scoring
 from hybridq.operators.embedding import embed_hashing
 from hybridq.operators.filters import FACTS, asked_words, match_places, on_topic, required_level, said_words
-from hybridq.operators.retrieval import best_chunk_per_listing, keep_top, keyword_terms, keyword_topk, order_key, vector_topk
+from hybridq.operators.keywords import KeywordIndex, keyword_index
+from hybridq.operators.retrieval import best_chunk_per_listing, keyword_topk, order_key, topk_among, vector_topk
 from hybridq.operators.understanding import criteria_struct, has_topic, merge_criteria, parse_queries
 from hybridq.functions.strings import blank_to_null
 from hybridq.plans.blockscan import LEVELS, block_scan
@@ -204,24 +205,22 @@ def best_matches(
 # ---------------------------------------------------------------------------
 # Search
 # ---------------------------------------------------------------------------
-def keyword_hits(asking: DataFrame, listings: DataFrame, index: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def keyword_hits(asking: DataFrame, listings: DataFrame, index: DataFrame, k: int, keywords: KeywordIndex | None) -> DataFrame:
     """search_hits by keywords, for an index whose embedder can't be asked."""
-    free, limited = _limited(asking)
-    q = free.select("query_id", "text", *query_side(F.col("criteria")), F.col("level").cast("double").alias("level"))
-    gated = items.select(F.col("id").alias("job_id"), *Filters.ITEM)
-    chunks = index.select("document_id", "job_id", "text").join(gated, "job_id")
-    hits = keyword_topk(q, chunks, k, Filters(), ([*Filters.QUERY, "level"], Filters.ITEM))
-    if limited is None:
-        return hits
-    # queries with a list of ids meet the chunks of those only
-    asked = keyword_terms(limited).where(F.size("terms") > 0).select(
-        "query_id", "criteria", "level", F.col("terms").alias("_asked"), F.explode(F.array_distinct("restrict_ids")).alias("id")
-    )
-    pairs = asked.join(listings.select(*FACTS), "id").where(required_level(F.col("criteria")) <= F.col("level"))
-    said = keyword_terms(index.select("document_id", F.col("job_id").alias("id"), "text"))
-    share = F.size(F.array_intersect("_asked", "terms")) / F.size("_asked") / (1 + F.log1p(F.col("n_tokens") / 50.0))
-    scored = pairs.select("query_id", "id", "_asked").join(said, "id").select("query_id", "document_id", share.alias("score"))
-    return hits.unionByName(keep_top(scored.where(F.col("score") > 0), k))
+    keywords = keywords or keyword_index(index, carry=("job_id",))
+    chunks = keywords.lists.select("document_id", F.col("job_id").alias("id"))
+    facts = listings.select(*FACTS)
+    limits = ["restrict_ids"] if "restrict_ids" in asking.columns else []
+    wanted = asking.select("query_id", "criteria", "level", *limits)
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        seen = pairs.join(chunks, "document_id").join(facts, "id").join(wanted, "query_id")
+        passing = required_level(F.col("criteria")) <= F.col("level")
+        if limits:
+            passing &= F.col("restrict_ids").isNull() | F.array_contains("restrict_ids", F.col("id"))
+        return seen.where(passing).select(*pairs.columns)
+
+    return keyword_topk(asking.select("query_id", "text"), keywords, k, keep)
 
 
 def search_hits(
@@ -232,6 +231,7 @@ def search_hits(
     dims: int = vocab.DIMENSIONS,
     retrieval: str = "vector",
     items: DataFrame | None = None,
+    keywords: KeywordIndex | None = None,
 ) -> DataFrame:
     """Top-k chunks per query among the listings passing its (relaxed) filters.
 
@@ -241,10 +241,10 @@ def search_hits(
     asking = relaxed.where(
         F.col("level").isNotNull() & has_topic(c) & blank_to_null(F.col("text")).isNotNull()
     )
-    items = match_items(relaxed, listings) if items is None else items
     if retrieval == "keyword":
-        hits = keyword_hits(asking, listings, index, items, k)
+        hits = keyword_hits(asking, listings, index, k, keywords)
         return hits.join(index.select("document_id", "job_id", "section"), "document_id")
+    items = match_items(relaxed, listings) if items is None else items
     vectors = embed_hashing(asking, ["query_id"], "text", dims)
     free, limited = _limited(asking)
     q = free.select("query_id", *query_side(c), F.col("level").cast("double").alias("level")).join(vectors, "query_id")
@@ -254,19 +254,10 @@ def search_hits(
     hits = vector_topk(q, x, k, dims, gate=Filters(), gate_columns=([*Filters.QUERY, "level"], Filters.ITEM))
     if limited is not None:
         # an id restriction is an equality filter: those queries only meet their own listings
-        own = limited.select("query_id", "criteria", "level", F.explode(F.array_distinct("restrict_ids")).alias("job_id"))
-        pairs = own.join(vectors, "query_id").join(
-            listings.select(*FACTS), F.col("job_id") == F.col("id")
-        ).where(required_level(c) <= F.col("level"))
-        narrowed = pairs.select("query_id", "job_id", F.map_from_arrays("idx", "val").alias("_q")).join(
-            index.select("document_id", "job_id", "idx", "val"), "job_id"
-        )
-        dot = F.aggregate(
-            F.zip_with("idx", "val", lambda i, v: v * F.coalesce(F.try_element_at("_q", i), F.lit(0.0))),
-            F.lit(0.0),
-            lambda a, b: a + b,
-        )
-        hits = hits.unionByName(keep_top(narrowed.select("query_id", "document_id", dot.alias("score")), k))
+        own = limited.select("query_id", "criteria", "level", F.explode(F.array_distinct("restrict_ids")).alias("id"))
+        allowed = own.join(listings.select(*FACTS), "id").where(required_level(c) <= F.col("level"))
+        allowed = allowed.select("query_id", F.col("id").alias("job_id"))
+        hits = hits.unionByName(topk_among(vectors, index, allowed, k))
     return hits.join(index.select("document_id", "job_id", "section"), "document_id")
 
 
@@ -311,10 +302,12 @@ def hybrid_search(
     dims: int = vocab.DIMENSIONS,
     retrieval: str = "vector",
     words: DataFrame | None = None,
+    keywords: KeywordIndex | None = None,
 ) -> DataFrame:
     """queries (query_id, criteria, text, restrict_ids?) -> ranked listings per query.
 
-    `words` is the catalogue's listing_words, where it is kept; else listings are read for their words.
+    `words` is the catalogue's listing_words and `keywords` the keyword index of the chunks (with their job_id), where
+    they are kept; else listings are read for their words, and chunks for theirs.
 
     `retrieval` is vector, or keyword where the index holds vectors of an embedder that can't be asked.
 
@@ -325,7 +318,7 @@ def hybrid_search(
     queries = materialise(queries, "queries")
     items = match_items(queries, listings, words)
     relaxed = materialise(relax_filters(queries, listings, items), "relaxed")
-    hits = materialise(search_hits(relaxed, listings, index, k, dims, retrieval, items), "hits")
+    hits = materialise(search_hits(relaxed, listings, index, k, dims, retrieval, items, keywords), "hits")
     matches = materialise(best_matches(relaxed, listings, items, hits, pool, weights), "matches")
     drop_stage(items)
     asked = relaxed.select("query_id", "criteria", "applied", "level", "matches", "candidates")

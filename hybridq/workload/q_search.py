@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hybridq import vocab
 from hybridq.operators import filters as X
+from hybridq.operators import keywords as K
 from hybridq.operators import retrieval as R
 from hybridq.operators import scoring as S
 from hybridq.operators.embedding import document_index, embed_hashing
@@ -208,9 +209,9 @@ def vector_pairs(spark, sf):
     return rounded(hits.withColumnRenamed("item", "vec_id"), "vec_id")
 
 
-def keyword_sql(queries: str, chunks: str, k: int) -> str:
+def keyword_sql(queries: str, chunks: str, k: int, rounded: bool = True) -> str:
     """`queries` yields (query_id, text), `chunks` (document_id, text)."""
-    return f"""SELECT query_id, document_id, {half_up('score', 6)} AS score, rank FROM (
+    return f"""SELECT query_id, document_id, {half_up('score', 6) if rounded else 'score'} AS score, rank FROM (
      SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('score')} DESC, document_id) AS rank FROM (
       SELECT a.query_id, b.document_id, count(*) / any_value(a.n)::DOUBLE / (1 + ln(1 + any_value(b.len) / 50.0)) AS score FROM
        (SELECT query_id, n, unnest(t) AS term FROM (SELECT query_id, t, len(t) AS n FROM (SELECT query_id, list_distinct({tokens('text')}) AS t FROM ({queries})))) a
@@ -224,7 +225,42 @@ def keyword_sql(queries: str, chunks: str, k: int) -> str:
 )
 def keyword_topk(spark, sf):
     q = view(spark, sf, "benchmark").select(c("item_id").alias("query_id"), "text")
-    return rounded(R.keyword_topk(q, document_chunks(spark, sf), 20), "document_id")
+    return rounded(R.keyword_topk(q, document_keywords(spark, sf), 20), "document_id")
+
+
+# how often a term stands in how many chunks, and how long its shortest chunk is
+@query(
+    "keyword_index",
+    with_ctes(
+        f"""SELECT term, count(*) AS df, min(len) AS shortest, CAST(sum(len) AS BIGINT) AS tokens FROM (
+          SELECT document_id, len(t) AS len, unnest(list_distinct(t)) AS term FROM (SELECT document_id, {tokens('text')} AS t FROM document_chunks)) GROUP BY term""",
+        "document_chunks",
+    ),
+)
+def keyword_index(spark, sf):
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    blocks = document_keywords(spark, sf).postings.select("term", F.size("items").alias("n"), F.element_at("lengths", 1).alias("low"), total.alias("t"))
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.min("low").alias("shortest"), F.sum("t").alias("tokens"))
+
+
+def document_keywords(spark, sf):
+    """The keyword index of all document chunks."""
+    return kept_keywords(spark, sf, "documents", lambda: K.keyword_index(document_chunks(spark, sf).select("document_id", c("doc_id").alias("job_id"), "text"), carry=("job_id",)))
+
+
+def listing_keywords(spark, sf):
+    """The keyword index of all listing chunks."""
+    return kept_keywords(spark, sf, "listings", lambda: K.keyword_index(listing_index(spark, sf), carry=("job_id",)))
+
+
+_KEYWORDS = {}
+
+
+def kept_keywords(spark, sf, name, build):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEYWORDS:
+        _KEYWORDS[key] = build()
+    return _KEYWORDS[key]
 
 
 embed_ctes("qe", ["query_log"], "SELECT query_id AS k, text AS txt FROM query_log")
@@ -264,7 +300,40 @@ def retrieve(spark, sf):
     index = hashed_index(spark, sf)
     vecs = embed_hashing(q.where(c("query_id") % 5 != 2), ["query_id"])
     manifest = spark.range(1).select(F.lit("local").alias("provider"))
-    modes, hits = R.retrieve(q, index, manifest, vecs)
+    modes, hits = R.retrieve(q, index, manifest, vecs, keywords=document_keywords(spark, sf))
+    return modes.join(rounded(hits, "document_id"), "query_id", "left")
+
+
+# each passage may only see documents of its own residue; passages of some residues may see none
+_MAY = "SELECT b.item_id AS query_id, d.doc_id AS job_id FROM benchmark b JOIN documents d ON d.doc_id % 10 = b.item_id % 11"
+_MAY_CHUNK = f"JOIN ({_MAY}) may ON may.query_id = {{}}.query_id AND may.job_id = dc.doc_id"
+
+
+@query(
+    "retrieve_allowed",
+    with_ctes(
+        f"""SELECT m.query_id, m.mode, m.note, h.document_id, h.score, h.rank FROM
+        (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 1 OR item_id % 11 = 10 THEN 'none' WHEN item_id % 5 = 2 THEN 'keyword' ELSE 'vector' END AS mode,
+          CASE WHEN item_id % 3 = 1 THEN 'Empty query' WHEN item_id % 11 = 10 THEN 'No candidate jobs to search' WHEN item_id % 5 = 2 THEN 'Embedding provider ''local'' unavailable; used keyword retrieval' END AS note FROM benchmark) m
+        LEFT JOIN (SELECT query_id, document_id, {half_up('score', 6)} AS score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('score')} DESC, document_id) AS rank FROM (
+            SELECT p.query_id, dc.document_id, coalesce(s.score, 0.0) AS score FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id % 3 <> 1 AND item_id % 5 <> 2) p
+            JOIN document_chunks dc ON true {_MAY_CHUNK.format('p')} LEFT JOIN ({sparse_sql('be', 'ce')}) s ON s.query_id = p.query_id AND s.document_id = dc.document_id)) WHERE rank <= 20
+          UNION ALL (SELECT query_id, document_id, {half_up('score', 6)} AS score, rank FROM (
+            SELECT s.query_id, s.document_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY {KEY.format('score')} DESC, s.document_id) AS rank FROM (
+              {keyword_sql("SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 3 <> 1 AND item_id % 5 = 2", "SELECT document_id, text FROM document_chunks", 1 << 30, False)}) s
+            JOIN document_chunks dc ON dc.document_id = s.document_id {_MAY_CHUNK.format('s')}) WHERE rank <= 20)) h USING (query_id)""",
+        "be", "ce", "document_chunks",
+    ),
+)
+def retrieve_allowed(spark, sf):
+    b, d = view(spark, sf, "benchmark"), view(spark, sf, "documents")
+    q = b.select(c("item_id").alias("query_id"), F.when(c("item_id") % 3 == 1, "  ").otherwise(c("text")).alias("text"))
+    may = b.select(c("item_id").alias("query_id"), (c("item_id") % 11).alias("r")).join(d.select(c("doc_id").alias("job_id"), (c("doc_id") % 10).alias("r")), "r")
+    vecs = embed_hashing(q.where(c("query_id") % 5 != 2), ["query_id"])
+    index = hashed_index(spark, sf).withColumn("job_id", c("doc_id"))
+    manifest = spark.range(1).select(F.lit("local").alias("provider"))
+    modes, hits = R.retrieve(q, index, manifest, vecs, allowed=may, keywords=document_keywords(spark, sf))
     return modes.join(rounded(hits, "document_id"), "query_id", "left")
 
 
@@ -596,7 +665,7 @@ def hybrid_search(spark, sf):
 
 @query("hybrid_search_keyword", hybrid_sql("hk", "ql", 5).replace("THEN 'none' ELSE 'vector' END", "THEN 'none' ELSE 'keyword' END"))
 def hybrid_search_keyword(spark, sf):
-    found = P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf), retrieval="keyword")
+    found = P.hybrid_search(query_log(spark, sf), listings(spark, sf), listing_index(spark, sf), retrieval="keyword", keywords=listing_keywords(spark, sf))
     return flat_search(found)
 
 
