@@ -519,7 +519,7 @@ def clean_keywords(keywords: Column, skills: Column, location: Column) -> Column
 def merge_model_and_rules(model: DataFrame, rules: DataFrame, key: str = "query_id") -> DataFrame:
     """Join both analyses on `key`: model values win, rules fill the gaps.
 
-    A model row with an error leaves the rule analysis untouched."""
+    A model row with an error leaves the rule analysis untouched; `note` says why, also where there is no model row."""
     fields = ["criteria", "intent", "standalone_query", "ordinals", "job_ids"]
     m = model.select(key, "error", *[F.col(f).alias(f"m_{f}") for f in fields])
     r = rules.select(key, "has_previous", *[F.col(f).alias(f"r_{f}") for f in fields])
@@ -557,6 +557,7 @@ def merge_model_and_rules(model: DataFrame, rules: DataFrame, key: str = "query_
     either = lambda name: F.when(usable & (F.size(f"m_{name}") > 0), F.col(f"m_{name}")).otherwise(
         F.col(f"r_{name}")
     )
+    before, after = vocab.BAD_MODEL_OUTPUT
     return both.select(
         key,
         "criteria",
@@ -565,6 +566,8 @@ def merge_model_and_rules(model: DataFrame, rules: DataFrame, key: str = "query_
         either("ordinals").alias("ordinals"),
         either("job_ids").alias("job_ids"),
         F.when(usable, "llm+rules").otherwise("rules").alias("source"),
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(before), F.col("error"), F.lit(after)))
+        .when(~usable, vocab.NO_MODEL).alias("note"),
     )
 
 

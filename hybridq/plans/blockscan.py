@@ -1,13 +1,16 @@
 """Exact scan of an item table against blocks of queries.
 
-Every item has to meet every query of an exact nearest-neighbour search, but the
-pairs never have to exist as rows.  Queries are hashed into blocks of bounded
-size, items into `slots` equal shares; a (block, slot) cell first receives its
-query rows, then streams its items in Arrow batches through numpy and keeps only
-the running answer (top-k or minimum).  What leaves a cell is k rows per query,
-so memory is bounded by the query block and one Arrow batch, and no item group
-is ever held in one task.  An optional `match_on` column sends items only to the
-blocks of queries with the same value.
+Every item has to meet every query of an exact nearest-neighbour search, but the pairs never have to
+exist as rows.  What leaves a task is the running answer only (k rows per query, or counts), so memory is
+bounded by a query block and one Arrow batch, and no item group is ever held in one task.
+
+Two ways, with equal results:
+
+* Up to SENT_BLOCKS blocks, each of at most QUERY_BLOCK rows and SENT_BYTES bytes, are sent to where
+  the items are: items are read split by split, in as many tasks as their bytes ask for, and not shuffled.
+* Beyond that, and where `match_on` sends items only to queries with the same value, items are
+  shuffled: queries are hashed into blocks, items into slots; a (block, slot) cell first receives its
+  query rows, then streams its items.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from hybridq.plans.stages import materialise
+
 QUERY_BLOCK = 2048
 ITEM_ROWS = 1024
+SENT_BLOCKS = 8
+SENT_BYTES = 32 << 20
 MAX_TASKS = 50_000
 #: No filter dropped, or up to the first to fifth of the relaxation order.
 LEVELS = 6
@@ -36,10 +43,57 @@ def block_scan(
     item_key: str = "document_id",
     match_on: str | None = None,
     query_block: int = QUERY_BLOCK,
+    sent_blocks: int = SENT_BLOCKS,
 ) -> DataFrame:
     spark = queries.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = materialise(queries, "asking")  # counted and read below
     blocks = max(1, math.ceil(queries.count() / query_block))
+    if match_on is None and blocks <= sent_blocks:
+        sent = [_sent_block(queries, query_key, blocks, i) for i in range(blocks)]
+        if all(table.nbytes <= SENT_BYTES for table in sent):
+            return _scan_in_place(items, [table for table in sent if len(table)], task, schema)
+    return _scan_shuffled(queries, items, task, schema, query_key, item_key, match_on, blocks)
+
+
+def _block(query_key: str, blocks: int):
+    return F.pmod(F.xxhash64(query_key), F.lit(blocks))
+
+
+def _sent_block(queries: DataFrame, query_key: str, blocks: int, i: int) -> pa.Table:
+    """About query_block rows; one row group more than SENT_BYTES shows that they don't fit."""
+    return queries.where(_block(query_key, blocks) == i).toArrow()
+
+
+def _scan_in_place(items: DataFrame, sent: list[pa.Table], task, schema: str) -> DataFrame:
+    spark = items.sparkSession
+    out = None
+    for table in sent:
+        shared = spark.sparkContext.broadcast(_packed(table))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            state = task.prepare(pa.ipc.open_stream(shared.value).read_all())
+            for batch in batches:
+                whole = pa.Table.from_batches([batch])
+                for low in range(0, len(whole), ITEM_ROWS):
+                    # what a task can't hold it gives out as it goes
+                    yield from task.fold(state, whole.slice(low, ITEM_ROWS)) or ()
+            yield from task.finish(state)
+
+        part = items.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _scan_shuffled(queries, items, task, schema, query_key, item_key, match_on, blocks) -> DataFrame:
+    spark = queries.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     families = slots if match_on else 1
     family = F.pmod(F.xxhash64(match_on), F.lit(families)) if match_on else F.lit(0)
 
@@ -48,7 +102,7 @@ def block_scan(
 
     each_slot = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot")
     each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    own_block = F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("_block")
+    own_block = _block(query_key, blocks).alias("_block")
     own_slot = F.pmod(F.xxhash64(item_key), F.lit(slots)).alias("_slot")
 
     q = queries.select("*", each_slot).select(

@@ -262,3 +262,7 @@ HISTORY_WINDOW = 8
 EMBED_BATCH = 32
 SECTIONS = ["OVERVIEW", "SKILLS", "REQUIREMENTS", "RESPONSIBILITIES", "BENEFITS"]
 RECENCY_GROUPS = ["Today", "Yesterday", "Previous 7 days", "Previous 30 days", "Older"]
+
+# Why a message was read by the rules alone.
+NO_MODEL = "LLM not configured: used rule-based extraction"
+BAD_MODEL_OUTPUT = ("LLM extraction output invalid (", "): used rule-based extraction")

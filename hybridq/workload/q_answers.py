@@ -27,7 +27,7 @@ SELECT o_orderkey AS query_id, concat('Job #', CAST(o_orderkey % 900 AS STRING),
 cte("answers", ["orders"], ANSWERS.replace("AS STRING", "AS VARCHAR"))
 cte(
     "allowed", ["orders"],
-    "SELECT o_orderkey AS query_id, unnest([o_orderkey % 900, o_orderkey % 450 + 7, o_custkey]) AS id FROM orders WHERE o_orderstatus <> 'P'",
+    "SELECT o_orderkey AS query_id, unnest([o_orderkey % 900, o_orderkey % 450 + 7, o_custkey]) AS id FROM orders",
 )
 
 
@@ -58,7 +58,7 @@ def referenced(spark, sf):
     ),
 )
 def audit(spark, sf):
-    o = view(spark, sf, "orders").where(c("o_orderstatus") != "P")
+    o = view(spark, sf, "orders")
     k = c("o_orderkey")
     allowed = o.select(k.alias("query_id"), F.explode(F.array(k % 900, k % 450 + 7, c("o_custkey"))).alias("id"))
     out = G.grounding_audit(answers(spark, sf), allowed)

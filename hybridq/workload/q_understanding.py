@@ -469,7 +469,8 @@ cte(
         CASE WHEN error IS NOT NULL THEN ri WHEN ri = 'COMPARE' THEN 'COMPARE' WHEN mi = 'REFINE' AND NOT has_previous THEN 'NEW_SEARCH'
           WHEN mi = 'GENERAL' AND (len(skills) > 0 OR len(keywords) > 0) AND ri <> 'GENERAL' THEN 'NEW_SEARCH' ELSE mi END AS intent,
         CASE WHEN error IS NULL THEN ms ELSE rs END AS standalone_query, {joined('ordinals')} AS ordinals, {joined('job_ids')} AS job_ids,
-        CASE WHEN error IS NULL THEN 'llm+rules' ELSE 'rules' END AS source FROM model_merged""",
+        CASE WHEN error IS NULL THEN 'llm+rules' ELSE 'rules' END AS source,
+        CASE WHEN error IS NOT NULL THEN 'LLM extraction output invalid (' || error || '): used rule-based extraction' END AS note FROM model_merged""",
         "model_merged",
     ),
 )
@@ -478,7 +479,7 @@ def merge_model_and_rules(spark, sf):
     rules = U.parse_queries(view(spark, sf, "requests"))
     m = U.merge_model_and_rules(model, rules)
     return m.select(
-        "query_id", *flat_criteria(), "intent", "standalone_query", flat_ints("ordinals"), flat_ints("job_ids"), "source"
+        "query_id", *flat_criteria(), "intent", "standalone_query", flat_ints("ordinals"), flat_ints("job_ids"), "source", "note"
     )
 
 

@@ -106,3 +106,25 @@ def test_the_grid_with_odd_ranges(spark):
     got = sorted(tuple(r) for r in X.filter_candidates(q, rows).collect())
     every = q.crossJoin(rows).where(X.passes_all(F.col("criteria"))).select("query_id", "id")
     assert got == sorted(tuple(r) for r in every.collect()) and len(got) > 100
+
+
+def test_both_ways_of_a_scan_agree(spark):
+    """Blocks of queries sent to the items, several of them, and items shuffled to blocks of queries."""
+    from hybridq.plans.blockscan import CosineTopK, block_scan
+
+    rnd = random.Random(2)
+    vector = lambda: [rnd.gauss(0, 1) for _ in range(8)]
+    q = spark.createDataFrame([(i, vector()) for i in range(70)], "query_id long, embedding array<double>")
+    x = spark.createDataFrame([(i, vector()) for i in range(500)], "document_id long, embedding array<double>").repartition(5)
+    ways = []
+    for block, sent in ((2048, 8), (20, 8), (20, 0)):
+        hits = block_scan(q, x, CosineTopK(3, 8), "query_id long, document_id long, score double", query_block=block, sent_blocks=sent)
+        best = {}
+        for r in hits.collect():
+            best.setdefault(r.query_id, []).append((-round(r.score, 9), r.document_id))
+        ways.append({k: sorted(v)[:3] for k, v in best.items()})
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 70
+    none = block_scan(q.where("false"), x, CosineTopK(3, 8), "query_id long, document_id long, score double")
+    assert none.collect() == []
+    plan = block_scan(q, x.select("*"), CosineTopK(3, 8), "query_id long, document_id long, score double")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition of the test's own table
