@@ -3,8 +3,8 @@
 A chunk scores (asked terms it holds / asked terms) x its damping, which falls with its length.  So the postings of
 a term stand by damping, in blocks of up to BLOCK chunks, and a block's first chunk bounds all others.
 
-1. The best block of each asked term gives some chunks; the exact scores of the k best of them are a floor that
-   the k-th result can't miss.
+1. The rarest asked terms give some chunks; the k-th of their exact scores is a floor that the k-th result
+   can't miss.
 2. Terms are left out, the most frequent first, as long as a chunk that holds nothing but them stays below the
    floor.  Of the other terms those blocks are read whose bound reaches it.
 3. A chunk found this way counts the terms that were left out in its own list, unless even all of
@@ -30,6 +30,9 @@ from hybridq.plans.stages import drop_stage, materialise
 
 BLOCK = 128
 SLOTS = 8
+#: Blocks of rare terms that are read for the floor, and chunks (times k) whose exact scores are looked at for it.
+PROBE_BLOCKS = 32
+PROBED = 4
 #: Scores closer than this are compared exactly, at the end.
 SLACK = 1e-9
 
@@ -131,14 +134,18 @@ def plan_search(queries: DataFrame, index: KeywordIndex, k: int, keep: Keep | No
     asked = materialise(asked, "asked")
     named = asked.select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term")).join(index.vocabulary, "term")
     named = materialise(named, "named")
-    tops = named.select("query_id", "m", "term", F.col("first").alias("block")).join(index.postings.drop("impact"), ["term", "block"])
+    # the rarest terms, up to PROBE_BLOCKS blocks of them, and one block of the rarest in any case
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    probes = named.withColumn("_so_far", F.sum("blocks").over(rarest)).withColumn("_place", F.count(F.lit(1)).over(rarest))
+    whole = F.col("_so_far") <= PROBE_BLOCKS
+    probes = probes.where(whole | (F.col("_place") == 1)).select("query_id", "m", "term", F.when(~whole, F.col("first")).alias("_only"))
+    tops = probes.join(index.postings.drop("impact"), "term").where(F.col("_only").isNull() | (F.col("_only") == F.col("block")))
     seen = _each(tops, index.item_key, "m").groupBy("query_id", index.item_key).agg(
         F.count(F.lit(1)).alias("hits"), F.first("m").alias("m"), F.first("n_tokens").alias("n_tokens")
     )
     seen = seen if keep is None else keep(seen)
-    some = _ranked(seen.withColumn("score", F.col("hits") / F.col("m") / damping(F.col("n_tokens"))), k, index.item_key)
-    floors = _exact(some, asked, index).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
-    floors = floors.where(F.col("n") >= k).select("query_id", "floor")
+    some = _ranked(seen.withColumn("score", F.col("hits") / F.col("m") / damping(F.col("n_tokens"))), PROBED * k, index.item_key)
+    floors = _ranked(_exact(some, asked, index), k, index.item_key).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     # terms by falling frequency; the first ones are left out while they can't reach the floor
     so_far = Window.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = F.count(F.lit(1)).over(so_far) / F.col("m") * F.max("impact").over(so_far)
@@ -174,8 +181,7 @@ def search_keywords(queries: DataFrame, index: KeywordIndex, k: int = vocab.RETR
 
 
 def search_work(queries: DataFrame, index: KeywordIndex, k: int = vocab.RETRIEVAL_TOP_K) -> DataFrame:
-    """(query_id, blocks, blocks_read): blocks of all asked terms, and those that are read."""
+    """(query_id, blocks, blocks_read): blocks of all asked terms, and those read for the results (besides the probes)."""
     plan = plan_search(queries, index, k)
     blocks = plan.named.groupBy("query_id").agg(F.sum("blocks").alias("blocks"))
-    read = plan.read.select("query_id", "term", "block").unionByName(plan.named.select("query_id", "term", F.col("first").alias("block"))).distinct()
-    return blocks.join(read.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_read")), "query_id", "left")
+    return blocks.join(plan.read.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks_read")), "query_id", "left")

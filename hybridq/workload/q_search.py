@@ -245,7 +245,7 @@ def keyword_index(spark, sf):
 
 def document_keywords(spark, sf):
     """The keyword index of all document chunks."""
-    return kept_keywords(spark, sf, "documents", lambda: K.keyword_index(document_chunks(spark, sf).select("document_id", c("doc_id").alias("job_id"), "text"), carry=("job_id",)))
+    return kept_keywords(spark, sf, "documents", lambda: K.keyword_index(hashed_index(spark, sf).select("document_id", c("doc_id").alias("job_id"), "text"), carry=("job_id",)))
 
 
 def listing_keywords(spark, sf):
