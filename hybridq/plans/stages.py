@@ -37,6 +37,12 @@ def drop_stage(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's file systems; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of frames that are no longer referenced.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from hybridq.operators import catalog as C
+from hybridq.plans.stages import stage_path
+from hybridq.sources.page_store import page_read, pages_write
 from hybridq.workload import duck
 from hybridq.workload.duck import cte, joined, ordered_distinct, with_ctes
 from hybridq.workload.registry import query
@@ -29,6 +33,24 @@ def page_listings(spark, sf):
     return C.page_listings(listings(spark, sf), 3, 400).select("id", "title", "total_rows", "total_pages")
 
 
+@query(
+    "page_directory",
+    with_ctes(
+        """SELECT id, title, total_rows, CAST(ceil(total_rows / 75.0) AS BIGINT) AS total_pages, page FROM (
+          SELECT *, (row_number() OVER (ORDER BY posted_date DESC NULLS LAST, id) - 1) // 75 AS page, count(*) OVER () AS total_rows FROM listings)
+        WHERE page IN (0, 2, 7, 20)""",
+        "listings",
+    ),
+)
+def page_directory(spark, sf):
+    """Pages from the start, the middle and behind the last one, through a directory of small ranges."""
+    path = stage_path(spark, "pages")
+    pages_write(listings(spark, sf), path, range_rows=100)
+    cols = ["id", "title", "total_rows", "total_pages"]
+    found = [page_read(spark, path, n, 75).select(*cols, F.lit(n).cast("bigint").alias("page")) for n in (0, 2, 7, 20)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "page_after",
     with_ctes(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hybridq import vocab
 from hybridq.operators.embedding import index_build, index_manifest, index_status
 from hybridq.schema import JSON_NAMES
+from hybridq.plans.refresh import refresh_index
 from hybridq.plans.stages import stage_path
 from hybridq.sources import listings as L
+from hybridq.sources.catalogue_store import catalogue_read, catalogue_sync, catalogue_write
 from hybridq.sources.index_store import index_read, index_write
 from hybridq.workload.duck import cte, with_ctes
 from hybridq.workload.registry import query
@@ -125,6 +127,26 @@ def sync(spark, sf):
     return L.sync_listings(rows.where(SYNC_OLD), incoming).select("change_type", "id", "title")
 
 
+@query(
+    "catalogue_sync",
+    with_ctes(
+        f"""SELECT CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.title = n.title THEN 'unchanged'
+        ELSE 'update' END AS change_type, coalesce(n.id, o.id) AS id, n.title AS stored_title
+        FROM (SELECT id, title FROM listings WHERE {SYNC_OLD}) o FULL JOIN
+        (SELECT id, CASE WHEN remote THEN upper(title) ELSE title END AS title FROM listings WHERE {SYNC_NEW}) n ON o.id = n.id""",
+        "listings",
+    ),
+)
+def sync_stored(spark, sf):
+    """The earlier catalogue is stored, then brought in step; what is stored and what was reported must agree."""
+    rows, path = listings(spark, sf), scratch(spark)
+    incoming = rows.where(SYNC_NEW).withColumn("title", F.when(F.col("remote"), F.upper("title")).otherwise(F.col("title")))
+    catalogue_write(rows.where(SYNC_OLD), path)
+    report = catalogue_sync(incoming, path)
+    stored = catalogue_read(spark, path).select("id", F.col("title").alias("stored_title"))
+    return stored.join(report, "id", "full_outer").withColumn("change_type", F.coalesce("change_type", F.lit("unchanged")))
+
+
 _cells = ", ".join(
     f"coalesce(array_to_string({n}, chr(30)), '\\N')" if n in FLAT_LISTS else f"coalesce(CAST({n} AS VARCHAR), '\\N')"
     for n in sorted([*LISTING_COLS, *FLAT_LISTS, "posted_date"])
@@ -363,3 +385,25 @@ def write_read(spark, sf):
     index_write(built_index(spark, sf), manifest, path, 1)
     index, _ = index_read(spark, path)
     return index.select("document_id", "section", "text").join(vector_sums(index), "document_id")
+
+
+@query(
+    "index_refresh",
+    with_ctes(
+        f"""SELECT c.document_id, c.section, c.part_text AS text, coalesce(v.entries, 0) AS entries, coalesce(v.vector_sum, 0) AS vector_sum,
+        CASE WHEN l.posted_date <= DATE '2024-03-20' AND NOT l.remote THEN 1 ELSE 2 END AS built
+        FROM listing_chunks c JOIN listings l ON l.id = c.id LEFT JOIN (SELECT k, {VECTOR_SUM} FROM le GROUP BY k) v ON v.k = c.document_id
+        WHERE {SYNC_NEW}""",
+        "listing_chunks", "le",
+    ),
+)
+def refresh(spark, sf):
+    """An index over the earlier catalogue, where remote titles differ, brought in step with the later one."""
+    rows, path = listings(spark, sf), scratch(spark)
+    before = rows.where(SYNC_OLD).withColumn("title", F.when(F.col("remote"), F.upper("title")).otherwise(F.col("title")))
+    refresh_index(before, path, "local", "m", "2024-03-20")
+    refresh_index(rows.where(SYNC_NEW), path, "local", "m", "2024-03-25")
+    index, _ = index_read(spark, path, keep_version=True)
+    return index.select("document_id", "section", "text", F.col("version").cast("int").alias("built")).join(
+        vector_sums(index), "document_id"
+    )
