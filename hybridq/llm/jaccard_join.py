@@ -10,7 +10,9 @@ hashes inside one pair (about 1e-13 a pair).
    shingles another document has, and lists frequent ones.  A document whose unshared
    shingles exceed what the threshold allows can't link and is done.
 2. The rest are collapsed to distinct sets, ordered rarest shingle first; the global order needs
-   only be the same for all, so the table of frequent shingles may be bounded (FREQUENT).
+   only be the same for all, so the table of frequent shingles may be bounded (FREQUENT).  Shingles
+   of the half that was not counted come after the rare ones: a quarter of a set is looked up, so
+   they are only where more than half of what was counted is frequent.
 3. Sets that link share a shingle among the first size - ceil(size * percent%) + 1 of each.
    The sets of such a shingle meet under its leader, the smallest set that has it; shingles
    with the same leader meet once.
@@ -245,8 +247,11 @@ def _ordered_sets(words: int, percent: int, codes: np.ndarray, counts: np.ndarra
                 for s in shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words):
                     code = (s >> np.uint64(shift)).astype(np.int64)
                     at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-                    known = (codes[at] == code) & (s < np.uint64(1 << 63)) if len(codes) else np.zeros(len(s), bool)
-                    cells.append(s[np.lexsort((s, np.where(known, counts[at] if len(codes) else 0, 0)))].tobytes())
+                    sampled = s < np.uint64(1 << 63)
+                    known = (codes[at] == code) & sampled if len(codes) else np.zeros(len(s), bool)
+                    # rare ones, then those that were not counted, then frequent ones by count
+                    place = np.where(known, counts[at] if len(codes) else 0, np.where(sampled, 0, 1))
+                    cells.append(s[np.lexsort((s, place))].tobytes())
                     heads.append(len(s) - -(-len(s) * percent // 100) + 1)
                 low = high
             others = [batch.column(c) for c in ("d0", "d1", "n")]
@@ -376,7 +381,9 @@ def jaccard_components(
     source = located(docs.select("doc_id", "text")).select(
         F.col("doc_id").cast("long").alias("id"), F.xxhash64("_file", "_row").alias("tag"), "text"
     )
-    buckets = 1 << max(4, (4 * parts - 1).bit_length())
+    # a bucket holds the fingerprints of at most half a split, so its size doesn't grow with the data
+    splits = source.rdd.getNumPartitions()
+    buckets = 1 << max(4, (max(4 * parts, 2 * splits) - 1).bit_length())
     sketch = materialise(source.mapInArrow(_sketch(words, buckets), SKETCH), "sketch")
     bits = buckets.bit_length() - 1
     asked = sketch.where("kind = 1").select("bucket", "block", "prints", "docs", "more")
