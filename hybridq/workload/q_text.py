@@ -151,6 +151,14 @@ def split_text(spark, sf):
     return D.chunk_documents(view(spark, sf, "documents"), max_chars=120).select("doc_id", "chunk_index", "text")
 
 
+@query("split_text_sql", with_ctes("SELECT k AS doc_id, chunk_index, part AS text FROM sc", "sc"))
+def split_text_sql(spark, sf):
+    """The same from SQL, by a table function beside the table."""
+    register_functions(spark)
+    docs = view(spark, sf, "documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.chunk AS text FROM {d} d, LATERAL split_text(d.text, 120) c", d=docs)
+
+
 # words go to the last line while it stays under the limit with the blank behind each word
 _last = "regexp_extract(acc, '[^\\n]*$')"
 _wrapped = f"list_reduce(w, lambda acc, x: CASE WHEN length({_last}) + 1 + length(x) + 1 > 200 THEN acc || chr(10) || x ELSE acc || ' ' || x END)"
@@ -352,6 +360,12 @@ def cosine(spark, sf):
     return neighbours(spark, sf).select("vec_id", six(vectors.cosine_similarity(c("u"), c("w")), "cosine"))
 
 
+@query("cosine_similarity_sql", f"SELECT vec_id, {half_up('list_cosine_similarity(u, w)', 6)} AS cosine FROM {_pairs}")
+def cosine_sql(spark, sf):
+    register_functions(spark)
+    return spark.sql("SELECT vec_id, round_half_up(cosine_similarity(u, w), 6) AS cosine FROM {p}", p=neighbours(spark, sf))
+
+
 @query(
     "register_functions",
     with_ctes(
