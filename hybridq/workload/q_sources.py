@@ -50,6 +50,19 @@ def load_listings(spark, sf):
     return loaded.select(*LISTING_COLS, *[flat(n) for n in FLAT_LISTS], F.col("posted_date").cast("string").alias("posted_date"))
 
 
+@query("load_envelopes", with_ctes(f"SELECT {DUCK_FLAT} FROM listings", "listings"))
+def load_envelopes(spark, sf):
+    """Write the catalogue as envelope files of about 200 listings each, read them back."""
+    path, rows = scratch(spark), listings(spark, sf)
+    files = -(-rows.count() // 200)
+    job = F.struct(*as_json_names(rows).columns)
+    jobs = as_json_names(rows).select(F.pmod(F.xxhash64("id"), F.lit(files)).alias("file"), job.alias("job"))
+    envelope = F.struct(F.lit("catalogue").alias("dataset"), F.lit("unknown to the reader").alias("note"), F.collect_list("job").alias("jobs"))
+    jobs.groupBy("file").agg(F.to_json(envelope).alias("value")).write.partitionBy("file").text(f"{path}/envelopes")
+    loaded = L.normalise_listings(L.load_listings(spark, f"{path}/envelopes/*/*.txt"))
+    return loaded.select(*LISTING_COLS, *[flat(n) for n in FLAT_LISTS], F.col("posted_date").cast("string").alias("posted_date"))
+
+
 # raw rows with holes: unset fields, swapped ranges
 RAW = """
 SELECT id, CASE WHEN id % 50 <> 0 THEN title END AS title, CASE WHEN id % 77 <> 3 THEN company END AS company,
