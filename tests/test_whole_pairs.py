@@ -23,6 +23,7 @@ TABLES = {
 }
 QUERIES = [
     "pred_remote",
+    "pred_location",
 ]
 
 
