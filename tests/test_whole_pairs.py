@@ -24,6 +24,7 @@ TABLES = {
 QUERIES = [
     "pred_remote",
     "pred_location",
+    "pred_salary_overlap",
 ]
 
 
