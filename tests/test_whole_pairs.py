@@ -25,6 +25,7 @@ QUERIES = [
     "pred_remote",
     "pred_location",
     "pred_salary_overlap",
+    "pred_experience_overlap",
 ]
 
 
