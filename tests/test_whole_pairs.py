@@ -26,6 +26,7 @@ QUERIES = [
     "pred_location",
     "pred_salary_overlap",
     "pred_experience_overlap",
+    "pred_employment_type",
 ]
 
 
