@@ -29,6 +29,7 @@ QUERIES = [
     "pred_employment_type",
     "topic_gate_skills",
     "topic_gate_keywords",
+    "skill_score",
 ]
 
 
