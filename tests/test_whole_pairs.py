@@ -30,6 +30,7 @@ QUERIES = [
     "topic_gate_skills",
     "topic_gate_keywords",
     "skill_score",
+    "experience_fit",
 ]
 
 
