@@ -31,6 +31,7 @@ QUERIES = [
     "topic_gate_keywords",
     "skill_score",
     "experience_fit",
+    "location_fit",
 ]
 
 
