@@ -32,6 +32,7 @@ QUERIES = [
     "skill_score",
     "experience_fit",
     "location_fit",
+    "remote_fit",
 ]
 
 
