@@ -33,6 +33,7 @@ QUERIES = [
     "experience_fit",
     "location_fit",
     "remote_fit",
+    "salary_fit",
 ]
 
 
