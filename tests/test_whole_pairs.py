@@ -34,6 +34,7 @@ QUERIES = [
     "location_fit",
     "remote_fit",
     "salary_fit",
+    "weighted_score",
 ]
 
 
