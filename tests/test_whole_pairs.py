@@ -35,6 +35,7 @@ QUERIES = [
     "remote_fit",
     "salary_fit",
     "weighted_score",
+    "match_label",
 ]
 
 
