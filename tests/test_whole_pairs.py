@@ -37,6 +37,7 @@ QUERIES = [
     "weighted_score",
     "match_label",
     "match_explanations",
+    "rank_results",
 ]
 
 
