@@ -212,7 +212,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found = materialise(
         block_scan(
             asked, codes, _Search(k, centres), "query_id long, item long, lower double, upper double",
-            query_key="query_id", item_key="item",
+            query_key="query_id", item_key="item", cell_blocks=1,  # a block may keep many bounds
         ),
         "bounds",
     )

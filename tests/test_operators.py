@@ -179,6 +179,28 @@ def test_vector_topk_many_blocks(spark):
     assert got == brute(x[:90], x, 3)
 
 
+def test_wide_cells_copy_little(spark, monkeypatch):
+    """Forty blocks of queries: items are copied for sixteen blocks at once, and every block gets its answer."""
+    from hybridq.plans import blockscan as B
+
+    cells = []
+    own = B._cells
+    monkeypatch.setattr(B, "_cells", lambda *a: cells.append(own(*a)) or cells[-1])
+    rng = np.random.default_rng(8)
+    x = [(i, [float(v) for v in rng.normal(size=4)], i % 3) for i in range(400)]
+    schema = "{} long, embedding array<double>, g int"
+    q, d = spark.createDataFrame(x, schema.format("query_id")), spark.createDataFrame(x, schema.format("item"))
+    for match_on, same in ((None, lambda a, b: True), ("g", lambda a, b: a == b)):
+        task = B.CosineTopK(3, 4, "query_id", "item", B.SameGroup(match_on) if match_on else None)
+        raw = B.block_scan(q, d, task, "query_id long, item long, score double", "query_id", "item", match_on, query_block=10)
+        got = {}
+        for h in R.keep_top(raw, 3, item_key="item").orderBy("query_id", "rank").collect():
+            got.setdefault(h.query_id, []).append(h.item)
+        assert got == brute(x, x, 3, same)
+        assert cells[-1].where("_side = 1").count() == 3 * 400
+        assert cells[-1].where("_side = 0").count() <= 400 * 8
+
+
 def test_topk_edges(spark, sf):
     e = view(spark, sf, "embeddings").select(c("vec_id").alias("document_id"), "embedding")
     q = e.select(c("document_id").alias("query_id"), "embedding")
