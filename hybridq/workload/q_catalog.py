@@ -12,7 +12,7 @@ from hybridq.sources.page_store import page_read, pages_write
 from hybridq.workload import duck
 from hybridq.workload.duck import cte, joined, ordered_distinct, with_ctes
 from hybridq.workload.registry import query
-from hybridq.workload.tables import listings, run_sql, view
+from hybridq.workload.tables import listing_facts, listings, run_sql, view
 
 c = F.col
 
@@ -89,12 +89,12 @@ def requests(spark, sf):
     ),
 )
 def lookup_strict(spark, sf):
-    return C.lookup_strict(requests(spark, sf), listings(spark, sf)).select("request_id", "pos", "id", "title", "error")
+    return C.lookup_strict(requests(spark, sf), listing_facts(spark, sf)).select("request_id", "pos", "id", "title", "error")
 
 
 @query("lookup_ordered", with_ctes("SELECT a.request_id, a.pos, a.id, l.title FROM asked_pos a JOIN listings l USING (id)", "asked_pos", "listings"))
 def lookup_ordered(spark, sf):
-    return C.lookup_ordered(requests(spark, sf), listings(spark, sf)).select("request_id", "pos", "id", "title")
+    return C.lookup_ordered(requests(spark, sf), listing_facts(spark, sf)).select("request_id", "pos", "id", "title")
 
 
 _card = f"""id, title, company, location, remote, employment_type, {duck.label('employment_type')} AS employment_label, {duck.years()} AS experience, {duck.salary()} AS salary,
@@ -104,7 +104,7 @@ CARD = ["id", "title", "company", "location", "remote", "employment_type", "empl
 
 @query("listing_card", with_ctes(f"SELECT {_card} FROM listings", "listings"))
 def listing_card(spark, sf):
-    return C.listing_card(listings(spark, sf)).select(*CARD, flat("skills"), "posted_date")
+    return C.listing_card(listing_facts(spark, sf)).select(*CARD, flat("skills"), "posted_date")
 
 
 @query(
