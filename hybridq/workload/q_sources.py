@@ -8,7 +8,7 @@ from hybridq import vocab
 from hybridq.operators.embedding import index_build, index_manifest, index_status
 from hybridq.schema import JSON_NAMES
 from hybridq.plans.refresh import refresh_index
-from hybridq.plans.stages import stage_path
+from hybridq.plans.stages import materialise, stage_path
 from hybridq.sources import listings as L
 from hybridq.sources.catalogue_store import catalogue_read, catalogue_sync, catalogue_write
 from hybridq.sources.index_store import index_read, index_write
@@ -381,7 +381,8 @@ def build(spark, sf):
 def status(spark, sf):
     from hybridq.operators.documents import chunk_listings
 
-    chunks = chunk_listings(listings(spark, sf))
+    # counted twice below: cut once
+    chunks = materialise(chunk_listings(listings(spark, sf)).select("document_id", "job_id"), "counted")
     manifest = index_manifest(chunks, "local", "local-hashing-bow-1024", 1024, "", "2024-01-30")
     return index_status(chunks, manifest)
 
