@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridq import vocab
-from hybridq.functions.text import tokenize
+from hybridq.functions.text import Tokenizer, offsets, tokenize
 from hybridq.plans.stages import drop_stage, materialise
 
 BLOCK = 128
@@ -33,6 +33,8 @@ SLOTS = 8
 #: Blocks of rare terms that are read for the floor, and chunks (times k) whose exact scores are looked at for it.
 PROBE_BLOCKS = 32
 PROBED = 4
+#: Chunks whose terms are listed at once.
+LISTED_ROWS = 1000
 #: Scores closer than this are compared exactly, at the end.
 SLACK = 1e-9
 
@@ -53,6 +55,30 @@ def keyword_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _listed(chunks: DataFrame, kept: list[str], text_col: str = "text") -> DataFrame:
+    """(kept, n_tokens, terms) of chunks with tokens: keyword_terms of a whole table, in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer()
+        for batch in batches:
+            for low in range(0, batch.num_rows, LISTED_ROWS):
+                part = batch.slice(low, LISTED_ROWS)
+                row, code = tokenizer.coded(part.column("_text_"))
+                some, place, n = np.unique(row, return_inverse=True, return_counts=True)
+                width = len(tokenizer.names) + 1
+                first = np.sort(np.unique(row * width + code, return_index=True)[1])  # terms in the order they appear
+                used, at = np.unique(code[first], return_inverse=True)
+                terms = pa.array([tokenizer.names[c] for c in used.tolist()], pa.string()).take(pa.array(at))
+                rows = part.take(pa.array(some))
+                lists = pa.ListArray.from_arrays(offsets(place[first], len(some)), terms)
+                columns = [*(rows.column(c) for c in kept), pa.array(n, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "terms"])
+
+    schema = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept)
+    texts = chunks.select(*kept, F.col(text_col).cast("string").alias("_text_"))
+    return texts.mapInArrow(run, f"{schema}, n_tokens int, terms array<string>")
+
+
 def damping(n_tokens: Column) -> Column:
     return 1 + F.log1p(n_tokens / 50.0)
 
@@ -80,8 +106,7 @@ def _cut(size: int, item_key: str):
 
 def keyword_index(chunks: DataFrame, item_key: str = "document_id", carry: tuple[str, ...] = (), block: int = BLOCK) -> KeywordIndex:
     """The index of chunks (<item>, text, ...), staged; `carry` are columns of the chunks to keep with their lists."""
-    lists = keyword_terms(chunks).where(F.col("n_tokens") > 0).select(item_key, *carry, "n_tokens", "terms")
-    lists = materialise(lists, "lists")
+    lists = materialise(_listed(chunks, [item_key, *carry]), "lists")
     each = lists.select(F.explode("terms").alias("term"), "n_tokens", item_key)
     order = ["term", "n_tokens", item_key]
     kind = lists.schema[item_key].dataType.simpleString()
